@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, sharding
+from . import exact_dedup, mixing, ngram_join, packing, sharding
 
 _OPERATORS = {
     "op1_sharding": sharding,
     "op2_exact_dedup": exact_dedup,
     "op5_mixing": mixing,
+    "op6_ngram_join": ngram_join,
     "op7_packing": packing,
 }
 
