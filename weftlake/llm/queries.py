@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join, packing, sharding
+from . import exact_dedup, language_id, licenses, mixing, ngram_join, packing, pii, sharding
 
 _OPERATORS = {
     "op1_sharding": sharding,
     "op2_exact_dedup": exact_dedup,
+    "op3_language_id": language_id,
     "op5_mixing": mixing,
     "op6_ngram_join": ngram_join,
     "op7_packing": packing,
+    "op9_licenses": licenses,
+    "op10_pii": pii,
 }
 
 QUERIES = {name: m.query for name, m in _OPERATORS.items()}
