@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, licenses, mixing, ngram_join, packing, pii, sharding
+from . import exact_dedup, html_wrapper, language_id, licenses, mixing, ngram_join, packing, pii, sharding
 
 _OPERATORS = {
     "op1_sharding": sharding,
     "op2_exact_dedup": exact_dedup,
     "op3_language_id": language_id,
+    "op4_html_wrapper": html_wrapper,
     "op5_mixing": mixing,
     "op6_ngram_join": ngram_join,
     "op7_packing": packing,
