@@ -1,13 +1,67 @@
-"""The corpus pipeline; see STAGES."""
+"""The corpus pipeline: language ID, exact and near deduplication, mixing and packing.
+
+Each stage is one operator applied to all that its predecessor kept; the result
+is written as Parquet and read again as the next stage's documents.  All but
+the last return the columns of ``documents``.
+
+SQL can't express the language stage (trained support vector machines), so
+there is no ORACLE_SQL; tests compare run() with a brute-force version.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from weftlake.llm import exact_dedup, language_id, mixing, ngram_join, packing
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with confidence; those rejected go."""
+    return language_id.keep_accepted(docs, language_id.train(docs))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
+    return exact_dedup.drop_copies(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by n-gram similarity."""
+    return ngram_join.drop_near_copies(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample with raked source, language and topic weights."""
+    return mixing.sample(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of several context sizes."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language", by_language),
+    ("exact_dedup", without_copies),
+    ("near_dedup", without_near_copies),
+    ("mixing", mixed),
+    ("packing", packed),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; what stages keep goes to the session's shared folder (spark.checkpoint.dir)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    folder = os.path.join(shared, f"pipeline-{uuid.uuid4().hex}")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_wrapper, language_id, licenses, mixing, ngram_join, packing, pii, sharding
+from . import exact_dedup, hnsw, html_wrapper, language_id, licenses, mixing, ngram_join, packing, pii, sharding
 
 _OPERATORS = {
     "op1_sharding": sharding,
@@ -12,6 +12,7 @@ _OPERATORS = {
     "op5_mixing": mixing,
     "op6_ngram_join": ngram_join,
     "op7_packing": packing,
+    "op8_hnsw": hnsw,
     "op9_licenses": licenses,
     "op10_pii": pii,
 }
