@@ -122,7 +122,7 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 #: An odd base and its inverse modulo 2**64: prefix sums of b * BASE**i give any substring's hash.
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BLOCK = 1 << 21
+_BLOCK = 1 << 18
 #: What is part of a word: ASCII letters and digits, and every byte of a character beyond ASCII.
 WORD = np.zeros(256, bool)
 WORD[0x80:] = WORD[0x30:0x3A] = WORD[0x41:0x5B] = WORD[0x61:0x7B] = True

@@ -42,10 +42,10 @@ N = 5
 #: As a fraction, so that every bound is exact.
 THRESHOLD = (2, 5)
 #: N-grams in a range of hashes or a group of documents: what one task holds at a time.
-GROUP = 2_000_000
-FLUSH = 2_000_000
-SLICE_BYTES = 4 << 20
-TASK_BYTES = 24 << 20
+GROUP = 1_000_000
+FLUSH = 1_000_000
+SLICE_BYTES = 2 << 20
+TASK_BYTES = 16 << 20
 
 
 # ---------------------------------------------------------------- blocks of numbers
@@ -232,7 +232,7 @@ def _candidates(num: int, den: int):
         end = np.repeat(ends, np.diff(ends, prepend=0))
         # sizes ascend in a list, so the partners of a posting that may be long enough are a run behind it
         most = den * n // num
-        pairs, x, budget = [], np.arange(len(h)), 4_000_000
+        pairs, x, budget = [], np.arange(len(h)), 300_000
         reach = np.empty(len(h), "i8")
         lo = 0
         for hi in ends.tolist():
