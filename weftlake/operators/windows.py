@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from ..policy import DEFAULT, Policy
 
-_SENTENCE = re.compile(r"[^.!?]+[.!?]")
+#: Runs up to a terminator, if there is one: no place is looked at twice, also where there is none.
+_SENTENCE = re.compile(r"[^.!?]+([.!?])?")
 SENTENCES = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("i", "s", "e")]))
 WINDOWS = T.ArrayType(T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("index", "start", "end")), T.StructField("text", T.StringType())]))
 
@@ -21,6 +22,8 @@ def split_sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of each sentence without white space around it; text after the last terminator goes, unless it is all there is."""
     out = []
     for m in _SENTENCE.finditer(text):
+        if m[1] is None:
+            continue
         body = m.group()
         lead = len(body) - len(body.lstrip())
         out.append((m.start() + lead, m.start() + len(body.rstrip())))
