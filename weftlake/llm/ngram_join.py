@@ -223,22 +223,22 @@ def _candidates(num: int, den: int):
     """Pairs of a range's posting lists that the length, positional and suffix filters let pass."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "n", "id"], kind="stable")
-        h, i, n, rank = (pdf[c].to_numpy() for c in ("h", "id", "n", "rank"))
-        after = np.ascontiguousarray(pdf["after"].to_numpy()).view("u1").reshape(-1, 8).astype("i4")
-        shared_left = after.sum(1)
+        order = np.lexsort((pdf["n"].to_numpy(), pdf["h"].to_numpy()))
+        h, i, n, rank = (pdf[c].to_numpy()[order] for c in ("h", "id", "n", "rank"))
+        after = np.ascontiguousarray(pdf["after"].to_numpy()[order]).view("u1").reshape(-1, 8)
         full = (after == 255).any(1)  # a histogram that is full bounds nothing
-        ends = np.flatnonzero(np.diff(h, append=h[-1] + 1 if h[-1] < 2**63 - 1 else h[-1] - 1)) + 1
-        end = np.repeat(ends, np.diff(ends, prepend=0))
+        most_common = rank + np.where(full, 1 << 40, after.sum(1, dtype="i8"))
+        ids, own = np.unique(i, return_inverse=True)
+        ends = np.flatnonzero(np.concatenate([h[1:] != h[:-1], [True]])) + 1
         # sizes ascend in a list, so the partners of a posting that may be long enough are a run behind it
         most = den * n // num
-        pairs, x, budget = [], np.arange(len(h)), 300_000
+        found, x, budget = [], np.arange(len(h)), 400_000
         reach = np.empty(len(h), "i8")
         lo = 0
         for hi in ends.tolist():
             reach[lo:hi] = lo + np.searchsorted(n[lo:hi], most[lo:hi], "right")
             lo = hi
-        many = np.minimum(reach, end) - x - 1
+        many = np.maximum(reach - x - 1, 0)
         total = np.cumsum(many)
         a = 0
         while a < len(h):  # so many pairs at a time
@@ -246,19 +246,22 @@ def _candidates(num: int, den: int):
             m = many[a:b]
             left = np.repeat(x[a:b], m)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)
-            need = -(-num * (n[left] + n[right]) // (num + den))
-            # common n-grams up to here can't be more than the smaller rank among the shared ones
-            room = np.minimum(shared_left[left], shared_left[right])
-            common_before = np.minimum(rank[left], rank[right])
-            ok = (i[left] != i[right]) & ((common_before + room >= need) | full[left] | full[right])
-            left, right, need, common_before = left[ok], right[ok], need[ok], common_before[ok]
-            room = np.minimum(after[left], after[right]).sum(1)
-            ok = (common_before + room >= need) | full[left] | full[right]
-            u, v = i[left[ok]], i[right[ok]]
-            pairs.append(np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0))
+            # what is common can't be more than what is up to here and behind it, for either of the two
+            both = num * (n[left] + n[right])
+            u, v = own[left], own[right]
+            ok = (np.minimum(most_common[left], most_common[right]) * (num + den) >= both) & (u != v)
+            key = np.minimum(u[ok], v[ok]) * len(ids) + np.maximum(u[ok], v[ok])
+            # the bounds hold at every common n-gram, so one of each pair is enough to look at
+            key, first = np.unique(key, return_index=True)
+            left, right, both = left[ok][first], right[ok][first], both[ok][first]
+            room = np.minimum(after[left], after[right]).sum(1, dtype="i8")
+            passed = ((np.minimum(rank[left], rank[right]) + room) * (num + den) >= both) | full[left] | full[right]
+            found.append(key[passed])
+            if len(found) == 64:
+                found = [np.unique(np.concatenate(found))]
             a = b
-        got = np.unique(np.concatenate(pairs), axis=0) if len(pairs) > 1 else pairs[0]
-        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
+        got = np.unique(np.concatenate(found))
+        return pd.DataFrame({"a": ids[got // len(ids)], "b": ids[got % len(ids)]})
 
     return run
 
