@@ -350,20 +350,19 @@ def _parsed(pdf: pd.DataFrame, of_host: dict | None):
 
 
 def _slots(of_host: dict | None):
-    """Of each slot in a task: how often it occurs on how many pages, and the least and greatest hash of its texts."""
+    """Of each slot in a task: on how many pages it occurs, whether its texts are the same, and that text."""
 
     def run(batches):
         seen: dict[tuple[str, int], list] = {}
         for pdf in batches:
             for _, host, slots, texts, _ in _parsed(pdf, of_host):
+                here: set[int] = set()
                 for s, t in zip(slots or (), texts):
                     h = t if len(t) <= 200 else None  # long texts are data
-                    own = seen.get((host, s))
-                    if own is None:
-                        seen[host, s] = [h, 1, h is not None]
-                    else:
-                        own[1] += 1
-                        own[2] = own[2] and own[0] == h
+                    own = seen.setdefault((host, s), [h, 0, h is not None])
+                    own[1] += s not in here
+                    own[2] = own[2] and own[0] == h
+                    here.add(s)
         yield pd.DataFrame([(h, s, t if same else None, n, same) for (h, s), (t, n, same) in seen.items()], columns=["host", "slot", "text", "n", "same"])
 
     return run

@@ -4,8 +4,8 @@ The words of all templates make a small licence vocabulary; one pass over the
 corpus counts in how many documents each occurs.  For each template the
 ``rare_words`` with the highest inverse document frequency enter the index,
 with their positions.  A second pass looks up the licence words of each file
-there; hits whose relative positions agree (within ``slack`` words, so that a
-word put in or left out does no harm) are one candidate for the template, which
+there; hits whose relative positions agree (within ``slack`` words or a third of
+the template, so that a word put in or left out does no harm) are one candidate for the template, which
 holds if ``min_share`` of its index words hit and every mandatory phrase of the
 template stands word for word near its place.
 
@@ -184,7 +184,8 @@ class Index:
         order = np.lexsort((offset, t, d))
         t, p, offset, d = t[order], p[order], offset[order], d[order]
         new = np.ones(len(t), bool)
-        new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (offset[1:] - offset[:-1] > slack)
+        loose = np.array([min(slack, max(1, len(b) // 3)) for b in self.body])
+        new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (offset[1:] - offset[:-1] > loose[t[1:]])
         starts = np.flatnonzero(new)
         size = np.bincount(doc, minlength=len(texts))
         first = np.cumsum(size) - size
@@ -196,7 +197,7 @@ class Index:
             begin, end = int(first[n]), int(first[n] + size[n])
             seen, many = np.unique(offset[a:b], return_counts=True)
             at = int(seen[many.argmax()])  # the place most hits agree on
-            if all(self._near(h, w, at + place, slack, begin, end) for place, w in self.phrases[k]):
+            if all(self._near(h, w, at + place, int(loose[k]), begin, end) for place, w in self.phrases[k]):
                 body = self.body[k]
                 i, j = max(begin, at), min(end, at + len(body))
                 yield n, k, at - begin, hits, float((h[i:j] == body[i - at : j - at]).sum()) / len(body)
