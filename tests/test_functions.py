@@ -23,8 +23,8 @@ def values(spark, f, inputs, *types):
 
 def test_normalize(spark):
     cases = {
-        "https://example.com/Path/With/Slash/": "https://example.com/Path/With/Slash/",
-        "https://example.com/path/ with spaces /value": "https://example.com/path/withspaces/value",
+        "https://e.org/Dir/Deep/": "https://e.org/Dir/Deep/",
+        "https://e.org/dir/ a b /c": "https://e.org/dir/ab/c",
         "http://u:p@ex.com:8443/x": "http://ex.com/x",
         " HTTP://EX.com ": "http://EX.com".lower(),
         "http://ex.com:abc/x": "http://ex.com:abc/x",
@@ -49,8 +49,8 @@ def test_validate(spark):
 
 
 def test_code_host(spark):
-    got = values(spark, lambda c: urls.code_host_request(c)["fetch_url"], ["https://github.com/org/repo/blob/main/docs/file.txt", "https://github.com/org/repo", "https://raw.githubusercontent.com/o/r/x", "https://raw.githubusercontent.com/o/r/x/y"])
-    assert got == ["https://raw.githubusercontent.com/org/repo/main/docs/file.txt", None, None, "https://raw.githubusercontent.com/o/r/x/y"]
+    got = values(spark, lambda c: urls.code_host_request(c)["fetch_url"], ["https://github.com/o/r/blob/main/d/f.txt", "https://github.com/o/r", "https://raw.githubusercontent.com/o/r/x", "https://raw.githubusercontent.com/o/r/x/y"])
+    assert got == ["https://raw.githubusercontent.com/o/r/main/d/f.txt", None, None, "https://raw.githubusercontent.com/o/r/x/y"]
 
 
 def test_hosts(spark):
@@ -88,7 +88,7 @@ def test_verdicts(spark):
 
 
 def gate(spark, **row):
-    base = dict(url="http://e.org/x", status=200, content_type="text/html", text="", method="aiohttp", pdf_extracted=False, pdf_locked=False, pdf_unlocked=False) | row
+    base = dict(url="http://e.org/x") | dict(status=200, content_type="text/html") | dict(text="", method="aiohttp", pdf_extracted=False, pdf_locked=False, pdf_unlocked=False) | row
     df = spark.createDataFrame([tuple(base.values())], "url string, status int, content_type string, text string, method string, pdf_extracted boolean, pdf_locked boolean, pdf_unlocked boolean")
     r = content.with_gate(content.with_features(df)).first()
     return r["verdict"], r["reasons"], r["junk_reason"]
@@ -100,7 +100,7 @@ def gate(spark, **row):
         (dict(text="This is a sentence. " * 200), "ok", None),
         (dict(text="Subscribe to continue. Log in."), "paywall", "paywall_markers"),
         (dict(text="<a href='/x'>word</a>" * 50, url="https://attack.mitre.org/t"), "ok", "link_heavy_allow"),
-        (dict(text="hello", url="https://capec.mitre.org/community/registration.html"), "paywall", "registration_required"),
+        (dict(text="hello", url="https://capec.mitre.org/community/a/login"), "paywall", "registration_required"),
         (dict(text="subscribe login " * 200, content_type="application/pdf"), "ok", None),
         (dict(text="Page not found", content_type="application/pdf"), "missing_file", "pdf_soft_404"),
         (dict(text="<p>x</p>", url="http://e.org/a.pdf"), "missing_file", "pdf_fetch_mismatch"),

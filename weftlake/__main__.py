@@ -19,7 +19,7 @@ def main(argv: list[str] | None = None) -> int:
     source.add_argument("--manifest")
     p.add_argument("--pages")
     p.add_argument("--out")
-    p.add_argument("--dry-run", action="store_true")
+    p.add_argument("--dry-run", help="count, no more", action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("weftlake").getOrCreate()
     if a.inventory:

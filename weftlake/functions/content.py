@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..policy import DEFAULT, Policy
 from .urls import host, match_suffix, path, strip
 
-CHROME = ("script", "style", "noscript", "nav", "footer", "header", "aside")
+CHROME = tuple("script style noscript nav footer header aside".split())
 SPACE = r"[ \t\n\f\r]+"
 
 

@@ -121,7 +121,7 @@ def code_host_request(url: Column) -> Column:
     return F.when((a == "raw.githubusercontent.com") & p.rlike(raw), made(raw, url)).when(a.isin("github.com", "www.github.com") & p.rlike(blob), made(blob, rewritten))
 
 
-_RELIABLE = {"application/pdf": ".pdf", "image/png": ".png", "image/jpeg": ".jpg", "image/gif": ".gif", "image/webp": ".webp", "application/zip": ".zip", "application/gzip": ".gz"}
+_RELIABLE = {f"{kind}/{x}": f".{x}" for kind, names in (("application", "pdf zip"), ("image", "gif png webp")) for x in names.split()} | {"application/gzip": ".gz", "image/jpeg": ".jpg"}
 _GUESS = {"text/html": ".html", "text/plain": ".txt", "application/json": ".json", "text/csv": ".csv", "text/markdown": ".md", "application/xml": ".xml", "text/css": ".css"}
 
 

@@ -25,6 +25,7 @@ SCHEMA = (
 )
 DEFINITION = re.compile(r"definition", re.I)
 DEPRECATED = re.compile(r"deprecat", re.I)
+TERMS = frozenset("div dt h1 h2 h3 h4 h5 p span strong th".split())
 OVERLAY = re.compile(r"\b(paywall|overlay|modal|signin|gate|wall)\b", re.I)
 NOTICE = frozenset("alert card danger-card deprecated notice warning".split())
 
@@ -121,7 +122,7 @@ def hub(root: Node, base: str, policy: Policy = DEFAULT, prefixes: tuple[str, ..
         if p.scheme not in ("http", "https"):
             continue
         path = p.path.strip()
-        if path in ("", "/") or "cdn-cgi" in path or "email-protection" in path:
+        if path in ("", "/") or re.search("email-protection|cdn-cgi", path):
             dropped += 1
         elif site != own and site not in other_hosts:
             continue
@@ -161,7 +162,7 @@ def definition(root: Node, html: str) -> str | None:
         return t[:800] if 40 <= len(t) <= 1200 else None
 
     for n in root.walk():
-        if n.tag in ("strong", "h1", "h2", "h3", "h4", "h5", "dt", "th", "p", "span", "div") and DEFINITION.search(t := n.text()):
+        if n.tag in TERMS and DEFINITION.search(t := n.text()):
             after = n.parent.items[n.parent.items.index(n) + 1 :] if n.parent else []
             return snippet(n.parent) or (snippet(after[0]) if after else None) or t
     lists = next((n for n in root.walk() if n.tag == "dl"), None)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.urls import host, match_suffix, normalize_domain, normalize_url, path, part, strip
 from ..policy import DEFAULT, Policy
 
-LISTS = ("controls", "titles", "frameworks", "worksheets")
+LISTS = tuple("controls titles frameworks worksheets".split())
 
 
 def build_entries(urls: DataFrame, url_col: str = "url", seq_col: str = "seq") -> DataFrame:

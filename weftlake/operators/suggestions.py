@@ -47,8 +47,8 @@ def parse_response(raw: pd.Series) -> pd.DataFrame:
     rows = []
     for r in raw:
         data = salvage(r)
-        listed = data.get("alternates") if isinstance(data, dict) else None
-        note = data.get("note") if isinstance(data, dict) else None
+        fields = data if isinstance(data, dict) else {}
+        listed, note = fields.get("alternates"), fields.get("note")
         items = [c for i in listed if (c := _clean(i))] if isinstance(listed, list) else []
         rows.append((isinstance(listed, list), note if note is None else str(note), items))
     return pd.DataFrame(rows, columns=["ok", "note", "items"])
@@ -65,7 +65,7 @@ def filter_suggestions(suggestions: DataFrame, policy: Policy = DEFAULT) -> Data
     return suggestions.where(
         (same | (normalize_title(F.col("title")) == normalize_title(F.col("source_title"))))
         & (F.coalesce("html_excerpt", F.lit("")) != "")
-        & ~looks_gated_url(F.col("url"), ("login", "signin", "subscribe", "paywall", "account"))
+        & ~looks_gated_url(F.col("url"), tuple("account login paywall signin subscribe".split()))
         & ~hinted(F.col("summary"), policy)
         & ~F.coalesce(site.isin(*sorted(policy.no_search)), F.lit(False))
     )

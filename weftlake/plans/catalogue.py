@@ -64,7 +64,7 @@ def simple(name: str, col: Callable[[], object], expr: str, key: str = "seq", ou
     register(name, f"{R} SELECT {key}, {expr} AS {out} FROM r")(lambda spark, d: results(spark, d).select(key, col().alias(out)))
 
 
-# ------------------------------------------------------------------ flagship
+# == flagship
 
 register(
     "domain_verdicts",
@@ -78,7 +78,7 @@ register(
     .agg(F.count("*").alias("n_pages"))
 )
 
-# ------------------------------------------------------------------ URLs
+# == URLs
 
 MESSY = "concat(CASE seq % 3 WHEN 0 THEN ' HTTP' WHEN 1 THEN 'https' ELSE 'Http' END, '://U:p@', CASE seq % 4 WHEN 0 THEN 'WWW.Ex' ELSE 'ex' END, CAST(seq % 7 AS STRING), '.Org', CASE seq % 5 WHEN 0 THEN ':8443' WHEN 1 THEN ':80' WHEN 2 THEN ':x1' ELSE '' END, '/P a/', CAST(seq AS STRING), CASE seq % 6 WHEN 0 THEN '/' WHEN 1 THEN '?a=1' WHEN 2 THEN '#f' WHEN 3 THEN '?' ELSE '' END)"
 RAW = "CASE seq % 6 WHEN 0 THEN '' WHEN 1 THEN concat('ftp://example.com/', CAST(seq AS STRING)) WHEN 2 THEN 'http://' WHEN 3 THEN 'file://' WHEN 4 THEN concat('file:///tmp/', CAST(seq AS STRING)) ELSE url END"
@@ -122,7 +122,7 @@ register(
     f"THEN concat('https://raw.githubusercontent.com/', {", '/', ".join(f"regexp_extract(p, '{_blob}', {k})" for k in (1, 2, 3, 4))}) END AS fetch_url, CASE WHEN a = 'raw.githubusercontent.com' AND regexp_matches(p, '{_raw}') THEN regexp_extract(p, '{_raw}', 3) WHEN a IN ('github.com', 'www.github.com') AND regexp_matches(p, '{_blob}') THEN regexp_extract(p, '{_blob}', 3) END AS ref FROM s",
 )(lambda spark, d: results(spark, d).select("seq", urls.code_host_request(F.expr(CODE)).alias("g")).select("seq", "g.fetch_url", "g.ref"))
 
-# ------------------------------------------------------------------ provenance
+# == provenance
 
 simple("soft_404_template", lambda: provenance.soft_404(t), S404("text"))
 simple("fallback_reason", lambda: provenance.fallback_reason(st, t), O.fallback_reason("status", "text"))
@@ -152,7 +152,7 @@ register("archive_timestamp", f"{R} SELECT seq, CASE WHEN seq % 3 = 0 THEN NULL
     lambda spark, d: results(spark, d).select("seq", provenance.archive_timestamp(F.when(F.col("seq") % 3 == 0, F.array(F.array(F.lit("timestamp")))).otherwise(F.array(F.array(F.lit("timestamp")), F.array(F.lit(" ")), F.array(F.concat(F.lit("2024"), F.col("seq").cast("string")))))).alias("stamp"))
 )
 
-# ------------------------------------------------------------------ content
+# == content
 
 register("visible_text", f"SELECT page_id, sha256({O.visible('html')}) AS text_sha, length({O.visible('html')}) AS n_chars FROM pages")(
     lambda spark, d: load(spark, d, "pages").select("page_id", content.visible_text(F.col("html")).alias("v")).select("page_id", F.sha2("v", 256).alias("text_sha"), F.length("v").alias("n_chars"))
@@ -204,7 +204,7 @@ register("prune_markdown", r"SELECT doc_id, sha256(regexp_replace(CASE WHEN doc_
 )
 register("minimal_fix", "SELECT doc_id, length(text) AS n FROM documents")(lambda spark, d: load(spark, d, "documents").select("doc_id", F.length(content.minimal_fix(F.concat(t, F.lit("​﻿")))).alias("n")))
 
-# ------------------------------------------------------------------ paywalls
+# == paywalls
 
 register("paywall_score", f"{R}, h AS (SELECT seq, url, status, text AS html FROM r), {O.paywall_steps('h')} SELECT seq, score, pverdict AS verdict, indicators, page_len, article_len FROM pw")(
     lambda spark, d: paywall.with_detection(results(spark, d)).select("seq", F.col("pw_score").alias("score"), F.col("pw_verdict").alias("verdict"), joined("pw_indicators").alias("indicators"), F.col("pw_page_len").alias("page_len"), F.col("pw_article_len").alias("article_len"))
@@ -225,7 +225,7 @@ register("resolver_topn", f"{ANN}, e AS (SELECT *, {O.fallback_reason('status',
     lambda spark, d: entries.first_pending(annotated(spark, d).where(paywall.resolver_eligible(F.col("domain"), st, t, F.col("fallback_reason"), F.col("verdict"), F.col("paywall_verdict"))), 25).select("seq")
 )
 
-# ------------------------------------------------------------------ entries and joins
+# == entries and joins
 
 ENTRY = {
     "url": "concat(CASE page_id % 2 WHEN 0 THEN 'HTTP://Site' ELSE 'http://site' END, CAST(page_id % 90 AS STRING), '.example.com:80/p')",
@@ -339,7 +339,7 @@ register("context_join", "WITH c AS (SELECT conv_id AS id, arg_max(role, turn) A
     lambda spark, d: load(spark, d, "documents").select("doc_id").join(entries.keep_last(load(spark, d, "conversations").select(F.col("conv_id").alias("id"), "role", "turn"), "id", "turn"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "role", "turn")
 )
 
-# ------------------------------------------------------------------ hubs and fan-out
+# == hubs and fan-out
 
 _bodyless = "html"
 for _t in content.CHROME:
@@ -381,7 +381,7 @@ register("hub_links")(lambda spark, d: load(spark, d, "pages").select("page_id",
 register("markdown")(lambda spark, d: load(spark, d, "pages").select("page_id", dom.features(F.col("html"), u).alias("x")).select("page_id", "x.markdown"))
 register("fit_markdown")(lambda spark, d: load(spark, d, "pages").select("page_id", dom.fit_markdown(F.col("html"), F.array(F.lit("main"), F.lit("article"))).alias("markdown")))
 
-# ------------------------------------------------------------------ reports
+# == reports
 
 register(
     "failure_summary",
@@ -430,7 +430,7 @@ register("proxy_counters", f"{R} SELECT method AS domain, concat('status_', CAST
     lambda spark, d: reports.proxy_counters(results(spark, d).select(F.col("method").alias("domain"), F.when(F.col("proxy_attempted"), F.concat(F.lit("status_"), st.cast("string"))).alias("proxy_reason"), "proxy_used"))
 )
 
-# ------------------------------------------------------------------ state and storage
+# == state and storage
 
 _CH = ["concat('http://Site', CAST(doc_id % 300 AS STRING), '.example.com/') AS url", "CASE WHEN doc_id % 4 = 0 THEN source ELSE text END AS text", "concat('2025-01-', CAST(10 + doc_id % 19 AS STRING)) AS fetched_at", "doc_id AS seq"]
 CH = f"WITH c AS (SELECT {', '.join(_CH)} FROM documents), n AS (SELECT *, {O.normalize_url('url')} AS url_norm, sha256(text) AS sha FROM c WHERE length(text) > 0), w AS (SELECT *, lag(sha) OVER o AS before, lag(length(text)) OVER o AS len_before FROM n WINDOW o AS (PARTITION BY url_norm ORDER BY fetched_at, seq))"
@@ -468,7 +468,7 @@ def _cache(spark, d):
 register("cache_lookup", f"{CACHE} SELECT r.seq, CASE WHEN r.method <> 'file' THEN coalesce(a.value, b.value) END AS cached FROM r LEFT JOIN c a ON a.key = {O.normalize_url('r.url')} LEFT JOIN c b ON b.key = r.url")(
     lambda spark, d: store.cache_lookup(results(spark, d).select("seq", "url", "method"), _cache(spark, d), F.col("method") == "file").select("seq", "cached")
 )
-register("cache_prune", "SELECT event_id AS key, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS fetched_at FROM events ORDER BY ts DESC, event_id LIMIT 5000")(
+register("cache_prune", "SELECT event_id AS key, concat(strftime(ts, '%Y-%m-%d'), ' ', strftime(ts, '%H:%M:%S.%f')) AS fetched_at FROM events ORDER BY ts DESC, event_id LIMIT 5000")(
     lambda spark, d: store.cache_prune(load(spark, d, "events").select(F.col("event_id").alias("key"), F.col("ts").alias("fetched_at"))).select("key", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fetched_at"))
 )
 register("cache_upsert", f"{R} SELECT {O.host('url')} AS key, max(fetched_at) AS fetched_at FROM r GROUP BY 1")(
@@ -476,14 +476,14 @@ register("cache_upsert", f"{R} SELECT {O.host('url')} AS key, max(fetched_at) AS
 )
 register("persist_downloads", f"{F_STEPS} SELECT seq, url, CASE WHEN length(clean) > 0 THEN sha256(clean) END AS blob_sha256, CASE WHEN length(clean) = 0 THEN 'download_missing_no_payload' END AS error FROM j WHERE verdict = 'ok'")(lambda spark, d: store.persist_downloads(annotated(spark, d)))
 
-# ------------------------------------------------------------------ windows
+# == windows
 
 register("sentences", f"WITH {O.SENTENCE_STEPS} SELECT doc_id, i::INTEGER AS i, s::INTEGER AS s, e::INTEGER AS e FROM sent")(
     lambda spark, d: load(spark, d, "documents").select("doc_id", F.explode(windows.sentences("text")).alias("x")).select("doc_id", "x.i", "x.s", "x.e")
 )
 register("rolling_windows", O.windows_sql())(lambda spark, d: windows.explode_windows(load(spark, d, "documents"), "doc_id", t).withColumn("text_sha", F.sha2("text", 256)).drop("text"))
 
-# ------------------------------------------------------------------ event time
+# == event time
 
 register("event_rates", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS key, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(
     lambda spark, d: live.rates(load(spark, d, "events")).withColumn("total", F.round("total", 4)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

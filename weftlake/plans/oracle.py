@@ -109,7 +109,7 @@ def verdict(n: str, d: str, k: str, p: Policy = DEFAULT) -> str:
 #: Result rows derived from pages, the same expressions in both dialects.
 RESULT = {
     "seq": "page_id",
-    "url": "CASE page_id % 10 WHEN 0 THEN concat('https://github.com/org/repo/blob/main/docs/f', CAST(page_id AS STRING), '.txt') WHEN 1 THEN concat('https://www.attack.mitre.org/t/', CAST(page_id AS STRING)) WHEN 2 THEN concat('https://www.nytimes.com/a/', CAST(page_id AS STRING), '.html') "
+    "url": "CASE page_id % 10 WHEN 0 THEN concat('https://github.com/org/repo/blob/v1/docs/f', CAST(page_id AS STRING), '.txt') WHEN 1 THEN concat('https://www.attack.mitre.org/t/', CAST(page_id AS STRING)) WHEN 2 THEN concat('https://www.nytimes.com/a/', CAST(page_id AS STRING), '.html') "
     "WHEN 3 THEN concat('https://docs.example.gov/x', CAST(page_id AS STRING), '.pdf') WHEN 4 THEN concat('https://capec.mitre.org/community/registration', CAST(page_id AS STRING), '.html') ELSE url END",
     "status": "CASE page_id % 9 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN 429 WHEN 3 THEN 503 WHEN 4 THEN 401 WHEN 5 THEN -1 ELSE 200 END",
     "content_type": "CASE page_id % 4 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'text/html' WHEN 2 THEN 'text/plain' ELSE 'application/pdf' END",

@@ -14,6 +14,11 @@ def _phrases(text: str) -> tuple[str, ...]:
     return tuple(p.strip() for p in text.split("|"))
 
 
+def _bounded(text: str) -> tuple[str, ...]:
+    """Patterns of whole words."""
+    return tuple(rf"\b{p.strip()}\b" for p in text.split(";"))
+
+
 GATED = _hosts(
     com="bloomberg ecadforum fortinet money.cnn nytimes online.wsj reuters securityboulevard sentinelone asec.ahnlab spaceref thuraya twitter washingtonpost waterfall-security wired wsj x zdnet arabsat",
     org="almaobservatory atlas.mitre c4i cheatsheetseries.owasp hbr irp.fas web.archive",
@@ -53,7 +58,7 @@ class Policy:
     missing_file_chars: int = 1200
     missing_file_tokens: tuple[str, ...] = _phrases("404|access denied|doesn't exist|does not exist|errors.edgesuite.net|file not found|page not found|page you were looking for can't be found|page you were looking for cannot be found|sorry, the page")
     # soft 404: every token of a template
-    soft_404: tuple[tuple[str, tuple[str, ...]], ...] = (
+    soft_404: tuple = (
         ("github_pages_404", _phrases("does not contain the requested file|page not found · github pages|the site configured at this address")),
         ("cloudflare_access_denied", _phrases("access denied|cloudflare|error 1020|you are unable to access")),
         ("s3_nosuchkey", _phrases("code>nosuchkey<|<code>nosuchkey</code>")),
@@ -71,16 +76,12 @@ class Policy:
     scripted: frozenset[str] = SCRIPTED
     sign_in: frozenset[str] = SIGN_IN
     # paywall detector
-    strong: tuple[str, ...] = (
-        r"\bpaywall\b", r"\bunlimited access\b", r"\bsubscription required\b", r"\bnot available in your region\b", r"\bthis article is for subscribers\b",
-        r"\byou (?:have|used) [0-9]+ free articles\b", r"\b(subscriber|members?) only\b",
-    )
-    soft: tuple[str, ...] = (
-        r"\bsubscribe\b", r"\bsubscription\b", r"\blog in to (?:continue|read)\b", r"\bsign in to (?:continue|read)\b", r"\bplease enable javascript\b",
-        r"\byou are viewing this page in an unauthorized frame\b", r"\bthis is a potential security issue\b",
-    )
-    vendors: tuple[str, ...] = tuple(rf"\b{v}\b" for v in "blueconic cleeng laterpay memberful piano pressplus tinypass zephr (paywall|metered)wall".split())
-    legal: tuple[str, ...] = tuple(rf"\b{v}\b" for v in ("all rights reserved", "copyright", "dmca", "terms and conditions", "terms of service"))
+    strong: tuple[str, ...] = _bounded("paywall; unlimited access; subscription required; not available in your region; this article is for subscribers; you (?:have|used) [0-9]+ free articles; (subscriber|members?) only")
+    soft: tuple[str, ...] = _bounded(
+        "subscribe; subscription; log in to (?:continue|read); sign in to (?:continue|read); please enable javascript; this is a potential security issue; you are viewing this page in an unauthorized frame"
+    )
+    vendors: tuple[str, ...] = _bounded("blueconic; cleeng; laterpay; memberful; piano; pressplus; tinypass; zephr; (paywall|metered)wall")
+    legal: tuple[str, ...] = _bounded("all rights reserved; copyright; dmca; terms and conditions; terms of service")
     weights: dict = field(
         default_factory=lambda: dict(
             unauthorized=1.0, payment=0.9, limited=0.4, strong=0.6, soft=0.2, vendor=0.5, overlay=0.4, gap=0.7, stub=0.2, legal=0.3, noscript=0.4, meta=0.4, host=0.5
