@@ -63,7 +63,7 @@ def test_sql(spark, duck, name):
     compare(spark, duck, name)
 
 
-# ---------------------------------------------------------------- common
+# == common
 
 
 def test_words_and_ngrams():
@@ -98,7 +98,7 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-# ---------------------------------------------------------------- 1 sharding
+# == 1 sharding
 
 
 def test_sharding_bounds(spark):
@@ -128,7 +128,7 @@ def test_sharding_odd(spark, messy, empty, tmp_path):
     assert spark.read.parquet(str(tmp_path / "w")).count() == 2
 
 
-# ---------------------------------------------------------------- 2 exact deduplication
+# == 2 exact deduplication
 
 
 def test_exact_odd(messy, empty):
@@ -154,7 +154,7 @@ def test_heavy_hitters(spark, share):
     assert {(x["id"], x["n"]) for x in hot} == {(texts.index(t), n) for t, n in Counter(texts).items() if n >= max(2, share * len(texts))}
 
 
-# ---------------------------------------------------------------- 3 language
+# == 3 language
 
 
 def test_language_held_out(spark):
@@ -186,7 +186,7 @@ def test_svm_separates():
     assert ((x @ w[:-1] + w[-1] > 0) == (y > 0)).mean() > 0.97
 
 
-# ---------------------------------------------------------------- 4 HTML
+# == 4 HTML
 
 
 def page(items, extra="", foot=True, title="T"):
@@ -245,7 +245,7 @@ def test_html_all_pages(spark):
     assert out.where("not matched").count() == 0 and out.where("length(text) > 100 and title is not null").count() > 0.9 * out.count()
 
 
-# ---------------------------------------------------------------- 5 mixing
+# == 5 mixing
 
 
 def test_raking_meets_marginals():
@@ -278,7 +278,7 @@ def test_mixing_odd(messy, empty):
     assert mixing.sample(empty).count() == 0 and mixing.weights(empty).count() == 0
 
 
-# ---------------------------------------------------------------- 6 n-gram join
+# == 6 n-gram join
 
 
 def brute_pairs(texts, n, num, den):
@@ -323,7 +323,7 @@ def test_join_odd(messy, empty):
     assert ngram_join.join(empty).count() == 0 and ngram_join.drop_near_copies(empty).count() == 0
 
 
-# ---------------------------------------------------------------- 7 packing
+# == 7 packing
 
 
 def check_packing(out, lengths, tiers):
@@ -381,7 +381,7 @@ def test_packing_odd(messy, empty):
     assert packing.pack(empty).count() == 0
 
 
-# ---------------------------------------------------------------- 8 embeddings
+# == 8 embeddings
 
 
 def test_graph_recall():
@@ -429,7 +429,7 @@ def test_embeddings_odd(spark):
     assert hnsw.near_groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-# ---------------------------------------------------------------- 9 licences
+# == 9 licences
 
 
 def test_licences_match_brute_force(spark):
@@ -463,7 +463,7 @@ def test_licences_odd(messy, empty):
     assert licenses.scan(empty).count() == 0
 
 
-# ---------------------------------------------------------------- 10 personal data
+# == 10 personal data
 
 
 def test_pii_held_out():

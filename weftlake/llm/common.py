@@ -61,7 +61,7 @@ def uniform_sql(key: str, seed: int | str) -> str:
     return f"(('0x' || substr(md5('{seed}:' || coalesce(CAST({key} AS VARCHAR), 'null')), 1, 13))::BIGINT / {float(1 << 52)!r})"
 
 
-# ---------------------------------------------------------------- components
+# == components
 
 
 def _contract(batches):
@@ -116,7 +116,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return known.unionByName(lone).distinct()
 
 
-# ---------------------------------------------------------------- words as numbers
+# == words as numbers
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: An odd base and its inverse modulo 2**64: prefix sums of b * BASE**i give any substring's hash.

@@ -44,7 +44,7 @@ MAX_UNIT = 12
 SCHEMA = "page_id long, host string, matched boolean, n_slots int, title string, text string"
 
 
-def tokens(html: str) -> tuple[list[str], list[str], list[str]]:
+def tokens(html: str) -> tuple[list, list, list]:
     """(tokens, texts, zone of each text: title, aside or body); a text is the token ``#``."""
     out, texts, zones = [], [], []
     depth, title = 0, False

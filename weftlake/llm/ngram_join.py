@@ -48,7 +48,7 @@ SLICE_BYTES = 2 << 20
 TASK_BYTES = 16 << 20
 
 
-# ---------------------------------------------------------------- blocks of numbers
+# == blocks of numbers
 
 
 def pack(*columns: np.ndarray) -> bytes:
