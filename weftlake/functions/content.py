@@ -7,8 +7,12 @@ starts ``<navx``.  operators/dom.py has the functions that need one.
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..policy import DEFAULT, Policy
 from .urls import host, match_suffix, path, strip
@@ -210,3 +214,12 @@ def redact_value(value: Column) -> Column:
 
 def content_hash(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.sha2(text, 256)).otherwise("")
+
+
+def nfc(text: Column) -> Column:
+    """Canonical composition; Arrow batches, as there is no built-in."""
+    @F.pandas_udf(T.StringType())
+    def run(t: pd.Series) -> pd.Series:
+        return t.map(lambda s: s if s is None else unicodedata.normalize("NFC", s))
+
+    return run(text)

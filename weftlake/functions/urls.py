@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..policy import DEFAULT, Policy
 
@@ -148,3 +150,31 @@ def looks_gated_url(url: Column, tokens=("login", "paywall", "signin", "sign-in"
     for t in tokens:
         out = out | low.contains(t)
     return out
+
+
+def idna_host(host_: Column) -> Column:
+    """Lower-cased host in its ASCII form; ASCII hosts never leave the JVM."""
+    @F.pandas_udf(T.StringType())
+    def encode(h: pd.Series) -> pd.Series:
+        def one(s):
+            try:
+                return s.encode("idna").decode("ascii") if s else s
+            except UnicodeError:
+                return s
+
+        return h.map(one)
+
+    low = F.lower(F.regexp_replace(strip(F.coalesce(host_, F.lit(""))), r"\.+$", ""))
+    foreign = low.rlike(r"[^\x00-\x7f]")
+    # a Python function runs for every row whatever branch it is in, so it gets nulls where it isn't needed
+    return F.when(foreign, encode(F.when(foreign, low))).otherwise(low)
+
+
+def final_url(url: Column, *candidates: Column) -> Column:
+    """The first of ``candidates`` that isn't empty, in their order of precedence, else the URL."""
+    return F.coalesce(*(F.nullif(c, F.lit("")) for c in candidates), url)
+
+
+def alternate_provider(via: Column, source: Column, note: Column) -> Column:
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    return F.when(low(via).isin("wayback", "jina"), low(via)).when(low(source).isin("brave_search", "brave") | (note == "brave_redirect"), "brave")

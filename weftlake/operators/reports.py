@@ -121,3 +121,19 @@ def proxy_counters(results: DataFrame) -> DataFrame:
 def as_json_row(counts: DataFrame) -> DataFrame:
     """A report of one row as one JSON document."""
     return counts.select(F.to_json(F.struct(*counts.columns)).alias("value"))
+
+
+def walkthrough(items: DataFrame) -> DataFrame:
+    """One block of Markdown for each item of summary_items(), numbered in order of the run."""
+    line = lambda name: F.concat(F.lit(f"{name}: "), F.coalesce(F.col(name).cast("string"), F.lit("none")))
+    head = F.concat(F.lit("## Item "), (F.col("consumer_id") + 1).cast("string"))
+    return items.select("consumer_id", F.concat_ws("\n", head, *(line(c) for c in ("url", "final_url", "verdict", "paywall"))).alias("block"))
+
+
+def compare_markdown(pages: DataFrame, html_col: str = "html", markdown_col: str = "markdown") -> DataFrame:
+    """Pages with how much of their tokens and headings their Markdown keeps."""
+    from ..functions.content import headings, jaccard, markdown_headings, tokens, visible_text
+
+    html, md = F.col(html_col), F.col(markdown_col)
+    shared = [F.array_sort(F.array_intersect(headings(html, k, n), markdown_headings(md, k, n))).alias(f"shared_h{k}") for k, n in ((1, 25), (2, 50), (3, 75))]
+    return pages.select("*", jaccard(tokens(visible_text(html, ("script", "style"))), tokens(md)).alias("token_jaccard"), *shared)

@@ -77,3 +77,12 @@ def persist_downloads(results: DataFrame, allow_junk: bool = False) -> DataFrame
     rows = results if allow_junk else results.where("coalesce(verdict, 'ok') = 'ok'")
     has = F.length(F.coalesce("text", F.lit(""))) > 0
     return rows.select("seq", "url", F.when(has, F.sha2("text", 256)).alias("blob_sha256"), F.when(~has, "download_missing_no_payload").alias("error"))
+
+
+def raw_text(results: DataFrame, texts: DataFrame) -> DataFrame:
+    """Results with raw_text: their own text, else their bytes, else the stored text their pointer names."""
+    stored = texts.select(F.concat("sha256", F.lit(".txt")).alias("stored_path"), F.col("text").alias("stored_text"))
+    own = F.nullif(F.coalesce("text", F.lit("")), F.lit(""))
+    raw = F.nullif(F.try_validate_utf8(F.col("raw_bytes").cast("string")), F.lit("")) if "raw_bytes" in results.columns else F.lit(None).cast("string")
+    joined = results.join(stored, F.col("text_path") == F.col("stored_path"), "left")
+    return joined.select(*results.columns, F.coalesce(own, raw, F.col("stored_text")).alias("raw_text"))

@@ -122,6 +122,10 @@ register(
     f"THEN concat('https://raw.githubusercontent.com/', {", '/', ".join(f"regexp_extract(p, '{_blob}', {k})" for k in (1, 2, 3, 4))}) END AS fetch_url, CASE WHEN a = 'raw.githubusercontent.com' AND regexp_matches(p, '{_raw}') THEN regexp_extract(p, '{_raw}', 3) WHEN a IN ('github.com', 'www.github.com') AND regexp_matches(p, '{_blob}') THEN regexp_extract(p, '{_blob}', 3) END AS ref FROM s",
 )(lambda spark, d: results(spark, d).select("seq", urls.code_host_request(F.expr(CODE)).alias("g")).select("seq", "g.fetch_url", "g.ref"))
 
+simple("idna_hosts", lambda: urls.idna_host(urls.host(u)), O.host("url"))
+simple("final_url", lambda: urls.final_url(u, F.when(F.col("seq") % 3 == 0, ""), F.when(F.col("seq") % 4 == 0, F.lit("http://alt/"))), "CASE WHEN seq % 4 = 0 THEN 'http://alt/' ELSE url END")
+simple("alternate_provider", lambda: urls.alternate_provider(F.col("via"), F.lit(None), F.when(F.col("seq") % 5 == 0, "brave_redirect")), "CASE WHEN lower(via) IN ('wayback', 'jina') THEN lower(via) WHEN seq % 5 = 0 THEN 'brave' END")
+
 # == provenance
 
 simple("soft_404_template", lambda: provenance.soft_404(t), S404("text"))
@@ -381,6 +385,10 @@ register("hub_links")(lambda spark, d: load(spark, d, "pages").select("page_id",
 register("markdown")(lambda spark, d: load(spark, d, "pages").select("page_id", dom.features(F.col("html"), u).alias("x")).select("page_id", "x.markdown"))
 register("fit_markdown")(lambda spark, d: load(spark, d, "pages").select("page_id", dom.fit_markdown(F.col("html"), F.array(F.lit("main"), F.lit("article"))).alias("markdown")))
 
+register("markdown_overlap")(
+    lambda spark, d: reports.compare_markdown(load(spark, d, "pages").select("page_id", "html", dom.features(F.col("html"), u).alias("x")).select("page_id", "html", F.col("x.markdown").alias("markdown"))).select("page_id", "token_jaccard", joined("shared_h1").alias("shared"))
+)
+
 # == reports
 
 register(
@@ -420,6 +428,7 @@ def _items(spark, d):
 
 
 register("summary_items", f"{ITEMS} SELECT * FROM item")(_items)
+register("walkthrough", f"{ITEMS} SELECT consumer_id, concat('## Item ', consumer_id + 1, E'\\nurl: ', url, E'\\nfinal_url: ', final_url, E'\\nverdict: ', verdict, E'\\npaywall: ', coalesce(paywall, 'none')) AS block FROM item")(lambda spark, d: reports.walkthrough(_items(spark, d)))
 register("summary_counts", f"{ITEMS} SELECT count(*) AS total, count_if(verdict = 'ok') AS ok, count_if(verdict IN ('failed', 'missing_result')) AS failed, count_if(verdict = 'junk') AS junk, count_if(url <> final_url) AS used_alternates FROM item")(lambda spark, d: reports.summary_counts(_items(spark, d)))
 _sv, _bv = f"lower({O.part(O.strip('url'), 1)})", O.strip("url")
 _bad = f"({_bv} = '' OR {_sv} NOT IN ('http', 'https', 'file') OR ({_sv} <> 'file' AND {O.part(_bv, 2)} = '') OR ({_sv} = 'file' AND {O.part(_bv, 3)} = ''))"
@@ -476,6 +485,14 @@ register("cache_upsert", f"{R} SELECT {O.host('url')} AS key, max(fetched_at) AS
 )
 register("persist_downloads", f"{F_STEPS} SELECT seq, url, CASE WHEN length(clean) > 0 THEN sha256(clean) END AS blob_sha256, CASE WHEN length(clean) = 0 THEN 'download_missing_no_payload' END AS error FROM j WHERE verdict = 'ok'")(lambda spark, d: store.persist_downloads(annotated(spark, d)))
 
+_X = "CASE seq % 3 WHEN 0 THEN '' WHEN 1 THEN text END"
+register("raw_text", f"{R}, x AS (SELECT seq, text AS kept, sha256(text) AS sha, {_X} AS text FROM r) SELECT seq, sha256(CASE WHEN coalesce(text, '') <> '' THEN text WHEN length(kept) > 0 THEN kept END) AS raw_sha FROM x")(
+    lambda spark, d: store.raw_text(
+        results(spark, d).select("seq", F.when(F.length("text") > 0, F.concat(F.sha2("text", 256), F.lit(".txt"))).alias("text_path"), F.expr(_X).alias("text")),
+        results(spark, d).where("length(text) > 0").select(F.sha2("text", 256).alias("sha256"), "text").dropDuplicates(["sha256"]),
+    ).select("seq", F.sha2("raw_text", 256).alias("raw_sha"))
+)
+
 # == windows
 
 register("sentences", f"WITH {O.SENTENCE_STEPS} SELECT doc_id, i::INTEGER AS i, s::INTEGER AS s, e::INTEGER AS e FROM sent")(
