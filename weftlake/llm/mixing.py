@@ -28,8 +28,8 @@ KEEP = 0.6
 ROUNDS = 15
 DIMS = ("source", "lang", "topic")
 NULL = "<null>"
-#: More cells than this are raked as a distributed table.
-LOCAL_CELLS = 500_000
+#: More cells than this are raked as a distributed table and joined by shuffling.
+LOCAL_CELLS = 100_000
 
 
 def topic(text: Column) -> Column:
@@ -147,9 +147,9 @@ def with_chance(docs, source_col="source", lang_col="lang", text_col="text", top
         raked = rake(rows, targets, alpha, rounds) if rows else np.zeros(0)
         p = chances(np.array([r[3] for r in rows], float), raked, keep) if rows else []
         by_cell = docs.sparkSession.createDataFrame([(*r[:3], float(x)) for r, x in zip(rows, p)], "source string, lang string, topic string, p double")
+        by_cell = F.broadcast(by_cell)  # no more than local_cells rows
     else:
         by_cell = cut(_chance_table(_rake_table(cells, targets, alpha, rounds), keep))
-    # a local table is broadcast below the planner's threshold and shuffled beyond it
     return marked.join(by_cell, list(DIMS))
 
 
