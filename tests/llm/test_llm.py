@@ -315,6 +315,21 @@ def test_join_is_exact(spark, n, threshold):
     assert got == brute_pairs(texts, n, *threshold)
 
 
+@pytest.mark.parametrize("times", [2, 3])
+def test_join_counts_repeated_rows_once(spark, times):
+    r = random.Random(times)
+    w = [f"w{k}" for k in range(900)]
+    # 0 and 1 share a fifth of their n-grams, 2 and 3 two thirds, 4 and 5 most; all of 0 to 5 come again and again
+    texts = {0: w[:104], 1: w[84:300], 2: w[300:403], 3: w[320:420], 4: w[500:600], 5: w[505:600], 6: w[550:600] + w[700:720]}
+    texts |= {10 + k: [r.choice("abc") for _ in range(9)] for k in range(20)}
+    texts = {k: " ".join(v) for k, v in texts.items()}
+    given = [x for k, t in texts.items() for x in [(k, t)] * (times if k < 6 or k % 2 else 1)]
+    r.shuffle(given)
+    out = ngram_join.join(spark.createDataFrame(given, "doc_id long, text string").repartition(3)).collect()
+    assert {(x["doc_a"], x["doc_b"], x["overlap"]) for x in out} == brute_pairs(texts, 5, 2, 5) and all(0.4 <= x["jaccard"] <= 1 for x in out)
+    assert len(out) == len({(x["doc_a"], x["doc_b"]) for x in out}) and (2, 3) in {(x["doc_a"], x["doc_b"]) for x in out}
+
+
 def test_join_odd(messy, empty):
     out = ngram_join.join(messy).collect()
     assert [(r["doc_a"], r["doc_b"]) for r in out] == [(1, 2)]

@@ -155,6 +155,14 @@ def _shared(groups: int):
         del cols, pdf
         order = np.argsort(g)
         g, d = g[order], d[order]
+        again = g[1:] == g[:-1]
+        some = np.append(False, again) | np.append(again, False)
+        g, d = g[some], d[some]
+        order = np.lexsort((d, g))
+        g, d = g[order], d[order]
+        # rows that are repeated count once
+        new = np.append(True, (g[1:] != g[:-1]) | (d[1:] != d[:-1]))[: len(g)]
+        g, d = g[new], d[new]
         starts = np.flatnonzero(np.diff(g, prepend=~g[:1]))
         many = np.diff(np.append(starts, len(g)))
         df = np.repeat(many, many)
