@@ -206,6 +206,19 @@ def test_wrapper_of_a_host(spark):
         assert [out[k]["title"] for k in range(4)] == ["one", "two", "three", "four"]  # "Shop" and "Home" are template
 
 
+def test_template_is_on_all_pages(spark):
+    at = lambda host, pages: [(f"http://{host}/{k}", h) for k, h in enumerate(pages)]
+    copies = at("copies.org", [page(["a", "b"], "<p>note</p>")] * 3 + [page(["a", "b"], "<p>note</p>") + "<!-- fetched again -->"])
+    byline = at("byline.org", [page([f"i{k}"], "<p>by Ann</p>" if k in (2, 5) else "", title=f"t{k}") for k in range(9)] + ["", None])
+    given = [(k, *x) for k, x in enumerate(copies + at("alone.org", [page(["a", "b"], "<p>note</p>")]) + byline)]
+    df = spark.createDataFrame(given, "page_id long, url string, html string").repartition(3)
+    for small in (1 << 20, 0):
+        out = {r["page_id"]: r for r in html_wrapper.extract(df, broadcast_bytes=small).collect()}
+        assert {(out[k]["title"], out[k]["text"]) for k in range(5)} == {("T", "Shop\na\nb\nnote")}
+        texts = [out[5 + k]["text"] for k in range(9)]
+        assert texts == [f"i{k}" + ("\nby Ann" if k in (2, 5) else "") for k in range(9)]  # "Shop" is template
+
+
 def test_wrappers_accept_what_they_came_from():
     r = random.Random(4)
 

@@ -11,8 +11,9 @@ doesn't depend on how pages are spread over tasks, and a host with many pages
 isn't gathered anywhere, only its distinct streams are.
 
 Every page is then parsed with the wrapper of its host.  A slot that has the
-same text on all pages of the host (two at least) belongs to the template; the
-others hold data.  The text of a page is what its data slots hold outside of
+same text on all pages of the host that hold any text belongs to the template;
+the others hold data.  Pages with equal texts are one page: a host that has only
+one, however often, has no template, and all its texts stay.  The text of a page is what its data slots hold outside of
 navigation, headers of sites, footers and asides, the title apart.
 
 Defined cases: a null or empty page has null title and empty text; a page
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from hashlib import blake2b
 from html import unescape
 
 import numpy as np
@@ -313,6 +315,7 @@ def _skeletons(batches):
 
 def _infer_host(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["n", "skeleton"], ascending=[False, True], kind="stable")
+    pdf = pdf.sort_values("skeleton", key=lambda c: c == "", kind="stable")  # an empty page makes all that was found optional, so it is last
     wrapper = infer([read(s) for s in pdf["skeleton"]])
     return pd.DataFrame({"host": [key[0]], "wrapper": [show(wrapper)], "n_pages": [int(pdf["n"].sum())]})
 
@@ -350,12 +353,17 @@ def _parsed(pdf: pd.DataFrame, of_host: dict | None):
 
 
 def _slots(of_host: dict | None):
-    """Of each slot in a task: on how many pages it occurs, whether its texts are the same, and that text."""
+    """Of each slot in a task: on how many pages it occurs, whether its texts are the same, and that text; as slot -1 of a host, how many pages have texts, and the least and greatest digest of these."""
 
     def run(batches):
         seen: dict[tuple[str, int], list] = {}
+        pages: dict[str, list] = {}
         for pdf in batches:
             for _, host, slots, texts, _ in _parsed(pdf, of_host):
+                if texts:
+                    d = blake2b("\0".join(texts).encode("utf-8", "replace"), digest_size=16).hexdigest()
+                    n, lo, hi = pages.get(host, (0, d, d))
+                    pages[host] = [n + 1, min(lo, d), max(hi, d)]
                 here: set[int] = set()
                 for s, t in zip(slots or (), texts):
                     h = t if len(t) <= 200 else None  # long texts are data
@@ -363,7 +371,8 @@ def _slots(of_host: dict | None):
                     own[1] += s not in here
                     own[2] = own[2] and own[0] == h
                     here.add(s)
-        yield pd.DataFrame([(h, s, t if same else None, n, same) for (h, s), (t, n, same) in seen.items()], columns=["host", "slot", "text", "n", "same"])
+        rows = [(h, s, t if same else None, t if same else None, n, same) for (h, s), (t, n, same) in seen.items()]
+        yield pd.DataFrame(rows + [(h, -1, lo, hi, n, True) for h, (n, lo, hi) in pages.items()], columns=["host", "slot", "lo", "hi", "n", "same"])
 
     return run
 
@@ -395,15 +404,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     inner = _pages(pages, id_col, url_col, html_col)
     known = cut(_wrappers(inner))
     size = known.agg(F.sum(F.length("wrapper") + F.length("host") + 64)).first()[0] or 0
-    schema = "host string, slot int, text string, n long, same boolean"
+    schema = "host string, slot int, lo string, hi string, n long, same boolean"
     if small := size <= broadcast_bytes:
         of_host = {r["host"]: r["wrapper"] for r in known.collect()}
         parts = inner.mapInPandas(_slots(of_host), schema)
     else:
         joined = inner.join(known.select("host", "wrapper"), "host")
         parts = joined.select("id", "host", "html", "wrapper").mapInPandas(_slots(None), schema)
-    slots = parts.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.bool_and("same").alias("same"), F.min("text").alias("lo"), F.max("text").alias("hi"))
-    fixed = slots.where("same and n > 1 and lo = hi").groupBy("host").agg(F.collect_list("slot").alias("fixed"))
+    slots = parts.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.bool_and("same").alias("same"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    steady = slots.where("same and (slot = -1) = (lo <> hi)").groupBy("host").agg(F.max(F.expr("if(slot = -1, n, null)")).alias("n_pages"), F.collect_list(F.expr("if(slot >= 0, struct(slot, n), null)")).alias("s"))
+    fixed = steady.where("n_pages is not null").select("host", F.expr("transform(filter(s, x -> x.n = n_pages), x -> x.slot)").alias("fixed"))
     if small:  # no more than the slots of those wrappers
         still = {r["host"]: frozenset(r["fixed"]) for r in fixed.collect()}
         return inner.mapInPandas(_extract(of_host, still), SCHEMA)
