@@ -245,6 +245,20 @@ def test_wrappers_accept_what_they_came_from():
             assert slots is not None and len(slots) == s.count("#")
 
 
+@pytest.mark.parametrize(
+    ("html", "body"),
+    [
+        ("<p>if x < 5 then the rest</p>", ["if x < 5 then the rest"]), ("a <= b << 2 <b>c</b> <", ["a <= b << 2", "c", "<"]), ("<3</p>x", ["<3", "x"]), ("a<!doctype x>b<?php y ?>c</p>", ["a", "b", "c"]),
+        ("<header>site</header><article><header><h1>head</h1><p>lead</p></header>text</article>", ["head", "lead", "text"]), ("<main><header>h</header></main><header>site</header>x", ["h", "x"]), ("<header><article>a</article></header>x", ["x"]),
+        ("<div><nav>menu</div><p>text</p>", ["text"]), ("<ul><li><select><option>o</ul>text", ["text"]), ("<body><nav>menu<p>text</p></body>", ["menu", "text"]), ("<p>a</p><button>go<p>text", ["a", "go", "text"]),
+        ("<body><aside>b<nav>menu</nav><p>text</p>", ["b", "text"]), ("<div><nav>m<p>m</p><a>m</a></p></span>m</nav>x</div>", ["x"]), ("</nav></div><nav>m</nav>x", ["x"]), ("<nav><nav>m</nav>m</nav>x", ["x"]), ("<main><nav>menu</main>x", ["menu", "x"]),
+    ],
+)
+def test_visible_text_stays(html, body):
+    _, texts, zones = html_wrapper.tokens(html)
+    assert [t for t, z in zip(texts, zones) if z == "body"] == body
+
+
 def test_html_odd(spark, empty):
     data = [(1, "http://a.org/x", None), (1, "http://a.org/x", None), (2, None, "<p>lone"), (3, "http://a.org/y", ""), (4, "http://a.org/z", "<<<<" * 5000 + "<!--" * 5000), (None, "junk", "<script>var a='<p>';</script>ok"), (5, "http://b.org", "<p>x</p>" * 30_000)]
     df = spark.createDataFrame(data, "page_id long, url string, html string").select("*", F.lit(1).alias("host"), F.lit("clash").alias("HTML"))

@@ -18,7 +18,10 @@ navigation, headers of sites, footers and asides, the title apart.
 
 Defined cases: a null or empty page has null title and empty text; a page
 without host belongs to the host ``''``; a page with broken tags is a stream of
-tokens like any other; comments, scripts and styles are left out; rows that are
+tokens like any other; ``<`` that begins no tag is text; a header within an
+article or main element is content; an aside that isn't closed ends with the
+element around it, and is content if that is the page, its body, main or an
+article, as its end isn't known then; comments, scripts and styles are left out; rows that are
 repeated are extracted alike; an empty table gives an empty result.
 """
 
@@ -36,10 +39,14 @@ from pyspark.sql import functions as F
 
 from .common import cut, isolate, table
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<(?P<raw>script|style)\b[^<>]*>(?:.*?</(?P=raw)\s*>|.*)|<(?P<tag>/?[a-z][a-z0-9:-]*)[^<>]*>?|<[^<>]*>?|(?P<text>[^<]+)", re.S | re.I)
+_TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<(?P<raw>script|style)\b[^<>]*>(?:.*?</(?P=raw)\s*>|.*)|<(?P<tag>/?[a-z][a-z0-9:-]*)[^<>]*>?|<[/!?][^<>]*>?|(?P<text>(?:[^<]+|<(?![a-z/!?]))+)", re.S | re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Texts within these aren't content.
 ASIDE = frozenset("nav footer aside header menu noscript select button".split())
+#: What closes the asides left open in it; other closing tags don't.
+BLOCKS = ASIDE | frozenset("html head body main article section div center address blockquote details dialog fieldset figure figcaption form hgroup search ul ol dl li dt dd table caption thead tbody tfoot tr td th".split())
+#: An aside that is left open in these could be all the rest of the page.
+WIDE = frozenset("html body main article".split())
 #: Wrappers up to this many bytes are broadcast; more are joined by host.
 BROADCAST_BYTES = 32 << 20
 MAX_UNIT = 12
@@ -49,22 +56,43 @@ SCHEMA = "page_id long, host string, matched boolean, n_slots int, title string,
 def tokens(html: str) -> tuple[list, list, list]:
     """(tokens, texts, zone of each text: title, aside or body); a text is the token ``#``."""
     out, texts, zones = [], [], []
-    depth, title = 0, False
+    opened: list[tuple[str, int]] = []  # blocks, with the number of the aside that each is, or -1
+    count: dict[str, int] = {}
+    inside: tuple[int, ...] = ()
+    asides, title, unknown = 0, False, set()
     for m in _TOKEN.finditer(html):
         if (tag := m["tag"]) is not None:
             tag = tag.lower()
             out.append(tag)
             name = tag[1:] if tag[0] == "/" else tag
-            if name in ASIDE:
-                depth = max(0, depth + (1 if tag == name else -1))
-            elif name == "title":
+            if name == "title":
                 title = tag == name
+            elif name not in BLOCKS:
+                continue
+            elif tag == name:
+                own = -1
+                if name in ASIDE and not (name == "header" and (count.get("article") or count.get("main"))):
+                    own, asides = asides, asides + 1
+                    inside = (*inside, own)
+                opened.append((name, own))
+                count[name] = count.get(name, 0) + 1
+            elif count.get(name):
+                while True:
+                    last, own = opened.pop()
+                    count[last] -= 1
+                    if own >= 0:
+                        inside = inside[:-1]
+                        if name in WIDE:
+                            unknown.add(own)
+                    if last == name:
+                        break
         elif (text := m["text"]) is not None:
             if text := text.strip():
                 out.append("#")
                 texts.append(text)
-                zones.append("title" if title else "aside" if depth else "body")
-    return out, texts, zones
+                zones.append("title" if title else inside)
+    unknown.update(own for _, own in opened)
+    return out, texts, [z if z == "title" else "body" if unknown.issuperset(z) else "aside" for z in zones]
 
 
 # A wrapper is a tuple of nodes: a token, ("+", nodes) or ("?", nodes).
