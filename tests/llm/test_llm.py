@@ -518,6 +518,24 @@ def test_pii_held_out():
     assert hit / (hit + wrong) > 0.97 and hit / (hit + missed) > 0.97
 
 
+PHONES = ["+14155552671", "+33612345678", "(415) 5552671", "(415)5552671", "+49 30 12345678", "+44 7911 123456", "+44 (0)20 7946 0958"]
+
+
+def test_pii_other_notations():
+    field = pii.trained()
+    found = lambda t: [(t[a:b], k) for a, b, k, _ in pii.find(field, t.encode())]
+    for p in PHONES:
+        for t in (f"reach us at {p} today", f"tel {p}", f"see {p}, or not"):
+            assert found(t) == [(p, "PHONE")], t
+    for p in ("4155552671", "5552671"):
+        assert found(f"please call {p} today") == [(p, "PHONE")]
+    for m in ("a@b.co", "x@yz.de"):
+        for t in (m, f"mail {m} now", f"write to {m}."):
+            assert found(t) == [(m, "EMAIL")], t
+    for t in ("order 4155552671", "invoice 1234567", "a total of 123456 rows", "id 33612345678", "it was 1234567.25 then", "a@b", "page 123", "on 2024-01-02 and 2019-2020", "4155552671 rows"):
+        assert found(t) == [], t
+
+
 def test_viterbi_matches_enumeration():
     """The best segmentation, against all of them on short lines."""
     field, r = pii.trained(), random.Random(12)

@@ -33,6 +33,8 @@ from .common import isolate, restore, table
 
 TYPES = ("O", "EMAIL", "PHONE", "IP", "CARD", "SECRET")
 MAX_ATOMS = 24
+#: No entity is shorter: a@b.co.
+SHORTEST = 6
 SLICE_BYTES = 4 << 20
 SCHEMA = "doc_id long, start int, end int, pii_type string, score double"
 
@@ -40,6 +42,8 @@ _ATOM = re.compile(r"[^\W_]+|\s|[^\w\s]|_", re.UNICODE)
 _EMAIL = re.compile(r"[\w.+%-]+@(?:[\w-]+\.)+[^\W\d_]{2,}", re.UNICODE)
 _IP = re.compile(r"(?:\d{1,3}\.){3}\d{1,3}")
 _PHONE = re.compile(r"\+?\d{0,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]\d{2,4}){1,4}")
+#: Numbers without separators or with long groups; with 6 to 15 digits they may be telephone numbers.
+_NUMBER = re.compile(r"\+?(?:\d+[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d+(?:[ .-]\d+)*")
 _CARD = re.compile(r"\d(?:[ -]?\d){12,18}")
 _DATE = re.compile(r"\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[./-]\d{1,2}[./-]\d{2,4}")
 _HEX = re.compile(r"[0-9a-fA-F]{16,}")
@@ -80,8 +84,9 @@ def segment_features(text: str, start: int, end: int, before: frozenset[str], le
         out.append("ip:ok" if ok else "ip:bad")
     if _CARD.fullmatch(s):
         out += ["card", f"card:{len(digits)}:{luhn(digits)}"]
-    if _PHONE.fullmatch(s):
-        out += ["phone", f"phone:{min(16, len(digits))}", f"phone:plus:{s[0] == '+'}", f"phone:paren:{'(' in s}"]
+    if _PHONE.fullmatch(s) or (6 <= len(digits) <= 15 and len(s) <= 32 and _NUMBER.fullmatch(s)):
+        longest = max(map(len, re.findall(r"\d+", s)))
+        out += ["phone", f"phone:longest:{min(12, longest)}", f"phone:bare:{longest == len(s)}:{'phone' in before}", f"phone:plus:{s[0] == '+'}:{min(12, longest)}", f"phone:{min(16, len(digits))}", f"phone:plus:{s[0] == '+'}", f"phone:paren:{'(' in s}"]
     if _DATE.fullmatch(s):
         out.append("date")
     if letters and digits and _KEY.fullmatch(s):
@@ -121,7 +126,7 @@ def segments(text: str, left: str = "", right: str = "") -> tuple[int, list[tupl
                     break
                 continue
             b = cut[j][1]
-            if b - a < 7:  # no entity is shorter
+            if b - a < SHORTEST:
                 continue
             if before is None:
                 before = cues(left[-60:] + " " + text[max(0, a - 60) : a])
@@ -236,10 +241,16 @@ def sample_entity(r: random.Random) -> tuple[str, str, str]:
     kind = r.choice(TYPES[1:])
     if kind == "EMAIL":
         local = r.choice([_word(r), f"{_word(r)}.{_word(r)}", f"{_word(r)}.{_digits(r, 2)}", f"{_word(r)}_{_digits(r, 3)}", f"{_word(r)}+{_word(r)}"])
+        if r.random() < 0.1:
+            return r.choice(["", "mail", "contact"]), f"{_word(r)[:1]}@{_word(r)[: r.randint(1, 2)]}.{r.choice(['co', 'de', 'io', 'com'])}", kind
         return r.choice(["", "mail", "contact"]), f"{local}@{r.choice(['mail' + _digits(r, 1) + '.', 'mx.', ''])}{r.choice(['example', 'site', 'web'])}.{r.choice(['com', 'org', 'net', 'de', 'co.uk'])}", kind
     if kind == "PHONE":
         a, b, c = _digits(r, 3), _digits(r, 3), _digits(r, 4)
         plain = r.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{r.randint(1, 99)} {a} {b} {c}", f"+1-{a}-{b}-{c}", f"+49 {_digits(r, 3)} {_digits(r, 4)}", f"{a} {b} {c}", f"{a}.{b}.{c}", f"+33 {' '.join(_digits(r, 2) for _ in range(4))}"])
+        if r.random() < 0.4:
+            plain = r.choice([f"+1{a}{b}{c}", f"+{r.randint(20, 99)}{_digits(r, r.randint(8, 11))}", f"({a}) {b}{c}", f"({a}){b}{c}", f"+{r.randint(20, 99)} {_digits(r, 2)} {_digits(r, r.randint(6, 8))}", f"+{r.randint(20, 99)} {_digits(r, 4)} {_digits(r, 6)}", f"+{r.randint(20, 99)} (0){_digits(r, 2)} {_digits(r, 4)} {_digits(r, 4)}", f"+{r.randint(20, 99)} {_digits(r, 10)}"])
+        if r.random() < 0.15:  # without any sign only words tell them from other numbers
+            return r.choice(["tel", "phone", "call", "mobile"]), _digits(r, r.choice([7, 9, 10, 10, 10, 11])), kind
         return r.choice(["", "", "tel", "phone", "call"]), plain, kind
     if kind == "IP":
         return r.choice(["", "ip", "host"]), ".".join(str(r.randint(0, 255)) for _ in range(4)), kind
@@ -263,6 +274,7 @@ def sample_other(r: random.Random) -> str:
             "Version 2.0.", "4.0.", "3.", f"{y}", f"{y}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.{y}", f"{r.randint(1, 12)}/{r.randint(1, 28)}/{y}", f"{r.randint(0, 23)}:{r.randint(0, 59):02d}",
             f"order {_digits(r, 8)}", f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}", f"{r.randint(1, 9)}.{r.randint(0, 9)}.{r.randint(0, 9)}.{r.randint(300, 999)}", f"{_digits(r, 2)},{_digits(r, 3)}.{_digits(r, 2)}", f"page {r.randint(1, 999)}", f"@{_word(r)}{r.randint(1, 99)}",
             f"{_word(r)}@{_word(r)}", f"{y}-{y + 1}", f"{_digits(r, 5)}", f"{_digits(r, 10)}", f"{_digits(r, 12)}", f"invoice {_digits(r, 12)}", f"{_word(r)}{_digits(r, 2)}", f"{_digits(r, 2)} {_digits(r, 2)} {_digits(r, 3)}", f"commit {''.join(r.choice('0123456789abcdef') for _ in range(40))}", f"{r.randint(10, 999)} x {r.randint(10, 999)}", f"{_digits(r, 3)} {_digits(r, 3)}", f"item{_digits(r, 16)}x",
+            f"{_digits(r, r.randint(6, 11))}", f"order {_digits(r, 10)}", f"id {_digits(r, r.randint(6, 11))}", f"{_digits(r, r.randint(4, 7))}.{_digits(r, r.randint(2, 6))}", f"{_digits(r, 6)}-{_digits(r, 4)}", f"{_digits(r, 4)} {_digits(r, 6)}", f"a{r.randint(1, 9)}@b", f"+{r.randint(1, 99)}",
         ]
     )
 
@@ -340,7 +352,7 @@ def find(field: Field, raw: bytes) -> list[tuple[int, int, str, float]]:
         chars += len(raw[upto:a].decode("utf-8", "replace"))
         upto = a
         text = raw[a:b].decode("utf-8", "replace")
-        if len(text) < 7:
+        if len(text) < SHORTEST:
             continue
         n, found = segments(text, raw[max(0, a - _CONTEXT) : a].decode("utf-8", "ignore"), raw[b : b + 4].decode("utf-8", "ignore"))
         if found:
