@@ -357,6 +357,23 @@ def test_join_counts_repeated_rows_once(spark, times):
     assert len(out) == len({(x["doc_a"], x["doc_b"]) for x in out}) and (2, 3) in {(x["doc_a"], x["doc_b"]) for x in out}
 
 
+def test_all_pairs_of_copies(spark, empty):
+    r = random.Random(8)
+    base = [[r.choice("abcdefghijkl") + str(r.randrange(6)) for _ in range(r.randint(4, 60))] for _ in range(12)]
+    texts = {}
+    for k in range(150):
+        w = list(r.choice(base))
+        if k % 3 == 0:
+            w[r.randrange(len(w))] = "z" + str(k)
+        texts[k] = " ".join(w)
+    sets = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() for w in [t.split()]}
+    want = sorted((a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) * 7 >= 2 * (len(sets[a]) + len(sets[b])))
+    out = ngram_join.all_pairs(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()
+    assert sorted((x["doc_a"], x["doc_b"], x["overlap"]) for x in out) == want and len(want) > 500
+    assert all(math.isclose(x["jaccard"], x["overlap"] / len(sets[x["doc_a"]] | sets[x["doc_b"]])) for x in out)
+    assert ngram_join.all_pairs(empty).count() == 0
+
+
 def test_join_odd(messy, empty):
     out = ngram_join.join(messy).collect()
     assert [(r["doc_a"], r["doc_b"]) for r in out] == [(1, 2)]

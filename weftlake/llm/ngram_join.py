@@ -336,6 +336,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     return near.unionByName(same)
 
 
+def all_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """As join(), but with the pairs of all members of the classes, not of their smallest ids alone; k copies have k (k - 1) / 2."""
+    pairs = cut(join(docs, id_col, text_col, n, threshold))
+    same, near = pairs.where("jaccard = 1"), pairs.where("jaccard < 1")  # sets that differ have less
+    member = same.select(F.col("doc_a").alias("head"), F.col("doc_b").alias("id")).unionByName(same.select(F.col("doc_a").alias("head"), F.col("doc_a").alias("id")).distinct())
+    a, b = (member.select(F.col("head").alias(f"head_{c}"), F.col("id").alias(f"id_{c}")) for c in "ab")
+    wide = near.join(a, F.col("doc_a") == F.col("head_a"), "left").join(b, F.col("doc_b") == F.col("head_b"), "left").withColumns({"x": F.coalesce("id_a", "doc_a"), "y": F.coalesce("id_b", "doc_b")})
+    inner = same.join(b, (F.col("doc_a") == F.col("head_b")) & (F.col("doc_b") < F.col("id_b"))).select(F.col("doc_b").alias("doc_a"), F.col("id_b").alias("doc_b"), "overlap", "jaccard")
+    return wide.where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "overlap", "jaccard").unionByName(same).unionByName(inner)
+
+
 def _group_of(groups: int):
     @F.pandas_udf("long")
     def q(i: pd.Series) -> pd.Series:
