@@ -6,7 +6,7 @@ import tempfile
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,33 +17,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint reliably in the shared folder of the session (``spark.checkpoint.dir``).
 
-    A temporary folder is set only where the session names none, as in tests.
+    A temporary folder is set only where the session names none and runs on one
+    machine, as in tests; on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, or a temporary one if the session runs on one machine."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp()
+
+
+def place(df: DataFrame, name: str) -> int:
+    """The position of a column; an exact name wins over one that differs by case, the first over later ones."""
+    if name in df.columns:
+        return df.columns.index(name)
+    low = [c.lower() for c in df.columns]
+    if name.lower() in low:
+        return low.index(name.lower())
+    raise ValueError(f"no column {name!r} among {df.columns}")
+
+
 def isolate(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
     """``df`` with positional internal names, and the columns wanted.
 
     Columns of the caller can therefore never clash with columns of an
-    operator, not even where they differ by case alone or repeat.  An exact
-    name wins over one that differs by case, the first over later ones.
+    operator, not even where they differ by case alone or repeat.
     """
-    cols = df.columns
-
-    def place(name: str) -> int:
-        if name in cols:
-            return cols.index(name)
-        low = [c.lower() for c in cols]
-        if name.lower() in low:
-            return low.index(name.lower())
-        raise ValueError(f"no column {name!r} among {cols}")
-
-    out = df.toDF(*(f"__in{i}" for i in range(len(cols))))
-    return out, [F.col(f"__in{place(n)}") for n in names]
+    out = df.toDF(*(f"__in{i}" for i in range(len(df.columns))))
+    return out, [F.col(f"__in{place(df, n)}") for n in names]
 
 
 def restore(inner: DataFrame, like: DataFrame) -> DataFrame:
@@ -87,21 +96,27 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component): connected components of ``edges`` (a, b), named by their smallest id.
 
     Each partition first contracts its edges to a forest; then large-star and
-    small-star rounds alternate until nothing changes.  Every round is a
-    min-window over one shuffle and is checkpointed, so lost executors cost a
-    round at most.  Edges with a null end are ignored; a self-loop makes its
-    node a component of its own.
+    small-star rounds alternate until nothing changes.  In every round the least
+    neighbours are aggregated, partly before the shuffle, and joined, so that
+    the star of a giant component isn't gathered anywhere (adaptive execution
+    splits its rows).  Rounds are checkpointed, so lost executors cost a round
+    at most; 60 of them are far more than a graph needs that fits any disk, and
+    it is an error if they don't do.  Edges with a null end are ignored; a
+    self-loop makes its node a component of its own.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null")
     loops = edges.where("a = b").select("a").distinct()
     e = cut(edges.where("a <> b").mapInPandas(_contract, "a long, b long").where("a <> b").distinct())
-    near = Window.partitionBy("a")
     last = None
+
+    def least(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy("a").agg(F.min("b").alias("m")), "a")
+
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.withColumn("m", F.least("a", F.min("b").over(near))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         # every edge now points to a smaller id
-        small = large.where("a <> b").distinct().withColumn("m", F.min("b").over(near))
+        small = least(large.where("a <> b").distinct())
         e = cut(small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:

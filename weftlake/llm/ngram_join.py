@@ -17,14 +17,25 @@ documents whose sets have a Jaccard similarity of at least THRESHOLD, exactly.
    two.  Documents travel once to each block of pairs they are in, however many
    pairs they have there.
 
+Nothing hot meets in one task.  N-grams of more than HOT documents are found in
+a sample of documents first; they go straight to their documents, with the
+frequency estimated there (any order does for the filters, if all use the same
+one).  A posting list of more than LIST postings is split into sub-lists, and
+each pair of these is a list of its own.
+
+links() gives a row for each document, with the number of its links, so that
+its result grows with the documents, not with their pairs; what leaves a task
+of verification is a forest and counts.  join() gives the pairs.
+
 Any two words count as equal if their 64-bit hashes are.  Words are runs of
 letters and digits (common.WORD) of the lower-cased text.
 
 Defined cases: a text of fewer than N words is one n-gram; a null text, or one
-without words, has no n-grams and is in no pair; nor are rows with a null id;
-rows with the same id count once if their sets are equal, and otherwise the id
-may be in a pair with itself, which is left out; an empty table gives an empty
-result.  Only the columns named are read.
+without words, has no n-grams and no links; rows with a null id are left out;
+rows with the same id count once if their sets are equal; otherwise each of
+these sets counts as a document of that id, and a pair of an id with itself is
+left out of join() and none of links(); an empty table gives an empty result.
+Only the columns named are read.
 """
 
 from __future__ import annotations
@@ -42,10 +53,17 @@ N = 5
 #: As a fraction, so that every bound is exact.
 THRESHOLD = (2, 5)
 #: N-grams in a range of hashes or a group of documents: what one task holds at a time.
-GROUP = 1_000_000
+GROUP = 600_000
 FLUSH = 1_000_000
 SLICE_BYTES = 2 << 20
-TASK_BYTES = 16 << 20
+TASK_BYTES = 12 << 20
+TASK_PAIRS = 1_000_000
+#: N-grams in more documents than this don't meet in one task.
+HOT = 1_000_000
+#: Postings in a list before it is split.
+LIST = 4096
+#: Rows of helper tables (hot n-grams, long lists) that are sent to all tasks; there are other ways beyond.
+SMALL = 500_000
 
 
 # == blocks of numbers
@@ -99,17 +117,17 @@ def _sets(batches, n: int):
 
 
 def _signatures(n: int):
-    """(id, n, two checksums of the set)."""
+    """(id, number of id and set, n, two checksums of the set)."""
 
     def run(batches):
         rows = []
         for i, s in _sets(batches, n):
             x = common.mix(s.copy())
-            rows.append((i, len(s), int(x.sum(dtype="u8").astype("i8")), int(np.bitwise_xor.reduce(s).astype("i8"))))
+            rows.append((i, _key(i, s, True), len(s), int(x.sum(dtype="u8").astype("i8")), int(np.bitwise_xor.reduce(s).astype("i8"))))
             if len(rows) == 20_000:
-                yield pd.DataFrame(rows, columns=["id", "n", "s1", "s2"])
+                yield pd.DataFrame(rows, columns=["id", "k", "n", "s1", "s2"])
                 rows = []
-        yield pd.DataFrame(rows, columns=["id", "n", "s1", "s2"])
+        yield pd.DataFrame(rows, columns=["id", "k", "n", "s1", "s2"])
 
     return run
 
@@ -118,24 +136,48 @@ def _hash_range(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
-def _to_ranges(n: int, parts: int):
-    """Blocks of (n-gram, id) for each range of hashes."""
+def _by_group(d: np.ndarray, g: np.ndarray, df: np.ndarray, groups: int) -> list[tuple[int, bytes]]:
+    """Blocks of (document, n-gram, frequency) for each group of documents."""
+    q = common.mix(d.view("u8").copy()) % np.uint64(groups)
+    order = np.lexsort((d, q))
+    g, d, df, q = g[order], d[order], df[order], q[order]
+    starts = np.flatnonzero(np.diff(q, prepend=groups + 1))
+    return [(int(q[a]), pack(d[a:b].view("u8"), g[a:b], df[a:b].astype("<u4"))) for a, b in zip(starts, [*starts[1:], len(g)])]
+
+
+def _key(i, s: np.ndarray, by_set: bool) -> int:
+    """The number of a document: its id, or one for each of its sets."""
+    if not by_set:
+        return i
+    with np.errstate(over="ignore"):
+        return int(common.mix(np.array([i], "i8").view("u8") * np.uint64(0x9E3779B97F4A7C15) ^ common.mix(s.copy()).sum(dtype="u8")).view("i8")[0])
+
+
+def _to_ranges(n: int, parts: int, by_set: bool, hot: np.ndarray, often: np.ndarray):
+    """Blocks of (n-gram, document) for each range of hashes; hot n-grams go to the groups of documents -1, -2 and so on."""
 
     def flush(sets, ids):
         g = np.concatenate(sets)
         d = np.repeat(np.array(ids, "<i8"), [len(s) for s in sets])
         order = np.argsort(g)
         g, d = g[order], d[order]
+        rows = []
+        if len(hot):
+            at = np.searchsorted(hot, g)
+            at[at == len(hot)] = 0
+            is_hot = hot[at] == g
+            rows = [(-1 - q, b) for q, b in _by_group(d[is_hot], g[is_hot], often[at[is_hot]], parts)]
+            g, d = g[~is_hot], d[~is_hot]
         p = _hash_range(g, parts)
         starts = np.flatnonzero(np.diff(p, prepend=parts + 1))
-        rows = [(int(p[a]), pack(g[a:b], d[a:b])) for a, b in zip(starts, [*starts[1:], len(g)])]
+        rows += [(int(p[a]), pack(g[a:b], d[a:b])) for a, b in zip(starts, [*starts[1:], len(g)])]
         return pd.DataFrame(rows, columns=["p", "block"])
 
     def run(batches):
         sets, ids, held = [], [], 0
         for i, s in _sets(batches, n):
             sets.append(s)
-            ids.append(i)
+            ids.append(_key(i, s, by_set))
             held += len(s)
             if held >= FLUSH:
                 yield flush(sets, ids)
@@ -150,6 +192,8 @@ def _shared(groups: int):
     """In a range of hashes: n-grams of two documents or more, as blocks of (id, n-gram, frequency) for each group of documents."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < 0:
+            return pd.DataFrame({"q": np.full(len(pdf), -1 - key[0], "i8"), "block": pdf["block"]})
         cols = [unpack(b, "<u8", "<i8") for b in pdf["block"]]
         g, d = (np.concatenate(c) for c in zip(*cols))
         del cols, pdf
@@ -167,50 +211,72 @@ def _shared(groups: int):
         many = np.diff(np.append(starts, len(g)))
         df = np.repeat(many, many)
         some = df > 1
-        g, d, df = g[some], d[some], np.minimum(df[some], 2**32 - 1).astype("<u4")
-        q = common.mix(d.astype("u8")) % np.uint64(groups)
-        order = np.lexsort((d, q))
-        g, d, df, q = g[order], d[order], df[order], q[order]
-        starts = np.flatnonzero(np.diff(q, prepend=groups + 1))
-        rows = [(int(q[a]), pack(d[a:b].astype("u8"), g[a:b], df[a:b])) for a, b in zip(starts, [*starts[1:], len(g)])]
-        return pd.DataFrame(rows, columns=["q", "block"]).astype({"q": "int64"})
+        return pd.DataFrame(_by_group(d[some], g[some], np.minimum(df[some], 2**32 - 1), groups), columns=["q", "block"]).astype({"q": "int64"})
 
     return run
 
 
 def _prefixes(num: int, den: int):
-    """Of the classes in a group of documents: shared n-grams in rare-first order and how many are in the prefix; none if none is."""
+    """Of the classes in a group of documents: shared n-grams in rare-first order, how many are in the prefix, and the frequencies of those; none if none is."""
 
     def run(key: tuple, blocks: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(blocks) and len(heads):
             d, g, df = (np.concatenate(c) for c in zip(*(unpack(b, "<u8", "<u8", "<u4") for b in blocks["block"])))
-            d = d.astype("i8")
-            size = dict(zip(heads["id"].tolist(), heads["n"].tolist()))
-            mine = np.isin(d, heads["id"].to_numpy())
+            d = d.view("i8")
+            size = {k: (n, many) for k, n, many in zip(heads["k"].tolist(), heads["n"].tolist(), heads["many"].tolist())}
+            mine = np.isin(d, heads["k"].to_numpy())
             d, g, df = d[mine], g[mine], df[mine]
             order = np.lexsort((g, df, d))
-            d, g = d[order], g[order]
-            starts = np.flatnonzero(np.diff(d, prepend=d[:1] - 1)) if len(d) else []
+            d, g, df = d[order], g[order], df[order]
+            # hot n-grams of repeated rows come as often as these
+            new = np.append(True, (d[1:] != d[:-1]) | (g[1:] != g[:-1]))[: len(d)]
+            d, g, df = d[new], g[new], df[new]
+            starts = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else []
             for a, b in zip(starts, [*starts[1:], len(d)]):
-                n = size[int(d[a])]
+                n, many = size[int(d[a])]
                 lone = n - (b - a)
                 prefix = n - -(-num * n // den) + 1 - lone
                 if prefix > 0:
-                    out.append((int(d[a]), n, int(min(prefix, b - a)), g[a:b].astype("<u8").tobytes()))
-        return pd.DataFrame(out, columns=["id", "n", "prefix", "grams"])
+                    prefix = int(min(prefix, b - a))
+                    out.append((int(d[a]), n, many, prefix, g[a:b].astype("<u8").tobytes(), df[a : a + prefix].astype("<u4").tobytes()))
+        return pd.DataFrame(out, columns=["k", "n", "many", "prefix", "grams", "often"])
 
     return run
 
 
-def _postings(parts: int):
-    """A row for each prefix n-gram: (range, n-gram, id, n, position from the end, histogram of what follows)."""
+def _long_lists(least: int):
+    """Prefix n-grams that may have a long list."""
 
     def run(batches):
         for pdf in batches:
-            for k in range(0, len(pdf), 2000):
-                cols: list[list] = [[] for _ in range(5)]
-                for i, n, prefix, grams in pdf.iloc[k : k + 2000].itertuples(index=False):
+            out = [np.frombuffer(g, "<u8")[:p][np.frombuffer(o, "<u4") > least] for p, g, o in zip(pdf["prefix"], pdf["grams"], pdf["often"])]
+            if out:
+                yield pd.DataFrame({"h": np.concatenate(out).view("i8")})
+
+    return run
+
+
+def _postings(parts: int, least: int, lists: tuple[np.ndarray, np.ndarray] | None):
+    """A row for each prefix n-gram: (range, list, document, n, position from the end, histogram of what follows, side).
+
+    A long list is split into m sub-lists by document; each pair of sub-lists
+    is a list, in which the one is side 1 and the other 2, and so is each with
+    itself, side 0.
+    """
+
+    def splits(g: np.ndarray, often: np.ndarray) -> np.ndarray:
+        if lists is None:
+            return -(-often.astype("i8") // least)
+        at = np.searchsorted(lists[0], g)
+        at[at == len(lists[0])] = 0
+        return np.where(lists[0][at] == g, -(-lists[1][at] // least), 1) if len(lists[0]) else np.ones(len(g), "i8")
+
+    def run(batches):
+        for pdf in batches:
+            for k in range(0, len(pdf), 1000):
+                cols: list[list] = [[] for _ in range(6)]
+                for i, n, prefix, grams, often in pdf.iloc[k : k + 1000].itertuples(index=False):
                     g = np.frombuffer(grams, "<u8")
                     part = (g & np.uint64(7)).astype("i8")
                     # counts after each prefix position; lone n-grams all come before the shared ones
@@ -220,9 +286,21 @@ def _postings(parts: int):
                     cols[2].append(np.full(prefix, n, "i8"))
                     cols[3].append(np.arange(prefix) + 1)
                     cols[4].append(np.minimum(after, 255).astype("u1").view("<i8").ravel())
-                if cols[0]:
-                    h, *rest = (np.concatenate(c) for c in cols)
-                    yield pd.DataFrame({"r": _hash_range(h, parts).astype("i8"), "h": h.view("i8"), "id": rest[0], "n": rest[1], "rank": rest[2], "after": rest[3]})
+                    cols[5].append(np.frombuffer(often, "<u4"))
+                if not cols[0]:
+                    continue
+                h, i, n, rank, after, often = (np.concatenate(c) for c in cols)
+                m = splits(h, often)
+                side = np.zeros(len(h), "i1")
+                if (m > 1).any():
+                    own = common.mix(i.view("u8") ^ h) % m.astype("u8")
+                    row = np.repeat(np.arange(len(h)), m)
+                    other = (np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)).astype("u8")
+                    own, h, i, n, rank, after = own[row], h[row], i[row], n[row], rank[row], after[row]
+                    side = np.where(m[row] == 1, 0, np.where(own == other, 0, np.where(own < other, 1, 2))).astype("i1")
+                    cell = np.minimum(own, other) * np.uint64(1 << 32) + np.maximum(own, other)
+                    h = np.where(m[row] == 1, h, common.mix(h ^ common.mix(cell + np.uint64(1))))
+                yield pd.DataFrame({"r": _hash_range(h, parts).astype("i8"), "h": h.view("i8"), "k": i, "n": n, "rank": rank, "after": after, "side": side})
 
     return run
 
@@ -232,8 +310,9 @@ def _candidates(num: int, den: int):
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         order = np.lexsort((pdf["n"].to_numpy(), pdf["h"].to_numpy()))
-        h, i, n, rank = (pdf[c].to_numpy()[order] for c in ("h", "id", "n", "rank"))
+        h, i, n, rank, side = (pdf[c].to_numpy()[order] for c in ("h", "k", "n", "rank", "side"))
         after = np.ascontiguousarray(pdf["after"].to_numpy()[order]).view("u1").reshape(-1, 8)
+        del pdf
         full = (after == 255).any(1)  # a histogram that is full bounds nothing
         most_common = rank + np.where(full, 1 << 40, after.sum(1, dtype="i8"))
         ids, own = np.unique(i, return_inverse=True)
@@ -257,7 +336,7 @@ def _candidates(num: int, den: int):
             # what is common can't be more than what is up to here and behind it, for either of the two
             both = num * (n[left] + n[right])
             u, v = own[left], own[right]
-            ok = (np.minimum(most_common[left], most_common[right]) * (num + den) >= both) & (u != v)
+            ok = (np.minimum(most_common[left], most_common[right]) * (num + den) >= both) & (u != v) & ((side[left] == 0) | (side[left] != side[right]))
             key = np.minimum(u[ok], v[ok]) * len(ids) + np.maximum(u[ok], v[ok])
             # the bounds hold at every common n-gram, so one of each pair is enough to look at
             key, first = np.unique(key, return_index=True)
@@ -274,66 +353,165 @@ def _candidates(num: int, den: int):
     return run
 
 
+def _verified(num: int, den: int, pairs: pd.DataFrame, docs: pd.DataFrame) -> tuple[list, dict]:
+    """((a, b, overlap, jaccard) of the pairs that hold, the class size of each document)."""
+    sets = {k: (n, np.sort(np.frombuffer(g, "<u8"))) for k, n, g in zip(docs["k"].tolist(), docs["n"].tolist(), docs["grams"])}
+    out = []
+    for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist()):
+        (na, ga), (nb, gb) = sets[a], sets[b]
+        if len(ga) > len(gb):
+            ga, gb = gb, ga
+        at = np.searchsorted(gb, ga)
+        at[at == len(gb)] = 0
+        both = int((gb[at] == ga).sum()) if len(gb) else 0
+        if both * (num + den) >= num * (na + nb):
+            out.append((a, b, both, both / (na + nb - both)))
+    return out, dict(zip(docs["k"].tolist(), docs["many"].tolist()))
+
+
 def _verify(num: int, den: int):
     def run(key: tuple, pairs: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-        sets = {i: (n, np.sort(np.frombuffer(g, "<u8"))) for i, n, g in zip(docs["id"].tolist(), docs["n"].tolist(), docs["grams"])}
-        out = []
-        for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist()):
-            (na, ga), (nb, gb) = sets[a], sets[b]
-            if len(ga) > len(gb):
-                ga, gb = gb, ga
-            at = np.searchsorted(gb, ga)
-            at[at == len(gb)] = 0
-            both = int((gb[at] == ga).sum()) if len(gb) else 0
-            if both * (num + den) >= num * (na + nb):
-                out.append((a, b, both, both / (na + nb - both)))
-        return pd.DataFrame(out, columns=["doc_a", "doc_b", "overlap", "jaccard"])
+        return pd.DataFrame(_verified(num, den, pairs, docs)[0], columns=["a", "b", "overlap", "jaccard"])
 
     return run
 
 
-def classes(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """(ids and lower-cased texts, (id, n, head) of each document with n-grams)."""
-    texts = docs.where("id is not null and t is not null").select("id", F.lower("t").alias("t"))
-    signed = texts.mapInPandas(_signatures(n), "id long, n long, s1 long, s2 long")
-    heads = cut(signed.distinct())
-    first = heads.groupBy("n", "s1", "s2").agg(F.min("id").alias("head"))
-    return texts, cut(heads.join(first, ["n", "s1", "s2"]).select("id", "n", "head"))
+def _summary(num: int, den: int):
+    """Of each document with links in a task: (k, the least document it is connected with there, links, greatest Jaccard)."""
 
+    def run(key: tuple, pairs: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+        held, many = _verified(num, den, pairs, docs)
+        root: dict[int, int] = {}
+        links: dict[int, int] = {}
+        top: dict[int, float] = {}
+
+        def find(x: int) -> int:
+            while (p := root.get(x, x)) != x:
+                root[x] = root.get(p, p)
+                x = p
+            return x
+
+        for a, b, _, j in held:
+            x, y = find(a), find(b)
+            root[max(x, y)] = root[min(x, y)] = min(x, y)
+            for u, v in ((a, b), (b, a)):
+                links[u] = links.get(u, 0) + many[v]
+                top[u] = max(top.get(u, 0.0), j)
+        return pd.DataFrame([(k, find(k), n, top[k]) for k, n in links.items()], columns=["k", "root", "links", "top"])
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, overlap, jaccard), doc_a < doc_b, of all pairs at the threshold or above.
+    return run
 
-    Documents with equal sets are given as pairs of the smallest id of their
-    class with each other, and stand for one another in all other pairs, which
-    are given for the smallest ids alone.  So x and y are similar if and only
-    if their classes are one or form a pair here.
-    """
+
+def _hot(texts: DataFrame, n: int, docs: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams, frequencies), sorted, of those that seem to be in more than ``most`` documents, by a sample that sees each of them 64 times."""
+    if docs <= most:
+        return np.zeros(0, "u8"), np.zeros(0, "i8")
+    rate = min(1.0, 64 / most)
+
+    def grams(batches):
+        for _, s in _sets(batches, n):
+            yield pd.DataFrame({"g": s.view("i8")})
+
+    sampled = texts.where(common.uniform(F.col("id"), "hot") < rate)
+    seen = sampled.mapInPandas(grams, "g long").groupBy("g").count().where(F.col("count") >= 32 * min(1.0, most / 64))
+    got = sorted((int(np.int64(r["g"]).view("u8")), round(r["count"] / rate)) for r in seen.orderBy(F.desc("count"), "g").limit(SMALL).collect())
+    return np.array([g for g, _ in got], "u8"), np.array([c for _, c in got], "i8")
+
+
+def classes(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(ids and lower-cased texts, (id, k, n, head, many) of each document with n-grams, whether ids have several sets); k is the number of the document, head that of the one that stands for its class of ``many``."""
+    texts = docs.where("id is not null and t is not null").select("id", F.lower("t").alias("t"))
+    heads = cut(texts.mapInPandas(_signatures(n), "id long, k long, n long, s1 long, s2 long").distinct())
+    if by_set := not heads.groupBy("id").count().where("count > 1").isEmpty():
+        heads = heads.withColumn("id_k", F.col("k"))
+    else:
+        heads = heads.withColumn("id_k", F.col("id"))
+    first = heads.groupBy("n", "s1", "s2").agg(F.min_by("id_k", F.struct("id", "id_k")).alias("head"), F.count("*").alias("many"))
+    return texts, cut(heads.join(first, ["n", "s1", "s2"]).select("id", F.col("id_k").alias("k"), "n", "head", "many")), by_set
+
+
+def _held(texts: DataFrame, heads: DataFrame, by_set: bool, n: int, threshold: tuple[int, int], hot: int, longest: int, last, schema: str) -> DataFrame:
+    """What ``last`` makes of the candidates, in blocks of pairs."""
     num, den = threshold
-    inner, (i, t) = isolate(docs, id_col, text_col)
-    texts, heads = classes(inner.select(i.cast("long").alias("id"), t.alias("t")), n)
-    same = heads.where("id <> head").select(F.col("head").alias("doc_a"), F.col("id").alias("doc_b"), F.col("n").alias("overlap"), F.lit(1.0).alias("jaccard"))
-    total = heads.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-total // GROUP))
-    ranges = texts.mapInPandas(_to_ranges(n, parts), "p int, block binary")
+    total, docs = heads.agg(F.sum("n"), F.count("*")).first()
+    parts = max(1, -(-(total or 0) // GROUP))
+    ranges = texts.mapInPandas(_to_ranges(n, parts, by_set, *_hot(texts, n, docs, hot)), "p int, block binary")
     shared = ranges.groupBy("p").applyInPandas(_shared(parts), "q long, block binary")
-    # the same function of the id as in _shared
+    # the same function of the document as in _by_group
     q = _group_of(parts)
-    firsts = heads.where("id = head").select("id", "n").distinct()
-    keyed = firsts.select(q("id").alias("of"), "id", "n")
-    sets = cut(shared.groupBy("q").cogroup(keyed.groupBy("of")).applyInPandas(_prefixes(num, den), "id long, n long, prefix int, grams binary"))
-    held = sets.agg(F.sum("prefix"), F.sum(F.length("grams")), F.count("*")).first()
-    postings = sets.mapInPandas(_postings(max(1, -(-(held[0] or 0) // (GROUP // 4)))), "r long, h long, id long, n long, rank long, after long")
+    keyed = heads.where("k = head").select(q("k").alias("of"), "k", "n", "many")
+    sets = cut(shared.groupBy("q").cogroup(keyed.groupBy("of")).applyInPandas(_prefixes(num, den), "k long, n long, many long, prefix int, grams binary, often binary"))
+    held = sets.agg(F.sum("prefix"), F.sum(F.length("grams"))).first()
+    long = sets.select("prefix", "grams", "often").mapInPandas(_long_lists(longest), "h long").groupBy("h").count().where(F.col("count") > longest).limit(SMALL + 1).collect()
+    if len(long) <= SMALL:
+        long = sorted((int(np.int64(r["h"]).view("u8")), r["count"]) for r in long)
+        lists = np.array([h for h, _ in long], "u8"), np.array([c for _, c in long], "i8")
+        more = sum(c * (-(-c // longest) - 1) for _, c in long)
+    else:  # too many to send them to all tasks, so lists are split by the frequencies of their n-grams
+        lists, more = None, 0
+    ranges = max(1, -(-((held[0] or 0) + more) // (GROUP // 3)))
+    postings = sets.select("k", "n", "prefix", "grams", "often").mapInPandas(_postings(ranges, longest, lists), "r long, h long, k long, n long, rank long, after long, side byte")
     found = cut(postings.groupBy("r").applyInPandas(_candidates(num, den), "a long, b long").distinct())
     # pairs in blocks: a document travels once to each task it has pairs in
-    tasks = max(1, -(-(held[1] or 0) * 2 // TASK_BYTES))
+    tasks = max(1, -(-(held[1] or 0) * 2 // TASK_BYTES), -(-found.count() // TASK_PAIRS))
     blocks = max(8, int(np.ceil((4 * tasks) ** 0.5)))
     side = lambda c: F.pmod(F.xxhash64(F.lit(3), c), F.lit(blocks))
     placed = found.withColumn("task", F.pmod(F.xxhash64(F.least(side("a"), side("b")), F.greatest(side("a"), side("b"))), F.lit(tasks)))
-    wanted = placed.select(F.col("a").alias("id"), F.col("task").alias("at")).unionByName(placed.select(F.col("b").alias("id"), F.col("task").alias("at"))).distinct()
-    sent = wanted.join(sets.select("id", "n", "grams"), "id")
-    near = placed.groupBy("task").cogroup(sent.groupBy("at")).applyInPandas(_verify(num, den), "doc_a long, doc_b long, overlap long, jaccard double")
-    return near.unionByName(same)
+    wanted = placed.select(F.col("a").alias("k"), F.col("task").alias("at")).unionByName(placed.select(F.col("b").alias("k"), F.col("task").alias("at"))).distinct()
+    sent = wanted.join(sets.select("k", "n", "many", "grams"), "k")
+    return placed.groupBy("task").cogroup(sent.groupBy("at")).applyInPandas(last(num, den), schema)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    inner, (i, t) = isolate(docs, id_col, text_col)
+    return inner.select(i.cast("long").alias("id"), t.cast("string").alias("t"))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: tuple[int, int] = THRESHOLD, hot: int = HOT, longest: int = LIST) -> DataFrame:
+    """(doc_a, doc_b, overlap, jaccard), doc_a < doc_b, of all pairs at the threshold or above.
+
+    Documents with equal sets are given as pairs of the smallest id of their
+    class with each other, and stand for one another in all other pairs, which
+    are given for the smallest ids alone.  So x and y are similar if and only
+    if their classes are one or form a pair here.
+    """
+    texts, heads, by_set = classes(_texts(docs, id_col, text_col), n)
+    name = heads.select(F.col("k").alias("of"), F.col("id").alias("name"))
+    near = _held(texts, heads, by_set, n, threshold, hot, longest, _verify, "a long, b long, overlap long, jaccard double")
+    same = heads.where("k <> head").select(F.col("head").alias("a"), F.col("k").alias("b"), F.col("n").alias("overlap"), F.lit(1.0).alias("jaccard"))
+    pairs = near.unionByName(same)
+    if by_set:
+        for c in "ab":
+            pairs = pairs.join(name, F.col(c) == F.col("of")).withColumn(c, F.col("name")).drop("of", "name")
+        pairs = pairs.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max_by(F.struct("overlap", "jaccard"), F.struct("jaccard", "overlap")).alias("v")).select("a", "b", "v.*")
+    return pairs.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "overlap", "jaccard")
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: tuple[int, int] = THRESHOLD, hot: int = HOT, longest: int = LIST) -> DataFrame:
+    """(doc_id, class_id, n_links, top_jaccard) of each document.
+
+    ``n_links`` is the number of documents that are similar to it, copies
+    counted one by one, ``top_jaccard`` the greatest similarity (null without
+    links) and ``class_id`` the smallest id that it is connected with by links.
+    An id with several sets has a row for each of them.
+    """
+    given = _texts(docs, id_col, text_col)
+    texts, heads, by_set = classes(given, n)
+    found = cut(_held(texts, heads, by_set, n, threshold, hot, longest, _summary, "k long, root long, links long, top double"))
+    groups = components(found.where("root <> k").select(F.col("root").alias("a"), F.col("k").alias("b")))  # a root isn't alone in its task
+    of_head = found.groupBy("k").agg(F.sum("links").alias("links"), F.max("top").alias("top")).join(groups.withColumnRenamed("id", "k"), "k")
+    each = heads.join(of_head.withColumnRenamed("k", "head"), "head", "left")
+    each = each.select(
+        F.col("id").alias("doc_id"),
+        F.coalesce("component", "head").alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"),
+        F.when(F.col("many") > 1, 1.0).otherwise(F.col("top")).alias("top_jaccard"),
+    )
+    if by_set:  # groups are named by documents' numbers here
+        named = each.groupBy("class_id").agg(F.min("doc_id").alias("name"))
+        each = each.join(named, "class_id").select("doc_id", F.col("name").alias("class_id"), "n_links", "top_jaccard")
+    wordless = given.where("id is not null").select("id").distinct().join(heads.select("id"), "id", "left_anti")
+    return each.unionByName(wordless.select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("double").alias("top_jaccard")))
 
 
 def all_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -356,34 +534,35 @@ def _group_of(groups: int):
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that are linked to one of a smaller id: one of each group stays, all columns as they are."""
-    pairs = cut(join(docs, id_col, text_col, n, threshold))
-    groups = components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
-    gone = cut(groups.where("id <> component").select(F.col("id").alias("__gone")))
+    """``docs`` without the documents that are connected with one of a smaller id: one of each group stays, all columns as they are.
+
+    Rows with a null id stay, and so do rows without words; an id that stays keeps all its rows.
+    """
+    gone = cut(links(docs, id_col, text_col, n, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct())
     inner, (i,) = isolate(docs, id_col)
     kept = inner.join(gone, i.cast("long") == F.col("__gone"), "left_anti")  # the planner broadcasts it by its measured size, or shuffles
     return restore(kept, docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return links(table(spark, sf_dir, "documents"))
 
 
 def sql(n: int = N, threshold: tuple[int, int] = THRESHOLD) -> str:
     num, den = threshold
     return f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{common.WORD_SQL}') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-sets AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
-  ELSE list_transform(range(1, len(w) - {n} + 2), lambda k: array_to_string(w[k:k + {n - 1}], ' ')) END)) AS g FROM w WHERE len(w) > 0),
-heads AS (SELECT doc_id, g, min(doc_id) OVER (PARTITION BY g) AS head FROM sets),
-firsts AS (SELECT DISTINCT doc_id, g, len(g) AS n FROM heads WHERE doc_id = head),
-post AS (SELECT doc_id, n, unnest(g) AS x FROM firsts),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '{common.WORD_SQL}') AS w FROM documents WHERE doc_id IS NOT NULL),
+sets AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+  ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {n} + 2), lambda k: array_to_string(w[k:k + {n - 1}], ' ')))) END AS g FROM w),
+post AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM sets),
 often AS (SELECT x FROM post GROUP BY x HAVING count(*) > 1),
 shared AS (SELECT post.* FROM post SEMI JOIN often USING (x)),
-pairs AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.n AS na, b.n AS nb, count(*) AS overlap
-  FROM shared a JOIN shared b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, overlap, overlap / (na + nb - overlap)::DOUBLE AS jaccard FROM pairs WHERE overlap * {num + den} >= {num} * (na + nb)
-UNION ALL SELECT DISTINCT head, doc_id, len(g), 1.0::DOUBLE FROM heads WHERE doc_id <> head
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) / (a.n + b.n - count(*))::DOUBLE AS jaccard
+  FROM shared a JOIN shared b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) * {num + den} >= {num} * (a.n + b.n)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, p.b FROM reach r JOIN pairs p ON p.a = r.other),
+least_id AS (SELECT doc_id, min(other) AS class_id FROM reach GROUP BY doc_id),
+degree AS (SELECT a AS doc_id, count(*) AS n_links, max(jaccard) AS top_jaccard FROM pairs GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, top_jaccard FROM least_id LEFT JOIN degree USING (doc_id)
 """
 
 
