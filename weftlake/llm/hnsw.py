@@ -1,23 +1,29 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs.
 
 Vectors are hashed to shards of bounded size and each shard gets a graph.
-Every vector then queries every shard.  Queries of a block are searched
-together; a block's beam is doubled until an audit passes (queries of the block
-are searched exhaustively too and the neighbours at the threshold that the beam
-found must be at least ``recall`` of them), and any query whose beam holds
-nothing but neighbours at the threshold is searched again with a wider beam
-until it holds another, so that no number of partners is cut off.  A beam as
-wide as the shard is an exhaustive search.  What is found is verified by the
-cosine in double precision, and connected vectors are united.
-
-Queries times shards grow with the square of the vectors over the shard size;
-that is the price of querying every shard.
+Every vector then queries every shard: vectors are hashed to tiles too, and
+each meeting of a shard and a tile is a task of its own, keyed by both numbers.
+The queries of a meeting are searched together; their beam is doubled until an
+audit passes.  The audit searches exhaustively for some of the queries and for
+as many vectors of the shard that were moved off a little, so that each audit
+has true neighbours to find (a query's own vector counts as none), and the beam
+must find at least ``recall`` of them.  Any query whose beam holds nothing but
+neighbours at the threshold is searched again with a wider beam until it holds
+another, so that no number of partners is cut off.  A beam as wide as the shard
+is an exhaustive search.  What is found is verified by the cosine of the
+vectors as given, in double precision, and connected vectors are united.
+
+There are at least MIN_SHARDS shards, so that graphs are built side by side,
+and more as soon as one would hold over SHARD vectors; from there on queries
+times shards grow with the square of the vectors over SHARD, which is the price
+of querying every shard.
 
 Defined cases: vectors that are null, empty, zero or hold a null, NaN or
 infinity have no neighbours, and stay components of their own; vectors of
 different lengths are never compared; equal vectors are united before any
 search, so thousands of copies cost as much as one; rows with a null id are
-left out; a repeated id is one vertex; an empty table gives an empty result.
+left out; a repeated id is one vertex, with all its vectors; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,14 +36,16 @@ from pyspark.sql import functions as F
 from .common import components, cut, isolate, table
 
 COSINE = 0.95
-SHARD = 8192
-BLOCK = 8192
+SHARD = 65_536
+MIN_SHARDS = 4
 M = 12
 EF_BUILD = 48
 EF = 32
 RECALL = 0.99
 AUDIT = 64
 BATCH = 256
+#: Queries that are searched together.
+QUERIES = 1024
 
 
 def _level(ids: np.ndarray, m: int) -> np.ndarray:
@@ -50,10 +58,13 @@ def _level(ids: np.ndarray, m: int) -> np.ndarray:
 class Graph:
     """Vectors in the order of their levels, the highest first, so that the nodes of a layer are the first ones."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, m: int = M, ef: int = EF_BUILD) -> None:
+    def __init__(self, ids: np.ndarray, raw: np.ndarray, heads: np.ndarray | None = None, m: int = M, ef: int = EF_BUILD) -> None:
+        """``ids`` differ; ``heads`` are the vertices that the vectors belong to, the ids if not given."""
         level = _level(ids, m)
         order = np.lexsort((ids, -level))
-        self.ids, self.x, self.level = ids[order], np.ascontiguousarray(x[order], "f4"), level[order]
+        self.ids, self.raw, self.level = ids[order], np.ascontiguousarray(raw[order], "f4"), level[order]
+        self.heads = self.ids if heads is None else heads[order]
+        self.x = _unit(self.raw)
         self.m, n = m, len(ids)
         self.sizes = [int((self.level >= k).sum()) for k in range(int(self.level[0]) + 1)] if n else []
         # lists may grow to their width and are thinned by half then
@@ -170,7 +181,7 @@ class Graph:
 
     def dump(self) -> bytes:
         head = np.array([len(self.x), self.x.shape[1], self.m, len(self.sizes)], "<i8")
-        parts = [head, np.array(self.sizes, "<i8"), self.ids.astype("<i8"), self.level.astype("<i4"), self.x.astype("<f4"), *(v.astype("<i4") for v in self.near)]
+        parts = [head, np.array(self.sizes, "<i8"), self.ids.astype("<i8"), self.heads.astype("<i8"), self.level.astype("<i4"), self.raw.astype("<f4"), *(v.astype("<i4") for v in self.near)]
         return b"".join(p.tobytes() for p in parts)
 
     @staticmethod
@@ -186,7 +197,8 @@ class Graph:
 
         n, d, g.m, layers = take("<i8", 4).tolist()
         g.sizes = take("<i8", layers).tolist()
-        g.ids, g.level, g.x = take("<i8", n), take("<i4", n), take("<f4", n, d)
+        g.ids, g.heads, g.level, g.raw = take("<i8", n), take("<i8", n), take("<i4", n), take("<f4", n, d)
+        g.x = _unit(g.raw)
         g.near = [take("<i4", s, 4 * g.m if k == 0 else 2 * g.m) for k, s in enumerate(g.sizes)]
         return g
 
@@ -195,27 +207,48 @@ def _margin(cosine: float) -> float:
     return cosine - 1e-4  # single precision may be so far off; what is found is verified
 
 
-def query_block(graph: Graph, ids: np.ndarray, x: np.ndarray, cosine: float = COSINE, ef: int = EF, recall: float = RECALL, audit: int = AUDIT) -> tuple[np.ndarray, np.ndarray, int]:
-    """(query, id found) at the threshold, and the beam at which the audit passed."""
+def _moved(x: np.ndarray, cosine: float) -> np.ndarray:
+    """Unit vectors at a cosine half-way between the threshold and 1 with ``x``."""
+    c = (1 + cosine) / 2
+    noise = np.random.default_rng(len(x)).normal(size=x.shape).astype("f4")
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    long = np.linalg.norm(noise, axis=1, keepdims=True)
+    return np.where(long > 1e-6, c * x + np.sqrt(max(0.0, 1 - c * c)) * noise / np.maximum(long, 1e-6), x).astype("f4")  # with one dimension there is nowhere to go
+
+
+def audited_beam(graph: Graph, ids: np.ndarray, x: np.ndarray, cosine: float = COSINE, ef: int = EF, recall: float = RECALL, audit: int = AUDIT) -> int:
+    """The beam, doubled from ``ef``, that finds ``recall`` of the true neighbours of queries and of moved vectors of the shard; that of an exhaustive search if none does."""
     n, least = len(graph.x), np.float32(_margin(cosine))
-    if not n or not len(x):
-        return np.zeros(0, "i8"), np.zeros(0, "i8"), ef
     probe = np.unique(np.linspace(0, len(x) - 1, min(audit, len(x))).astype("i8"))
-    truth = x[probe] @ graph.x.T >= least
+    own = np.unique(np.linspace(0, n - 1, min(audit, n)).astype("i8"))
+    q, who = np.concatenate([x[probe], _moved(graph.x[own], cosine)]), np.concatenate([ids[probe], np.full(len(own), -1, "i8")])
+    is_self = (who[:, None] == graph.ids[None, :]) & (np.arange(len(q)) < len(probe))[:, None]
+    truth = (q @ graph.x.T >= least) & ~is_self
     while ef < n:
-        got, sims = _wide(graph, x[probe], ef, least)
-        hit = sum(len(set(g[s >= least].tolist()) & set(np.flatnonzero(t).tolist())) for g, s, t in zip(got, sims, truth))
+        hit = 0
+        for r, (g, s) in enumerate(zip(*_wide(graph, q, ef, least))):
+            hit += int(truth[r, np.unique(g[s >= least])].sum())
         if hit >= recall * truth.sum():
-            break
+            return ef
         ef *= 2
+    return n
+
+
+def query_block(graph: Graph, ids: np.ndarray, x: np.ndarray, cosine: float = COSINE, ef: int = EF, recall: float = RECALL, audit: int = AUDIT) -> tuple[np.ndarray, np.ndarray, int]:
+    """(place of the query, place in the graph) at the threshold, and the beam at which the audit passed."""
+    least = np.float32(_margin(cosine))
+    if not len(graph.x) or not len(x):
+        return np.zeros(0, "i8"), np.zeros(0, "i8"), ef
+    ef = audited_beam(graph, ids, x, cosine, ef, recall, audit)
     a, b = [], []
-    for k in range(0, len(x), BATCH):
-        got, sims = _wide(graph, x[k : k + BATCH], ef, least)
+    for k in range(0, len(x), QUERIES):
+        got, sims = _wide(graph, x[k : k + QUERIES], ef, least)
         for r, (g, s) in enumerate(zip(got, sims)):
             g = g[s >= least]
-            a.append(np.full(len(g), ids[k + r]))
-            b.append(graph.ids[g])
-    return np.concatenate(a).astype("i8"), np.concatenate(b).astype("i8"), ef
+            if len(g):
+                a.append(np.full(len(g), k + r))
+                b.append(g)
+    return np.concatenate([np.zeros(0, "i8"), *a]).astype("i8"), np.concatenate([np.zeros(0, "i8"), *b]).astype("i8"), ef
 
 
 def _wide(graph: Graph, q: np.ndarray, ef: int, least: np.float32) -> tuple[list, list]:
@@ -243,31 +276,30 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    ids = pdf["id"].to_numpy("i8")
-    return pd.DataFrame({"dim": [key[0]], "graph": [Graph(ids, _unit(_matrix(pdf))).dump()]})
-
-
-def _block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("id")
-    return pd.DataFrame({"dim": [key[0]], "ids": [pdf["id"].to_numpy("<i8").tobytes()], "raw": [_matrix(pdf).astype("<f4").tobytes()]})
+    graph = Graph(pdf["v"].to_numpy("i8"), _matrix(pdf), pdf["head"].to_numpy("i8"))
+    return pd.DataFrame({"dim": [key[0]], "s": [key[1]], "graph": [graph.dump()]})
 
 
 def _search(cosine: float, ef: int, recall: float, audit: int):
-    def run(batches):
-        for pdf in batches:
-            for blob, own, raw in zip(pdf["graph"], pdf["ids"], pdf["raw"]):
-                graph, ids = Graph.load(blob), np.frombuffer(own, "<i8")
-                x = _unit(np.frombuffer(raw, "<f4").reshape(len(ids), -1))
-                a, b, _ = query_block(graph, ids, x, cosine, ef, recall, audit)
-                # the cosine of unit vectors in double precision; the threshold itself is decided on the vectors as given
-                place_a = np.searchsorted(ids, a)
-                by = np.argsort(graph.ids)
-                place_b = by[np.searchsorted(graph.ids[by], b)]
-                keep = a != b
-                a, b, u, v = a[keep], b[keep], x[place_a[keep]].astype("f8"), graph.x[place_b[keep]].astype("f8")
-                cos = (u * v).sum(1) / np.sqrt((u * u).sum(1) * (v * v).sum(1))
-                keep = cos >= cosine
-                yield pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]}).drop_duplicates()
+    """A meeting of a shard and a tile: (a, b) of vertices with vectors at the threshold."""
+
+    def run(key: tuple, shard: pd.DataFrame, tile: pd.DataFrame) -> pd.DataFrame:
+        found = [(np.zeros(0, "i8"), np.zeros(0, "i8"))]
+        if len(shard) and len(tile):
+            graph, tile = Graph.load(shard["graph"].iloc[0]), tile.sort_values("v")
+            ids, heads, raw = tile["v"].to_numpy("i8"), tile["head"].to_numpy("i8"), _matrix(tile)
+            del tile
+            i, j, _ = query_block(graph, ids, _unit(raw), cosine, ef, recall, audit)
+            apart = heads[i] != graph.heads[j]
+            i, j = i[apart], j[apart]
+            for k in range(0, len(i), 100_000):  # the cosine of the vectors as given
+                u, v = raw[i[k : k + 100_000]].astype("f8"), graph.raw[j[k : k + 100_000]].astype("f8")
+                # scaled first, so that no square overflows
+                u, v = u / np.abs(u).max(1, keepdims=True), v / np.abs(v).max(1, keepdims=True)
+                ok = (u * v).sum(1) / np.sqrt((u * u).sum(1) * (v * v).sum(1)) >= cosine
+                found.append((heads[i[k : k + 100_000]][ok], graph.heads[j[k : k + 100_000]][ok]))
+        a, b = (np.concatenate(c) for c in zip(*found))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     return run
 
@@ -277,43 +309,40 @@ def _valid(v):
     return v.isNotNull() & (F.size(v) > 0) & ~F.coalesce(F.exists(v, bad), F.lit(False)) & F.exists(v, lambda e: e != 0)
 
 
-def _prepared(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
+def _prepared(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ids, (id, head) of each with a vector, (v, head, dim, x) of each distinct vector)."""
     inner, (i, v) = isolate(vectors, id_col, vector_col)
-    rows = cut(inner.select(i.cast("long").alias("id"), v.cast("array<float>").alias("x")).where("id is not null"))
-    ok = rows.where(_valid(F.col("x"))).withColumn("h", F.xxhash64("x"))
-    heads = ok.groupBy("h", "x").agg(F.min("id").alias("head"))
-    return rows, cut(ok.join(heads, ["h", "x"]).select("id", "head", "x"))
+    rows = inner.select(i.cast("long").alias("id"), v.cast("array<float>").alias("x")).where("id is not null")
+    ok = cut(rows.where(_valid(F.col("x"))).withColumn("h", F.xxhash64("x")))
+    # checkpointed, so the numbers stay
+    distinct = cut(ok.groupBy("h", "x").agg(F.min("id").alias("head")).withColumn("v", F.monotonically_increasing_id()))
+    return rows.select("id").distinct(), ok.join(distinct, ["h", "x"]).select("id", "head"), distinct.select("v", "head", F.size("x").alias("dim"), "x")
 
 
-def near_pairs(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, shard: int = SHARD, block: int = BLOCK, ef: int = EF, recall: float = RECALL, audit: int = AUDIT) -> DataFrame:
+def near_pairs(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, shard: int = SHARD, min_shards: int = MIN_SHARDS, ef: int = EF, recall: float = RECALL, audit: int = AUDIT) -> DataFrame:
     """(a, b), a < b, of vectors with a cosine at the threshold or above; equal vectors as pairs with the smallest id of theirs."""
-    _, known = _prepared(vectors, id_col, vector_col)
-    return _pairs(known, cosine, shard, block, ef, recall, audit)
-
-
-def _pairs(known: DataFrame, cosine, shard, block, ef, recall, audit) -> DataFrame:
-    same = known.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    first = known.where("id = head").select("id", F.size("x").alias("dim"), "x").dropDuplicates(["id", "dim"])
-    n = first.count()
-    part = lambda size, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, -(-n // size))))
-    graphs = cut(first.withColumn("s", part(shard, 1)).groupBy("dim", "s").applyInPandas(_build, "dim int, graph binary"))
-    blocks = cut(first.withColumn("s", part(block, 2)).groupBy("dim", "s").applyInPandas(_block, "dim int, ids binary, raw binary"))
-    # every block meets every graph of its dimension; keys spread them over tasks of one meeting each
-    g = graphs.select("dim", "graph").withColumn("g", F.monotonically_increasing_id())
-    b = blocks.select(F.col("dim").alias("of"), "ids", "raw").withColumn("b", F.monotonically_increasing_id())
-    met = g.join(b, F.col("dim") == F.col("of")).drop("of")
-    meetings = max(1, (-(-n // shard)) * (-(-n // block)))
-    spread = met.repartition(min(meetings, 200_000), "g", "b").select("graph", "ids", "raw")
-    found = spread.mapInPandas(_search(cosine, ef, recall, audit), "a long, b long").distinct()
-    return found.unionByName(same)
-
-
-def near_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, shard: int = SHARD, block: int = BLOCK, ef: int = EF, recall: float = RECALL, audit: int = AUDIT) -> DataFrame:
+    _, same, distinct = _prepared(vectors, id_col, vector_col)
+    return _pairs(same, distinct, cosine, shard, min_shards, ef, recall, audit)
+
+
+def _pairs(same: DataFrame, distinct: DataFrame, cosine, shard, min_shards, ef, recall, audit) -> DataFrame:
+    shards = max(min_shards, -(-distinct.count() // shard))
+    part = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "v"), F.lit(shards)).cast("int")
+    graphs = cut(distinct.withColumn("s", part(1)).groupBy("dim", "s").applyInPandas(_build, "dim int, s int, graph binary"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    left = graphs.select("dim", "s", every.alias("t"), "graph")
+    right = distinct.select("dim", every.alias("s"), part(2).alias("t"), "v", "head", "x")
+    meetings = shards * shards
+    left, right = (d.repartition(min(meetings, 100_000), "dim", "s", "t") for d in (left, right))
+    found = left.groupBy("dim", "s", "t").cogroup(right.groupBy("dim", "s", "t")).applyInPandas(_search(cosine, ef, recall, audit), "a long, b long").distinct()
+    return found.unionByName(same.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+
+
+def near_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, shard: int = SHARD, min_shards: int = MIN_SHARDS, ef: int = EF, recall: float = RECALL, audit: int = AUDIT) -> DataFrame:
     """(vec_id, component) of every vector: the smallest id it is connected with."""
-    rows, known = _prepared(vectors, id_col, vector_col)
-    pairs = cut(_pairs(known, cosine, shard, block, ef, recall, audit))
-    groups = components(pairs)
-    return rows.select("id").distinct().join(groups, "id", "left").select(F.col("id").alias("vec_id"), F.coalesce("component", "id").alias("component"))
+    ids, same, distinct = _prepared(vectors, id_col, vector_col)
+    groups = components(cut(_pairs(same, distinct, cosine, shard, min_shards, ef, recall, audit)))
+    return ids.join(groups, "id", "left").select(F.col("id").alias("vec_id"), F.coalesce("component", "id").alias("component"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
