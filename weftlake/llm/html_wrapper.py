@@ -1,22 +1,25 @@
 """HTML extraction with wrappers inferred as union-free regular expressions.
 
 A page is a stream of tokens: opening tags, closing tags and texts.  Its
-repeated groups are folded first (a unit that follows itself becomes ``( )+``).
-The pages of a host are then aligned one after another with the wrapper so far:
-what both have stays, what one lacks becomes an optional group, repeated groups
-align with one another and with single occurrences of their unit, and texts
-become slots.  A page that the wrapper accepts already changes nothing, so only
-distinct folded streams are aligned, the most frequent first; the result
-doesn't depend on how pages are spread over tasks, and a host with many pages
-isn't gathered anywhere, only its distinct streams are.
+repeated groups are folded first (a unit of any length that follows itself
+becomes ``( )+``).  The pages of a host are then aligned one after another with
+the wrapper so far: what both have stays, what one lacks becomes an optional
+group, repeated groups align with one another and with single occurrences of
+their unit, and texts become slots.  A page that the wrapper accepts already
+changes nothing, so only distinct folded streams are aligned, the most frequent
+first.  A host with many distinct streams isn't gathered anywhere: chunks of
+CHUNK streams, dealt by a hash, make a wrapper each, and chunks of wrappers
+again, until a host has one.  The result doesn't depend on how pages are spread
+over tasks.
 
 Every page is then parsed with the wrapper of its host.  A slot that has the
 same text on all pages of the host that hold any text belongs to the template;
 the others hold data.  Pages with equal texts are one page: a host that has only
-one, however often, has no template, and all its texts stay.  The text of a page is what its data slots hold outside of
-navigation, headers of sites, footers and asides, the title apart.
+one, however often, has no template, and all its texts stay.  The text of a page
+is what its data slots hold outside of navigation, headers of sites, footers
+and asides, the title apart; a title stays if it is the same on all pages.
 
-Defined cases: a null or empty page has null title and empty text; a page
+Defined cases: ids are integers; a null or empty page has null title and empty text; a page
 without host belongs to the host ``''``; a page with broken tags is a stream of
 tokens like any other; ``<`` that begins no tag is text; a header within an
 article or main element is content; an aside that isn't closed ends with the
@@ -28,6 +31,7 @@ repeated are extracted alike; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 from hashlib import blake2b
 from html import unescape
@@ -49,7 +53,8 @@ BLOCKS = ASIDE | frozenset("html head body main article section div center addre
 WIDE = frozenset("html body main article".split())
 #: Wrappers up to this many bytes are broadcast; more are joined by host.
 BROADCAST_BYTES = 32 << 20
-MAX_UNIT = 12
+#: Streams or wrappers that one task aligns.
+CHUNK = 256
 SCHEMA = "page_id long, host string, matched boolean, n_slots int, title string, text string"
 
 
@@ -125,28 +130,68 @@ def fold(stream: list[str]) -> tuple:
     return _fold_runs(tuple(out))
 
 
-@lru_cache(20_000)
+@lru_cache(512)
 def _fold_runs(nodes: tuple) -> tuple:
+    """The nodes with runs of any length that follow themselves as groups, the shortest first."""
     out: list = []
-    for node in nodes:
+    places: dict = {}  # of each node
+    groups: dict = {}  # of groups, by the last node of their unit
+    sums, power = np.zeros(len(nodes) + 2, "u8"), _powers(len(nodes) + 2)
+
+    def push(node) -> None:
+        places.setdefault(node, []).append(len(out))
+        if isinstance(node, tuple):
+            groups.setdefault(node[1][-1], []).append(len(out))
         out.append(node)
-        for n in range(1, min(MAX_UNIT, len(out) - 1) + 1):
-            unit = tuple(out[-n:])
-            if unit == ("#",) or (n == 1 and isinstance(node, tuple)):
-                if n == 1 and len(out) > 1 and out[-2] == node and isinstance(node, tuple):
-                    out.pop()
-                    break
+        sums[len(out)] = sums[len(out) - 1] * _ODD + np.uint64(hash(node) & (2**64 - 1))
+
+    def pop(n: int) -> None:
+        for _ in range(n):
+            node = out.pop()
+            places[node].pop()
+            if isinstance(node, tuple):
+                groups[node[1][-1]].pop()
+
+    def twice(end: int, single: bool) -> int:
+        """The size of the shortest run that ends here and follows itself, or 0; hashes of prefixes tell where to look."""
+        own = places[out[-1]]
+        first = bisect_left(own, (end - 1) // 2)
+        at = np.array(own[first:-1], "i8")[::-1]
+        n = end - 1 - at
+        n = n[(2 * n <= end) & ((n > 1) | single)]
+        mid, low = sums[end - n], sums[end - 2 * n]
+        for k in n[sums[end] - mid * power[n] == mid - low * power[n]].tolist():
+            if out[end - 2 * k : end - k] == out[end - k :]:
+                return k
+        return 0
+
+    with np.errstate(over="ignore"):
+        for node in nodes:
+            if isinstance(node, tuple) and out and out[-1] == node:
                 continue
-            if out[-n - 1] == ("+", unit):
-                del out[-n:]
-                break
-            if len(out) >= 2 * n and tuple(out[-2 * n : -n]) == unit:
-                del out[-2 * n :]
-                out.append(("+", unit))
-                break
+            push(node)
+            end = len(out)
+            more = next((end - 1 - g for g in reversed(groups.get(node, ())) if len(out[g][1]) == end - 1 - g and out[g][1] == tuple(out[g + 1 :])), 0)
+            again = twice(end, node != "#" and not isinstance(node, tuple)) if len(places[node]) > 1 else 0
+            if more and (more <= again or not again):
+                pop(more)
+            elif again:
+                unit = tuple(out[-again:])
+                pop(2 * again)
+                if not out or out[-1] != ("+", unit):
+                    push(("+", unit))
     return tuple(out)
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+@lru_cache(64)
+def _powers(n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([np.ones(1, "u8"), np.full(n, _ODD, "u8")]), dtype="u8")
+
+
 def _lift(nodes: tuple, groups: set) -> tuple:
     """``nodes`` with runs that are the unit of one of ``groups`` as that group."""
     for g in sorted(groups, key=lambda g: (-len(g[1]), repr(g))):
@@ -182,7 +227,6 @@ def align(a: tuple, b: tuple) -> tuple:
         return a
     own = {n for n in a if isinstance(n, tuple)}
     a, b = _lift(a, {n for n in b if isinstance(n, tuple)} - own), _lift(b, own)
-    like = lambda x, y: x == y or (isinstance(x, tuple) and isinstance(y, tuple) and x[1][0] == y[1][0] and x[1][-1] == y[1][-1])
     pre = 0
     while pre < min(len(a), len(b)) and a[pre] == b[pre]:
         pre += 1
@@ -190,11 +234,10 @@ def align(a: tuple, b: tuple) -> tuple:
     while post < min(len(a), len(b)) - pre and a[-1 - post] == b[-1 - post]:
         post += 1
     x, y = a[pre : len(a) - post], b[pre : len(b) - post]
-    best = np.zeros((len(x) + 1, len(y) + 1), "i4")
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i, j] = best[i + 1, j + 1] + 1 if like(x[i], y[j]) else max(best[i + 1, j], best[i, j + 1])
-    out, i, j, only_a, only_b = list(a[:pre]), 0, 0, [], []
+    kinds: dict = {}
+    number = lambda n: kinds.setdefault(n if isinstance(n, str) else (n[1][0], n[1][-1]), len(kinds))
+    pairs = common_subsequence(np.array([number(n) for n in x], "i4"), np.array([number(n) for n in y], "i4"))
+    out, only_a, only_b = list(a[:pre]), [], []
 
     def flush():
         for run in (only_a, only_b):
@@ -202,28 +245,52 @@ def align(a: tuple, b: tuple) -> tuple:
                 out.append(run[0] if len(run) == 1 and isinstance(run[0], tuple) and run[0][0] == "?" else ("?", tuple(run)))
                 run.clear()
 
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and like(x[i], y[j]):
-            flush()
-            if x[i] == y[j]:
-                out.append(x[i])
-            else:
-                kind = "?" if "?" in (x[i][0], y[j][0]) else "+"
-                body = align(x[i][1], y[j][1])
-                if kind == "?" and "+" in (x[i][0], y[j][0]):
-                    body = (("+", body),)
-                out.append((kind, body))
-            i, j = i + 1, j + 1
-        elif j >= len(y) or (i < len(x) and best[i + 1, j] >= best[i, j + 1]):
-            only_a.append(x[i])
-            i += 1
-        else:
-            only_b.append(y[j])
-            j += 1
-    flush()
+    i = j = 0
+    for p, q in [*pairs, (len(x), len(y))]:
+        only_a += x[i:p]
+        only_b += y[j:q]
+        flush()
+        i, j = p + 1, q + 1
+        if p == len(x):
+            break
+        if x[p] == y[q]:
+            out.append(x[p])
+            continue
+        kind = "?" if "?" in (x[p][0], y[q][0]) else "+"
+        body = align(x[p][1], y[q][1])
+        if kind == "?" and "+" in (x[p][0], y[q][0]):
+            body = (("+", body),)
+        out.append((kind, body))
     return _tight(out + list(a[len(a) - post :]))
 
 
+def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The length of a longest common subsequence of ``x`` and each prefix of ``y``."""
+    row = np.zeros(len(y) + 1, "i4")
+    for v in x:
+        row[1:] = np.maximum(row[1:], row[:-1] + (y == v))
+        np.maximum.accumulate(row, out=row)
+    return row
+
+
+def common_subsequence(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence; halves of ``x`` are solved one after the other, so memory grows with the sum of the lengths."""
+    out, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if a == b or c == d:
+            continue
+        if b - a == 1:
+            hit = np.flatnonzero(y[c:d] == x[a])
+            if len(hit):
+                out.append((a, c + int(hit[0])))
+            continue
+        mid = (a + b) // 2
+        at = c + int((_lengths(x[a:mid], y[c:d]) + _lengths(x[a:b][mid - a :][::-1], y[c:d][::-1])[::-1]).argmax())
+        todo += [(a, mid, c, at), (mid, b, at, d)]
+    return sorted(out)
+
+
 # A program is a tuple of instructions for a backtracking machine that never is in a state twice.
 
 
@@ -255,7 +322,9 @@ def compile_wrapper(nodes: tuple) -> tuple:
 
 
 def parse(code: tuple, stream: list[str]) -> list[int] | None:
-    """The slot of each text of the stream, or None if the wrapper doesn't accept it."""
+    """The slot of each text of the stream, or None if the wrapper doesn't accept it; each accepts an empty stream."""
+    if not stream:
+        return []
     end, n = len(code), len(stream)
     todo, seen, trail = [(0, 0, 0)], set(), []
     while todo:
@@ -286,13 +355,15 @@ def parse(code: tuple, stream: list[str]) -> list[int] | None:
     return None
 
 
-def infer(skeletons: list[tuple]) -> tuple:
-    """The wrapper of folded streams, aligned in the order given."""
+def infer(given: list[tuple]) -> tuple:
+    """The wrapper of folded streams or wrappers, aligned in the order given."""
     wrapper, code = None, ()
-    for s in skeletons:
+    for s in given:
+        if not s:
+            continue
         if wrapper is None:
             wrapper = s
-        elif parse(code, unfold(s)) is None or parse(code, unfold(s, 2)) is None:
+        elif _optional(s) or parse(code, unfold(s)) is None or parse(code, unfold(s, 2)) is None:
             wrapper = align(wrapper, s)
         else:
             continue
@@ -300,6 +371,10 @@ def infer(skeletons: list[tuple]) -> tuple:
     return wrapper or ()
 
 
+def _optional(nodes: tuple) -> bool:
+    return any(isinstance(n, tuple) and (n[0] == "?" or _optional(n[1])) for n in nodes)
+
+
 def unfold(nodes: tuple, times: int = 1) -> list[str]:
     out: list[str] = []
     for n in nodes:
@@ -336,16 +411,15 @@ def _skeletons(batches):
             key = (host, show(fold(tokens(html)[0])))
             found[key] = found.get(key, 0) + 1
         if len(found) > 50_000:
-            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["host", "skeleton", "n"])
+            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["host", "wrapper", "n"])
             found = {}
-    yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["host", "skeleton", "n"])
+    yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["host", "wrapper", "n"])
 
 
-def _infer_host(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["n", "skeleton"], ascending=[False, True], kind="stable")
-    pdf = pdf.sort_values("skeleton", key=lambda c: c == "", kind="stable")  # an empty page makes all that was found optional, so it is last
-    wrapper = infer([read(s) for s in pdf["skeleton"]])
-    return pd.DataFrame({"host": [key[0]], "wrapper": [show(wrapper)], "n_pages": [int(pdf["n"].sum())]})
+def _infer_chunk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["n", "wrapper"], ascending=[False, True], kind="stable")
+    wrapper = infer([read(s) for s in pdf["wrapper"]])
+    return pd.DataFrame({"host": [key[0]], "wrapper": [show(wrapper)], "n": [int(pdf["n"].sum())]})
 
 
 def host_of(url: Column) -> Column:
@@ -357,10 +431,20 @@ def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
     return inner.select(i.cast("long").alias("id"), host_of(u).alias("host"), F.coalesce(h, F.lit("")).alias("html"))
 
 
-def _wrappers(pages: DataFrame) -> DataFrame:
-    found = pages.select("host", "html").mapInPandas(_skeletons, "host string, skeleton string, n long")
-    merged = found.groupBy("host", "skeleton").agg(F.sum("n").alias("n"))
-    return merged.groupBy("host").applyInPandas(_infer_host, "host string, wrapper string, n_pages long")
+def _wrappers(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    found = pages.select("host", "html").mapInPandas(_skeletons, "host string, wrapper string, n long")
+    level = cut(found.groupBy("host", "wrapper").agg(F.sum("n").alias("n")))
+    while True:
+        many = level.groupBy("host").agg(F.count("*").alias("many"))
+        most = many.agg(F.max("many")).first()[0] or 0
+        if most > chunk:  # some host takes a round more
+            level = level.join(many, "host").withColumn("c", F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("many") / chunk)))
+        else:
+            level = level.withColumn("c", F.lit(0))
+        level = level.groupBy("host", "c").applyInPandas(_infer_chunk, "host string, wrapper string, n long")
+        if most <= chunk:
+            return level.withColumnRenamed("n", "n_pages")
+        level = cut(level.groupBy("host", "wrapper").agg(F.sum("n").alias("n")))
 
 
 def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -381,7 +465,7 @@ def _parsed(pdf: pd.DataFrame, of_host: dict | None):
 
 
 def _slots(of_host: dict | None):
-    """Of each slot in a task: on how many pages it occurs, whether its texts are the same, and that text; as slot -1 of a host, how many pages have texts, and the least and greatest digest of these."""
+    """Of each slot in a task: on how many pages it occurs, whether its texts are the same, and their digest; as slot -1 of a host, how many pages have texts, and the least and greatest digest of these."""
 
     def run(batches):
         seen: dict[tuple[str, int], list] = {}
@@ -394,8 +478,8 @@ def _slots(of_host: dict | None):
                     pages[host] = [n + 1, min(lo, d), max(hi, d)]
                 here: set[int] = set()
                 for s, t in zip(slots or (), texts):
-                    h = t if len(t) <= 200 else None  # long texts are data
-                    own = seen.setdefault((host, s), [h, 0, h is not None])
+                    h = blake2b(t.encode("utf-8", "replace"), digest_size=16).hexdigest()
+                    own = seen.setdefault((host, s), [h, 0, True])
                     own[1] += s not in here
                     own[2] = own[2] and own[0] == h
                     here.add(s)
@@ -413,13 +497,13 @@ def _extract(of_host: dict | None, fixed: dict[str, frozenset[int]] | None):
                 still = fixed.get(host, frozenset()) if fixed is not None else frozenset(pdf["fixed"].iloc[k])
                 title, body, used = None, [], set()
                 for n, (t, z) in enumerate(zip(texts, zones)):
-                    if slots is not None and slots[n] in still:
+                    if z == "title":
+                        title = title or unescape(t)
+                    elif slots is not None and slots[n] in still:
                         continue
                     if slots is not None:
                         used.add(slots[n])
-                    if z == "title":
-                        title = title or unescape(t)
-                    elif z == "body":
+                    if z == "body":
                         body.append(unescape(t))
                 rows.append((i, host, slots is not None, len(used), title, "\n".join(body)))
             yield pd.DataFrame(rows, columns=["page_id", "host", "matched", "n_slots", "title", "text"]).astype({"page_id": "Int64"})
