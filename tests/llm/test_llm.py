@@ -105,7 +105,8 @@ def test_sharding_bounds(spark):
     r = random.Random(2)
     data = [(k, "x" * r.randint(1, 400), "en", "hot" if k % 2 else f"s{r.randrange(300):03d}", 0) for k in range(4000)]
     df = spark.createDataFrame(data, DOCS)
-    out = sharding.assign(df, target_bytes=20_000).toPandas()
+    how = {"key_cols": "source", "target_bytes": 20_000, "min_shards": 1}
+    out = sharding.assign(df, **how).toPandas()
     assert len(out) == 4000 and out.doc_id.is_unique
     size = out.groupby(["range_id", "part"]).n_bytes.sum()
     total = out.n_bytes.sum()
@@ -114,18 +115,27 @@ def test_sharding_bounds(spark):
     spans = sorted((out[out.range_id == i].doc_id.map(source).min(), out[out.range_id == i].doc_id.map(source).max()) for i in set(out.range_id))
     assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))  # ranges of keys don't overlap
     assert (out[out.doc_id.map(source) == "hot"].n_parts > 1).all()
-    merged = sharding.assign(df, target_bytes=20_000, broadcast_boundaries=0).toPandas()  # the way for many boundaries
+    merged = sharding.assign(df, **how, broadcast_boundaries=0).toPandas()  # the way for many boundaries
     assert sorted(map(tuple, out.to_numpy().tolist())) == sorted(map(tuple, merged.to_numpy().tolist()))
 
 
+def test_sharding_query_makes_ranges(spark):
+    out = sharding.query(spark, DIR).toPandas()
+    assert out.range_id.nunique() > 40 and out.n_bytes.groupby([out.range_id, out.part]).sum().max() < 6 * out.n_bytes.sum() / 64
+
+
 def test_sharding_odd(spark, messy, empty, tmp_path):
     out = sharding.assign(messy, target_bytes=64).toPandas()
     assert len(out) == messy.count() and out.range_id.notna().all()
     same = out[out.doc_id == 1]
     assert len(same) == 2 and len(same[["range_id", "part"]].drop_duplicates()) == 1
     assert sharding.assign(empty).count() == 0
-    sharding.write_shards(spark.createDataFrame([(1, "a" * 50, "x", "s", 1), (2, "b" * 50, "x", "t", 1)], DOCS), str(tmp_path / "w"), target_bytes=60)
-    assert spark.read.parquet(str(tmp_path / "w")).count() == 2
+    given = [(None, "a", "x", "s", 1), (2, "b" * 50, "x", "t", 1), (2, "b" * 50, "x", "t", 1), (2, "c", None, None, 2), (None, None, None, None, None)]
+    df = spark.createDataFrame(given, DOCS).withColumns({c: F.lit(c) for c in ("__id", "__shard", "id", "key", "w", "range_id", "part")})
+    for k, many in enumerate((0, 1000)):
+        name = sharding.write_shards(df, str(tmp_path / f"w{k}"), target_bytes=60, broadcast_boundaries=many)
+        assert rows(spark.read.parquet(str(tmp_path / f"w{k}")).select(*df.columns)) == rows(df) and name == "__shard_"
+    sharding.write_shards(empty, str(tmp_path / "none"))
 
 
 # == 2 exact deduplication
@@ -178,6 +188,65 @@ def test_language_odd(spark, messy, empty):
     assert language_id.identify(messy.where("doc_id = 1"), one).first()["predicted_lang"] == "en"
 
 
+def test_scores_against_a_plain_loop(spark):
+    """Families, languages and margins by counting n-grams in dictionaries and comparing every pair of classes."""
+    docs = [r for r in spark.read.parquet(f"{DIR}/documents.parquet").select("text", "lang").limit(120).collect()]
+    texts = [r["text"].lower().encode() for r in docs] + [b"", b"1 2 3", "Größe".lower().encode(), b"x"]
+    m = language_id.fit(language_id.features(texts[:120]), [r["lang"] for r in docs])
+    out = m.predict(texts)
+
+    def bucket(gram):
+        v = int.from_bytes(gram, "big") + (len(gram) - 1) * 0x3C6EF35F
+        return (v % 2**32 * 2654435761 % 2**32) >> 20
+
+    def choose(score, names):
+        best = {}
+        for n in names:
+            d = [score[p, q] if n == p else -score[p, q] for p, q in score if n in (p, q) and p in names and q in names]
+            best[n] = (sum(v > 0 for v in d), sum(d), [-ord(c) for c in n], min(d, default=1.0))
+        top = max(names, key=lambda n: best[n][:3])
+        return top, best[top][3]
+
+    for k, t in enumerate(texts):
+        clean = bytes(c if 0x61 <= c < 0x7B or c >= 0x80 else 0x20 for c in t)
+        letters = sum(c != 0x20 for c in clean)
+        if not letters:
+            assert out.lang[k] is None and out.family[k] is None and math.isnan(out.margin[k])
+            continue
+        padded = clean + b"    "
+        score = {}
+        for j, duel in enumerate(m.duels):
+            score[duel] = m.bias[j] + sum(float(m.weights[bucket(padded[i : i + n]), j]) for i in range(len(clean)) if clean[i] != 0x20 for n in language_id.ORDERS) / letters
+        family, a = choose(score, m.families)
+        lang, b = choose(score, dict(m.langs)[family])
+        assert (out.family[k], out.lang[k]) == (family, lang) and math.isclose(out.margin[k], min(a, b), abs_tol=1e-5)
+
+
+def test_what_is_in_no_known_language_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(docs)
+    assert 0.02 < model.floor < 0.3
+    other = ["qwrtp zxcvb nmlkj hgfds plokm zqxwv", "Лев Толстой написал роман о войне и мире", "この文章は日本語で書かれています", "Ez egy magyar mondat amelyet senki nem tanult meg"]
+    odd = spark.createDataFrame(list(enumerate(other)), "doc_id long, text string")
+    assert language_id.identify(odd, model).where("accepted").count() == 0
+    assert language_id.keep_accepted(docs, model).count() >= 0.995 * docs.count()
+    told = language_id.keep_accepted(docs.withColumn("lang", F.lit(None).cast("string")), model, lang_col="lang")
+    assert told.columns == docs.columns and told.join(docs.select("doc_id", F.col("lang").alias("given")), "doc_id").where("lang = given").count() > 0.98 * docs.count()
+
+
+def test_training_rows_are_bounded(spark):
+    rows_ = [(1, f"the text number {k} of the house", "en", "a", k) for k in range(300)] + [(k, "der Text des Hauses", "de", "a", k) for k in range(2, 40)] + [(50, "", "", "a", 0), (51, "x " * 300_000, "fr", "a", 0)]
+    df = spark.createDataFrame(rows_, DOCS)
+    seen = []
+    real, language_id.calibrated = language_id.calibrated, lambda r, t, f: (seen.append(r), real(r, t, f))[1]
+    try:
+        model = language_id.train(df, per_language=20, max_languages=3)
+    finally:
+        language_id.calibrated = real
+    assert max(Counter(r[1] for r in seen[0]).values()) <= 20 and {r[1] for r in seen[0]} == {"en", "de", ""}
+    assert language_id.identify(df, model).count() == df.count()
+
+
 def test_svm_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 5))
@@ -547,12 +616,84 @@ def test_best_fit_is_the_tightest():
     assert len(tier) == len(free)
 
 
+def plain_packer(sizes, tier_of, tiers, per_step):
+    """By trying every window for every piece: (windows as lists of pieces, with tiers; steps as lists of windows)."""
+    left = sorted(range(len(sizes)), key=lambda k: (-sizes[k], k))
+    windows, tier = [], []
+    for t in reversed(range(len(tiers))):
+        mine: list = []
+        for s in range(t, -1, -1):
+            for k in [k for k in left if tier_of[k] == s]:
+                free = {w: tiers[t] - sum(sizes[x] for x in windows[w]) for w in mine}
+                fits = [w for w in mine if free[w] >= sizes[k]]
+                if fits:
+                    windows[min(fits, key=lambda w: (free[w], w))].append(k)
+                elif s == t:
+                    mine.append(len(windows))
+                    windows.append([k])
+                    tier.append(t)
+                else:
+                    continue
+                left.remove(k)
+    assert not left
+    steps = []
+    for t in range(len(tiers)):
+        own = sorted((w for w in range(len(windows)) if tier[w] == t), key=lambda w: (-sum(sizes[k] for k in windows[w]), w))
+        n = -(-len(own) // per_step)
+        groups = [[] for _ in range(n)]
+        room = [len(own) // n + (g < len(own) % n) for g in range(n)]
+        load = lambda g: sum(sizes[k] for w in groups[g] for k in windows[w])  # noqa: B023, E731
+        for w in own:
+            groups[min((g for g in range(n) if len(groups[g]) < room[g]), key=lambda g: (load(g), len(groups[g]) - room[g] + len(own) // n, g))].append(w)  # noqa: B023
+        steps += groups
+    return windows, tier, steps
+
+
+def test_packing_against_a_plain_packer():
+    r = random.Random(13)
+    for _ in range(40):
+        tiers = (10, 40, 100)
+        sizes = [r.choice([r.randint(1, 10), r.randint(5, 40), r.randint(30, 100)]) for _ in range(r.randint(1, 70))]
+        tier_of = [next(t for t in range(3) if n <= tiers[t]) for n in sizes]
+        window, tier, step = packing.pack_group(sizes, tier_of, tiers, 4)
+        windows, want_tier, steps = plain_packer(sizes, tier_of, tiers, 4)
+        assert tier == want_tier and [window.index(w) in ks for w, ks in enumerate(windows)] == [True] * len(windows)
+        assert {frozenset(k for k, v in enumerate(window) if v == w) for w in range(len(tier))} == {frozenset(w) for w in windows}
+        assert [[w for w, v in enumerate(step) if v == g] for g in range(len(steps))] == [sorted(g) for g in steps]
+
+
+def test_pieces_are_tokens_and_bytes_of_their_texts(spark):
+    r = random.Random(14)
+    texts = {k: "".join(r.choice(["word ", "é", "漢字 ", "123 ", "\n", "😀"]) for _ in range(r.randint(1, 900))) for k in range(40)} | {99: "x" * 5000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    encoding, _ = packing.vocabulary_of(packing.VOCABULARY)
+    for vocabulary in (packing.VOCABULARY, None):
+        out = packing.pack(df, tiers=(32, 128, 256), vocabulary=vocabulary).toPandas()
+        for i, t in texts.items():
+            own = out[out.doc_id == i].sort_values("piece")
+            raw = t.encode()
+            assert b"".join(raw[a:b] for a, b in zip(own.byte_from, own.byte_to)) == raw
+            if vocabulary:
+                ids = encoding.encode_ordinary(t)
+                for p in own.itertuples():
+                    assert b"".join(encoding.decode_single_token_bytes(x) for x in ids[p.doc_offset : p.doc_offset + p.n_tokens]) == raw[p.byte_from : p.byte_to]
+            else:
+                assert own.n_tokens.sum() == math.ceil(len(raw) / 4)
+
+
+def test_null_and_equal_ids_are_spread(spark):
+    df = spark.createDataFrame([(None if k % 2 else 5, "x", "en", "s", 100) for k in range(200)], DOCS).repartition(3)
+    out = packing.pack(df, tokens_col="n_chars", group_tokens=1000).toPandas()
+    assert len(out) == 200 and out.pack_group.nunique() > 15 and out.pack_group.value_counts().max() < 30
+
+
 def test_packing_odd(messy, empty):
-    out = packing.pack(messy).toPandas()
+    out = packing.pack(messy, vocabulary=None).toPandas()
     ids = Counter(out[out.piece == 0].doc_id.fillna(-1).astype(int))
     assert ids[1] == 2 and ids[-1] == 1 and 3 not in ids and 4 not in ids
     assert out[out.doc_id == 6].n_tokens.sum() == math.ceil(len(messy.where("doc_id = 6").first()["text"]) / 4)
-    assert packing.pack(empty).count() == 0
+    assert packing.pack(empty).count() == 0 and packing.pack(empty, vocabulary=None).count() == 0
+    assert sorted(packing.pack(messy).toPandas().doc_id.fillna(-1).unique()) == [-1, 1, 2, 6, 7, 8, 9]
 
 
 # == 8 embeddings

@@ -8,22 +8,28 @@ most duels won is taken, ties going to the larger sum of margins and then to
 the name.  As the machines are linear, a text is scored in one pass: each of
 its n-grams looks up its weight in every machine.
 
-Training uses a bounded sample of labelled rows (``per_language``, chosen by a
-hash of the id); prediction covers every row.
+Training uses a bounded sample of labelled rows: at most ``per_language`` of
+each of the ``max_languages`` labels with the most rows, chosen by a hash of the
+id.  Three quarters of it train; on the others, the margins of rows told right
+give the model's ``floor``, half of their FLOOR_QUANTILE: what is told with
+less is probably in none of the languages known.  Prediction covers every row.
 
 A row is accepted if it has at least ``min_letters`` bytes of letters, letters
 are at least ``min_letter_share`` of what isn't blank, and the smallest margin
-of the class chosen, in both steps, is at least ``min_margin``.
+of the class chosen, in both steps, is at least ``min_margin`` (the model's
+floor if not given).
 
 Defined cases: a null text, or one without letters, has null family, language
-and margin and isn't accepted; labels that are null don't train; with a single
-language (or none) in the sample that language (or null) is predicted; rows
-that are repeated are predicted alike; an empty table gives an empty result.
+and margin and isn't accepted; labels that are null don't train, an empty label
+is a label; with a single language (or none) in the sample that language (or
+null) is predicted; where too few rows are held out to tell, the floor is 0;
+rows that are repeated are predicted alike; of rows that share an id, as many
+train as the bound lets; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -31,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import isolate, restore, table
+from .common import isolate, place, restore, table
 
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is", "af"),
@@ -43,9 +49,12 @@ FAMILY_OF = {lang: f for f, langs in FAMILIES.items() for lang in langs}
 DIM = 4096
 ORDERS = (1, 2, 3, 4)
 PER_LANGUAGE = 400
+MAX_LANGUAGES = 200
+FLOOR_QUANTILE = 0.005
+#: Held-out rows that calibrate at least.
+LEAST_HELD_OUT = 50
 MIN_LETTERS = 1
 MIN_LETTER_SHARE = 0.3
-MIN_MARGIN = 0.0
 SLICE_BYTES = 1 << 20
 SCHEMA = "family string, lang string, margin double, accepted boolean"
 
@@ -128,6 +137,7 @@ class Model:
     langs: tuple[tuple[str, tuple[str, ...]], ...]
     weights: np.ndarray
     bias: np.ndarray
+    floor: float = 0.0
 
     def predict(self, texts: list[bytes]) -> pd.DataFrame:
         """(family, lang, margin, letters, solid) of lower-cased UTF-8 texts."""
@@ -193,29 +203,52 @@ def fit(x: np.ndarray, labels: list[str], family_of: dict[str, str] = FAMILY_OF)
     return Model(tuple(duels), families, langs, weights, w[-1])
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, family_of: dict[str, str] = FAMILY_OF, seed: int = 3) -> Model:
+def calibrated(rows: list[tuple[str, str, bytes]], texts: list[bytes], family_of: dict[str, str] = FAMILY_OF) -> Model:
+    """A model of (id, label, features) rows with their texts, every fourth of a label held out for the floor."""
+    if not rows:
+        return fit(np.zeros((0, DIM), "f4"), [], family_of)
+    labels = [r[1] for r in rows]
+    seen: dict[str, int] = {}
+    out = np.zeros(len(rows), bool)
+    for k, v in enumerate(labels):
+        seen[v] = seen.get(v, 0) + 1
+        out[k] = seen[v] % 4 == 0
+    x = np.stack([np.frombuffer(r[2], "f2") for r in rows]).astype("f4")
+    model = fit(x[~out], [v for v, o in zip(labels, out) if not o], family_of)
+    said = model.predict([t for t, o in zip(texts, out) if o])
+    right = said["margin"][said["lang"].to_numpy(object) == np.array(labels, object)[out]].dropna()
+    return replace(model, floor=max(0.0, float(right.quantile(FLOOR_QUANTILE)) / 2)) if len(right) >= LEAST_HELD_OUT else model
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, family_of: dict[str, str] = FAMILY_OF, seed: int = 3, max_languages: int = MAX_LANGUAGES) -> Model:
     """A model of at most ``per_language`` labelled rows of each language, whole texts."""
     inner, (i, t, lang) = isolate(docs, id_col, text_col, lang_col)
     labelled = inner.select(i.cast("string").alias("id"), lang.cast("string").alias("lang")).where("id is not null and lang is not null")
+    known = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "id"), "id")
-    chosen = [r["id"] for r in labelled.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= per_language).select("id").collect()]
-    ids = docs.sparkSession.createDataFrame([(v,) for v in sorted(set(chosen))], "chosen string")
-    rows = inner.join(F.broadcast(ids), i.cast("string") == F.col("chosen")).where(lang.isNotNull())
+    chosen = labelled.join(F.broadcast(known), "lang").withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= per_language).select("id", "lang").distinct().collect()
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame(sorted(tuple(r) for r in chosen), "chosen string, of string")  # no more than per_language * max_languages rows
+    rows = inner.join(F.broadcast(wanted), (i.cast("string") == F.col("chosen")) & (lang.cast("string") == F.col("of")))
+    # rows that share an id: no more than the bound of them
+    rows = rows.select(F.col("chosen").alias("id"), F.col("of").alias("lang"), F.lower(F.coalesce(t.cast("string"), F.lit(""))).alias("t"))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("id", F.xxhash64("t")))).where(F.col("k") <= per_language).select("id", "lang", "t")
 
     def sparse(batches):
         for pdf in batches:
             for k in range(0, len(pdf), 500):
                 part = pdf.iloc[k : k + 500]
                 x = features([t.encode("utf-8", "replace") for t in part["t"]])
-                yield pd.DataFrame({"id": part["id"], "lang": part["lang"], "x": [v.astype("f2").tobytes() for v in x]})
+                yield part.assign(x=[v.astype("f2").tobytes() for v in x])
 
-    got = rows.select(i.cast("string").alias("id"), lang.cast("string").alias("lang"), F.lower(F.coalesce(t, F.lit(""))).alias("t")).mapInPandas(sparse, "id string, lang string, x binary").collect()
-    got = sorted(set((r["id"], r["lang"], bytes(r["x"])) for r in got))
-    x = np.stack([np.frombuffer(r[2], "f2") for r in got]).astype("f4") if got else np.zeros((0, DIM), "f4")
-    return fit(x, [r[1] for r in got], family_of)
+    got = rows.mapInPandas(sparse, "id string, lang string, t string, x binary").collect()
+    got = sorted(set((r["id"], r["lang"], bytes(r["x"]), r["t"]) for r in got))
+    return calibrated([r[:3] for r in got], [r[3].encode("utf-8", "replace") for r in got], family_of)
 
 
-def _predictor(model: Model, min_letters: int, min_letter_share: float, min_margin: float):
+def _predictor(model: Model, min_letters: int, min_letter_share: float, min_margin: float | None):
+    min_margin = model.floor if min_margin is None else min_margin
+
     @F.pandas_udf(SCHEMA)
     def predict(text: pd.Series) -> pd.DataFrame:
         p = model.predict([t.encode("utf-8", "replace") if t else b"" for t in text])
@@ -225,17 +258,20 @@ def _predictor(model: Model, min_letters: int, min_letter_share: float, min_marg
     return predict
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", min_letters: int = MIN_LETTERS, min_letter_share: float = MIN_LETTER_SHARE, min_margin: float = MIN_MARGIN) -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", min_letters: int = MIN_LETTERS, min_letter_share: float = MIN_LETTER_SHARE, min_margin: float | None = None) -> DataFrame:
     """(doc_id, family, predicted_lang, margin, accepted) of each row."""
     inner, (i, t) = isolate(docs, id_col, text_col)
-    said = inner.select(i.alias("doc_id"), _predictor(model, min_letters, min_letter_share, min_margin)(F.lower(t)).alias("p"))
+    said = inner.select(i.alias("doc_id"), _predictor(model, min_letters, min_letter_share, min_margin)(F.lower(t.cast("string"))).alias("p"))
     return said.select("doc_id", F.col("p.family").alias("family"), F.col("p.lang").alias("predicted_lang"), F.col("p.margin").alias("margin"), F.col("p.accepted").alias("accepted"))
 
 
-def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text", min_letters: int = MIN_LETTERS, min_letter_share: float = MIN_LETTER_SHARE, min_margin: float = MIN_MARGIN) -> DataFrame:
-    """The rows accepted, all columns as they are."""
+def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = None, min_letters: int = MIN_LETTERS, min_letter_share: float = MIN_LETTER_SHARE, min_margin: float | None = None) -> DataFrame:
+    """The rows accepted, all columns as they are but ``lang_col``, if given: it becomes the language told."""
     inner, (t,) = isolate(docs, text_col)
-    return restore(inner.where(_predictor(model, min_letters, min_letter_share, min_margin)(F.lower(t))["accepted"]), docs)
+    said = inner.withColumn("__said", _predictor(model, min_letters, min_letter_share, min_margin)(F.lower(t.cast("string")))).where("__said.accepted")
+    if lang_col:
+        said = said.withColumn(f"__in{place(docs, lang_col)}", F.col("__said.lang"))
+    return restore(said, docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
