@@ -420,7 +420,8 @@ def test_raking_meets_marginals():
     r = random.Random(5)
     cells = [(s, lang, t, r.randint(1, 1000)) for s in "abcd" for lang in "xy" for t in "uvw"]
     target = {"source": {"a": 4, "b": 3, "c": 2, "d": 1}, "lang": {"x": 1, "y": 1}}
-    w = mixing.rake(cells, target, rounds=60)
+    w = mixing.rake(cells, target)
+    assert max(mixing.marginals(cells, w, target).values()) < 1e-9
     total = sum(c[3] for c in cells)
     for k, v in target["source"].items():
         assert math.isclose(sum(x for c, x in zip(cells, w) if c[0] == k), v / 10 * total, rel_tol=1e-6)
@@ -432,17 +433,52 @@ def test_raking_meets_marginals():
 
 def test_mixing_ways_agree(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for how in ({}, {"targets": {"lang": {"en": 1, "fr": 1}}, "keep": 0.3, "tolerance": 1e-6}):
+        a, b = (mixing.weights(docs, local_cells=n, **how).toPandas().sort_values("doc_id") for n in (100_000, 0))
+        assert a.drop(columns="p").reset_index(drop=True).equals(b.drop(columns="p").reset_index(drop=True)) and np.allclose(a.p, b.p, atol=2e-6)
+        assert len(a)
     a = mixing.weights(docs).toPandas()
-    b = mixing.weights(docs, local_cells=0, rounds=15).toPandas()
-    assert len(set(a.doc_id) ^ set(b.doc_id)) <= 2
-    assert 0.5 < a.n_bytes.sum() / docs.agg(F.sum(F.octet_length("text"))).first()[0] < 0.7
+    assert 0.5 < a.n_tokens.sum() / docs.agg(F.sum(F.regexp_count("text", F.lit(r"\w+")))).first()[0] < 0.7
+
+
+def test_chances_against_bisection():
+    rng = np.random.default_rng(15)
+    for _ in range(50):
+        mass = rng.integers(1, 1000, 30).astype(float)
+        raked = mass * rng.choice([0, 0.1, 1, 5, 40], 30)
+        if not raked.sum():
+            continue
+        raked *= mass.sum() / raked.sum()
+        for keep in (0.01, 0.5, 0.95):
+            p = mixing.chances(mass, raked, keep)
+            lo, hi = 0.0, 1e9
+            for _ in range(200):
+                c = (lo + hi) / 2
+                lo, hi = (c, hi) if (np.minimum(1, c * raked / mass) * mass).sum() < keep * mass.sum() else (lo, c)
+            assert np.allclose(p, np.minimum(1, hi * raked / mass), atol=1e-6)
+
+
+def test_mixing_targets(spark, empty):
+    df = spark.createDataFrame([(k, "word " * 9, "en" if k % 2 else None, "ab"[k % 4 > 1], k % 3) for k in range(600)], DOCS)
+    for n in (100, 0):
+        out = mixing.weights(df, topic_col="n_chars", targets={"lang": {None: 3, "en": 1}, "topic": {"0": 1, "1": 1, "2": 0, "9": 5}}, keep=0.2, local_cells=n).toPandas()
+        assert set(out.topic) == {"0", "1"} and 0.6 < (out.lang == mixing.NULL).mean() < 0.9
+        with pytest.raises(ValueError):
+            mixing.weights(df, targets={"source": {"nope": 1}}, local_cells=n)
+        assert mixing.weights(empty, local_cells=n - 1).count() == 0
+    # contradictions end, with the last dimension met
+    cells = [("a", "x", "t", 5), ("b", "y", "u", 5)]
+    w = mixing.rake(cells, {"source": {"a": 1, "b": 3}, "lang": {"x": 1, "y": 1}, "topic": {"t": 3, "u": 1}})
+    off = mixing.marginals(cells, w, {"source": {"a": 1, "b": 3}, "lang": {"x": 1, "y": 1}, "topic": {"t": 3, "u": 1}})
+    assert off["topic"] < 1e-9 and off["source"] > 0.1
 
 
 def test_mixing_odd(messy, empty):
     out = mixing.sample(messy, keep=1.0)
     assert out.columns == messy.columns and out.count() == messy.count()
-    half = mixing.sample(messy, keep=0.3).where("doc_id = 1").count()
-    assert half in (0, 2)
+    for n in (100, 0):
+        half = mixing.sample(messy, keep=0.3, local_cells=n)
+        assert half.columns == messy.columns and half.where("doc_id = 1").count() in (0, 2)
     assert mixing.sample(empty).count() == 0 and mixing.weights(empty).count() == 0
 
 
