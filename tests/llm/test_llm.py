@@ -148,6 +148,8 @@ def test_exact_odd(messy, empty):
     assert ids == sorted([(False, i) for i in (1, 3, 3, 4, 6, 7, 8, 9)] + [(True, None)])
     groups = exact_dedup.duplicate_groups(messy).toPandas()
     assert dict(zip(groups.doc_id.fillna(-1), groups.n_copies))[1] == 3 and (groups.digest.isna()).sum() == 2
+    shuffled = exact_dedup.drop_copies(messy, broadcast_losers=0)
+    assert shuffled.columns == messy.columns and sorted((r[0] is None, r[0]) for r in shuffled.collect()) == ids
     assert exact_dedup.drop_copies(empty).count() == 0 and exact_dedup.duplicate_groups(empty).count() == 0
 
 
@@ -158,7 +160,8 @@ def test_heavy_hitters(spark, share):
     r.shuffle(texts)
     df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOCS).repartition(5)
     want = sorted(min(k for k, t in enumerate(texts) if t == v) for v in set(texts))
-    assert sorted(x[0] for x in exact_dedup.drop_copies(df, share=share).collect()) == want
+    for many in (0, 10_000):
+        assert sorted(x[0] for x in exact_dedup.drop_copies(df, share=share, broadcast_losers=many).collect()) == want
     assert sorted(x[0] for x in exact_dedup.duplicate_groups(df, share=share).collect()) == want
     hot = exact_dedup.heavy_hitters(df.select(F.col("doc_id").alias("id"), exact_dedup.digest(F.col("text")).alias("d")), share).collect()
     assert {(x["id"], x["n"]) for x in hot} == {(texts.index(t), n) for t, n in Counter(texts).items() if n >= max(2, share * len(texts))}

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import cut, isolate, restore, table
 
 HEAVY_SHARE = 1e-3
+#: Texts with copies, of some 100 bytes each as a table in memory, that are sent to all tasks.
+BROADCAST_LOSERS = 500_000
 
 
 def digest(text: Column) -> Column:
@@ -77,17 +79,31 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return groups.unionByName(alone).select(F.col("id").alias("doc_id"), F.lower(F.hex("d")).alias("digest"), F.col("n").alias("n_copies"))
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = HEAVY_SHARE) -> DataFrame:
-    """``docs`` with one row for each text, all columns as they are."""
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = HEAVY_SHARE, broadcast_losers: int = BROADCAST_LOSERS) -> DataFrame:
+    """``docs`` with one row for each text, all columns as they are.
+
+    The copies that go are found by digests and ids alone.  Up to
+    ``broadcast_losers`` of them are taken out on the map side, so that no text
+    is shuffled; beyond that, rows are shuffled by digest.
+    """
     inner, (i, t) = isolate(docs, id_col, text_col)
     digests = cut(inner.select(i.alias("id"), digest(t).alias("d")))
-    hot = _winners(digests, share).select(F.col("d").alias("hot"), F.col("id").alias("winner"))
-    marked = inner.withColumn("d", digest(t)).join(F.broadcast(hot), F.col("d") == F.col("hot"), "left")
-    left = marked.where(F.col("hot").isNull() | i.eqNullSafe(F.col("winner")))  # copies of heavy texts go here, without a shuffle
+    hot = _winners(digests, share)
+    rest = digests.where("d is not null").join(F.broadcast(hot.select("d")), "d", "left_anti")
+    # of a text: the least id, and whether rows with that id are repeated
+    counted = rest.groupBy("d", "id").count().groupBy("d").agg(F.min(F.struct(F.col("id").isNull(), "id", "count")).alias("first"), F.sum("count").alias("n")).where("n > 1")
+    copied = cut(counted.select("d", F.col("first.id").alias("id"), (F.col("first.count") > 1).alias("again")).unionByName(hot.select("d", "id", F.lit(True).alias("again"))))
+    copied = copied.select(F.col("d").alias("copied"), F.col("id").alias("winner"), "again")
+    small = copied.limit(broadcast_losers + 1).count() <= broadcast_losers
+    marked = inner.withColumn("d", digest(t)).join(F.broadcast(copied if small else hot.select(F.col("d").alias("copied"), F.col("id").alias("winner"), F.lit(True).alias("again"))), F.col("d") == F.col("copied"), "left")
+    left = marked.where(F.col("copied").isNull() | i.eqNullSafe(F.col("winner")))  # the copies known here go without a shuffle
     plain = [f"__in{k}" for k, (_, kind) in enumerate(inner.dtypes) if "map<" not in kind and kind != "variant"]
-    apart = F.when(F.col("d").isNull(), F.xxhash64(*plain))  # null texts aren't one key
-    order = Window.partitionBy("d", apart).orderBy(i.asc_nulls_last(), F.xxhash64(*plain))
-    kept = left.withColumn("__rank", F.row_number().over(order)).where((F.col("__rank") == 1) | F.col("d").isNull())
+    # rows with the same text and id: one of them stays, whichever is first by its other columns
+    once = lambda rows: rows.withColumn("__rank", F.row_number().over(Window.partitionBy("d").orderBy(i.asc_nulls_last(), F.xxhash64(*plain)))).where("__rank = 1").drop("__rank")
+    if small:
+        kept = left.where("again is null or not again").unionByName(once(left.where("again")))
+    else:
+        kept = left.where("d is null").unionByName(once(left.where("d is not null")))
     return restore(kept, docs)
 
 
