@@ -29,7 +29,9 @@ def test_changes_and_state(spark):
     schema = "url string, text string, fetched_at string, seq long"
     first = spark.createDataFrame([("http://H/a", "alpha", "t1", 1), ("http://h/a", "alpha", "t2", 2), ("http://h/a", "alpha beta", "t3", 3), ("http://h/b", "", "t1", 4)], schema)
     c = changes.detect_changes(first)
-    assert rows(c.select("seq", "content_changed")) == [(1, True), (2, False), (3, True)]
+    assert rows(c.select("seq", "content_changed")) == [(1, True), (2, False), (3, True), (4, None)]
+    raw = changes.detect_changes(first.withColumn("raw_bytes", F.when(F.col("seq") == 4, F.lit(b"\xff\x00"))))
+    assert rows(raw.select("seq", "content_changed", "content_text_len").where("seq = 4")) == [(4, True, 0)]
     state = changes.next_state(c)
     again = changes.detect_changes(spark.createDataFrame([("http://h/a", "alpha beta", "t4", 5), ("http://h/c", "new", "t4", 6)], schema), state)
     assert rows(again.select("seq", "content_changed", "content_previous_fetched_at")) == [(5, False, "t3"), (6, True, None)]

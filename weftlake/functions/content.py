@@ -7,6 +7,7 @@ starts ``<navx``.  operators/dom.py has the functions that need one.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -31,11 +32,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))
 
 
+def without_elements(html: Column, tags=CHROME) -> Column:
+    """Without elements of ``tags`` and what is in them, in one pass."""
+    return F.regexp_replace(F.coalesce(html, F.lit("")), rf"(?is)<({'|'.join(tags)})[^>]*>.*?</\1>", " ")
+
+
 def visible_text(html: Column, without=CHROME) -> Column:
-    out = F.coalesce(html, F.lit(""))
-    for tag in without:
-        out = F.regexp_replace(out, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
-    out = F.regexp_replace(F.regexp_replace(out, r"(?s)<!--.*?-->", " "), r"<[^>]+>", " ")
+    out = F.regexp_replace(without_elements(html, without), r"(?s)<!--.*?-->|<[^>]+>", " ")
     for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(sign))
     return F.trim(F.regexp_replace(out, SPACE, " "))
@@ -153,9 +156,7 @@ def with_gate(rows: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
 
 def body_stats(html: Column) -> Column:
     """struct(body_len, paragraphs, headings) by the profile; paragraphs are closed ``p`` elements."""
-    bare = F.coalesce(html, F.lit(""))
-    for tag in CHROME:
-        bare = F.regexp_replace(bare, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
+    bare = without_elements(html)
     return F.struct(F.length(visible_text(html)).alias("body_len"), F.regexp_count(bare, F.lit(r"(?i)<p\b")).alias("paragraphs"), F.regexp_count(bare, F.lit(r"(?i)<h[1-6]\b")).alias("headings"))
 
 
@@ -178,7 +179,9 @@ def tokens(text: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+    """Of arrays without repeated elements; take them from columns, so that what makes them is written out once."""
+    both = F.size(F.array_intersect(a, b))
+    either = F.size(a) + F.size(b) - both
     return F.when(either == 0, 0.0).otherwise(F.round(both / either, 4))
 
 
@@ -199,8 +202,91 @@ def prune_to_first_heading(md: Column) -> Column:
 
 
 def minimal_fix(text: Column) -> Column:
-    """Without zero-width signs; control signs of the upper range become blanks."""
-    return F.regexp_replace(F.regexp_replace(text, "[\\u200B\\u200C\\u200D\\u2060\\uFEFF\\x00\\x0B\\x0C]", ""), "[\\u0080-\\u009F]", " ")
+    """fix_text() without zero-width signs; control signs of the upper range become blanks; empty for null."""
+    plain = F.regexp_replace(F.regexp_replace(fix_text(F.coalesce(text, F.lit(""))), "[\\u200B\\u200C\\u200D\\u2060\\uFEFF\\x00\\x0B\\x0C]", ""), "[\\u0080-\\u009F]", " ")
+    return plain
+
+
+#: What single bytes 80 to 9F stand for where texts were read by the wrong code page; bytes that it lacks stay.
+_PAGE = {bytes([b]).decode("cp1252", "ignore") or chr(b): b for b in range(0x80, 0x100)}
+_CONT = "[" + "".join(map(re.escape, (c for c, b in _PAGE.items() if b < 0xC0))) + "\x80-\x9f]"
+_MOJIBAKE = re.compile(f"[\xc2-\xdf]{_CONT}|[\xe0-\xef]{_CONT}{{2}}|[\xf0-\xf4]{_CONT}{{3}}")
+_SIGNS = str.maketrans({**dict.fromkeys("\u2018\u2019\u201a\u201b", "'"), **dict.fromkeys("\u201c\u201d\u201e\u201f", '"'), **dict(zip("\ufb00\ufb01\ufb02\ufb03\ufb04\ufb05\ufb06", ("ff", "fi", "fl", "ffi", "ffl", "st", "st"))), **{chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}, "\u3000": " "})
+_CONTROL = re.compile("[\x00-\x08\x0b\x0e-\x1f\x7f]|\x1b\\[[0-9;]*m")
+
+
+def _again(m: re.Match) -> str:
+    raw = bytes(_PAGE.get(c, ord(c)) for c in m[0])
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return m[0]
+
+
+def fixed(s: str) -> str:
+    """Texts read as code page 1252 though they were UTF-8, up to three times over, curly quotes, ligatures, full-width signs, line ends and control signs put right; composed."""
+    if s.isascii() and not _CONTROL.search(s) and "\r" not in s:
+        return s
+    for _ in range(3):
+        if (t := _MOJIBAKE.sub(_again, s)) == s:
+            break
+        s = t
+    s = _CONTROL.sub("", s.replace("\r\n", "\n").replace("\r", "\n")).translate(_SIGNS)
+    return unicodedata.normalize("NFC", s)
+
+
+def fix_text(text: Column) -> Column:
+    """fixed(), in Arrow batches."""
+
+    @F.pandas_udf(T.StringType())
+    def run(t: pd.Series) -> pd.Series:
+        return t.map(lambda s: s if s is None else fixed(s))
+
+    return run(text)
+
+
+_CHARSET = re.compile(r"charset=([^\s;]+)", re.I)
+
+
+def decoded(body: bytes, content_type: str | None) -> str:
+    """Bytes by the charset named, else by their mark or as UTF-8, else as code page 1252."""
+    if m := _CHARSET.search(content_type or ""):
+        try:
+            return body.decode(m[1].strip(" \"'").lower(), "replace")
+        except LookupError:
+            pass
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+        if body.startswith(mark):
+            return body.decode(name, "replace")
+    try:
+        return body.decode("utf-8")
+    except UnicodeDecodeError:
+        return body.decode("cp1252", "replace")
+
+
+def decode_bytes(body: Column, content_type: Column) -> Column:
+    """decoded(), in Arrow batches; null for null."""
+
+    @F.pandas_udf(T.StringType())
+    def run(b: pd.Series, kind: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else decoded(bytes(x), k) for x, k in zip(b, kind)], dtype=object)
+
+    return run(body, content_type)
+
+
+def needs_browser(url: Column, text: Column, content_type: Column, verify_html: bool = True, policy: Policy = DEFAULT) -> Column:
+    """Whether a page of HTML seems to be made by scripts: a host with a sign-in box, a short page, none with a body or with enough text in it, or one that says so."""
+    if not verify_html:
+        return F.lit(False)
+    body = F.coalesce(text, F.lit(""))
+    low = F.lower(body)
+    inner = F.regexp_extract(body, r"(?is)<body\b[^>]*>(.*?)(?:</body>|\z)", 1)
+    told = F.lit(False)
+    for hint in policy.script_hints:
+        told = told | low.contains(hint)
+    html = F.lower(F.coalesce(content_type, F.lit(""))).contains("html")
+    thin = (F.length(body) < policy.least_page) | ~low.rlike("<body[\\s>]") | (F.length(visible_text(inner, ("script", "style", "noscript"))) < policy.least_rendered) | (F.length(visible_text(body)) < policy.least_rendered)
+    return html & (host(url).isin(*sorted(policy.sign_in)) | thin | told)
 
 
 def normalize_title(title: Column) -> Column:
@@ -216,6 +302,14 @@ def content_hash(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.sha2(text, 256)).otherwise("")
 
 
+SECRET_NAMES = r"(?i)token|secret|password|passwd|api_?key|authorization|cookie|credential"
+
+
+def redact_named(name: Column, value: Column) -> Column:
+    """redact_value() where the name is that of a secret, else the value."""
+    return F.when(name.rlike(SECRET_NAMES), redact_value(value)).otherwise(value)
+
+
 def nfc(text: Column) -> Column:
     """Canonical composition; Arrow batches, as there is no built-in."""
     @F.pandas_udf(T.StringType())
@@ -223,3 +317,9 @@ def nfc(text: Column) -> Column:
         return t.map(lambda s: s if s is None else unicodedata.normalize("NFC", s))
 
     return run(text)
+
+
+def merge_maps(left: Column, right: Column) -> Column:
+    """One map of two; where both have a key, the right one wins."""
+    old = F.map_filter(left, lambda k, _: ~F.coalesce(F.map_contains_key(right, k), F.lit(False)))
+    return F.coalesce(F.map_concat(old, right), left, right)

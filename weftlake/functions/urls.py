@@ -178,3 +178,11 @@ def final_url(url: Column, *candidates: Column) -> Column:
 def alternate_provider(via: Column, source: Column, note: Column) -> Column:
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     return F.when(low(via).isin("wayback", "jina"), low(via)).when(low(source).isin("brave_search", "brave") | (note == "brave_redirect"), "brave")
+
+
+def domain_set(*frames) -> object:
+    """The distinct normalised domains of frames with a column ``domain``, empty ones apart."""
+    from functools import reduce
+
+    every = reduce(lambda a, b: a.unionByName(b), (f.select("domain") for f in frames))
+    return every.select(normalize_domain(F.col("domain")).alias("domain")).where("domain <> ''").distinct()

@@ -27,23 +27,26 @@ def diff_ratio(before: pd.Series, after: pd.Series) -> pd.Series:
 def detect_changes(results: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """Results with content_sha256, content_changed and what was there before.
 
-    A later row of the same URL sees the earlier one; the first sees ``state``
-    (url_norm, sha, length, fetched_at, sample), where there is one.
+    The content is the text, else the bytes (column raw_bytes); a row with
+    neither passes through with nulls and touches no state.  A later row of the
+    same URL sees the earlier one; the first sees ``state`` (url_norm, sha,
+    length, fetched_at, sample), where there is one.  Only digests and samples
+    are compared; bodies meet them again where the rows are.
     """
-    rows = results.withColumn("url_norm", normalize_url(F.col("url"))).where("length(coalesce(text, '')) > 0")
-    now = rows.select(*results.columns, "url_norm", F.sha2("text", 256).alias("content_sha256"), F.length("text").alias("content_text_len"), F.substring("text", 1, SAMPLE_CHARS).alias("sample"))
-    order = Window.partitionBy("url_norm").orderBy("fetched_at", "seq")
-    last = lambda c: F.lag(c).over(order)
-    seen = now.withColumns({"p_sha": last("content_sha256"), "p_len": last("content_text_len"), "p_at": last("fetched_at"), "p_sample": last("sample")})
+    raw = F.col("raw_bytes") if "raw_bytes" in results.columns else F.lit(None).cast("binary")
+    has = F.length(F.coalesce("text", F.lit(""))) > 0
+    sha = F.when(has, F.sha2("text", 256)).when(F.length(raw) > 0, F.sha2(raw, 256))
+    now = results.withColumns({"url_norm": normalize_url(F.col("url")), "content_sha256": sha, "content_text_len": F.when(sha.isNotNull(), F.length(F.coalesce("text", F.lit("")))), "sample": F.when(has, F.substring("text", 1, SAMPLE_CHARS)).when(sha.isNotNull(), "")})
+    # rows without content see none and aren't seen
+    order = Window.partitionBy("url_norm", F.col("content_sha256").isNull()).orderBy("fetched_at", "seq")
+    seen = now.withColumn("p", F.lag(F.struct(F.col("content_sha256").alias("sha"), F.col("content_text_len").alias("length"), "fetched_at", "sample")).over(order))
     if state is not None:
-        s = state.select(F.col("url_norm").alias("s_url"), F.col("sha").alias("s_sha"), F.col("length").alias("s_len"), F.col("fetched_at").alias("s_at"), F.col("sample").alias("s_sample"))
-        seen = seen.join(s, seen["url_norm"] == s["s_url"], "left")
-        for c in ("sha", "len", "at", "sample"):
-            seen = seen.withColumn(f"p_{c}", F.when(F.col("p_sha").isNull(), F.col(f"s_{c}")).otherwise(F.col(f"p_{c}")) if c != "sha" else F.col("p_sha"))
-        seen = seen.withColumn("p_sha", F.coalesce("p_sha", "s_sha"))
+        s = state.select(F.col("url_norm").alias("s_url"), F.struct("sha", F.col("length").cast("int").alias("length"), "fetched_at", "sample").alias("s"))
+        seen = seen.join(s, seen["url_norm"] == s["s_url"], "left").withColumn("p", F.coalesce("p", "s"))
+    p, some = F.when(F.col("content_sha256").isNotNull(), F.col("p")), F.col("content_sha256").isNotNull()
     return seen.select(
-        *results.columns, "url_norm", "content_sha256", "content_text_len", F.col("p_sha").alias("content_previous_sha256"), F.col("p_len").alias("content_previous_len"), F.col("p_at").alias("content_previous_fetched_at"),
-        F.coalesce(F.col("content_sha256") != F.col("p_sha"), F.lit(True)).alias("content_changed"), F.col("p_sample").alias("previous_sample"),
+        *results.columns, "url_norm", "content_sha256", "content_text_len", p["sha"].alias("content_previous_sha256"), p["length"].alias("content_previous_len"), p["fetched_at"].alias("content_previous_fetched_at"),
+        F.when(some, F.coalesce(F.col("content_sha256") != p["sha"], F.lit(True))).alias("content_changed"), p["sample"].alias("previous_sample"),
     )
 
 
@@ -53,7 +56,8 @@ def with_diff_ratio(changes: DataFrame) -> DataFrame:
 
 def next_state(changes: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """The last content of each URL: of these rows, else of ``state``."""
-    new = changes.groupBy("url_norm").agg(F.max_by(F.struct(F.col("content_sha256").alias("sha"), F.col("content_text_len").alias("length"), "fetched_at", F.substring("text", 1, SAMPLE_CHARS).alias("sample")), F.struct("fetched_at", "seq")).alias("x"))
+    kept = F.struct(F.col("content_sha256").alias("sha"), F.col("content_text_len").alias("length"), "fetched_at", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("sample"))
+    new = changes.where("content_sha256 is not null").groupBy("url_norm").agg(F.max_by(kept, F.struct("fetched_at", "seq")).alias("x"))
     new = new.select("url_norm", "x.*")
     if state is None:
         return new
@@ -61,4 +65,15 @@ def next_state(changes: DataFrame, state: DataFrame | None = None) -> DataFrame:
 
 
 def change_feed(changes: DataFrame) -> DataFrame:
+    """Rows whose content changed."""
     return changes.where("content_changed")
+
+
+def feed_records(changes: DataFrame) -> DataFrame:
+    """The records of a change feed; what a run doesn't know is null."""
+    rows = change_feed(with_diff_ratio(changes))
+    have = lambda c: F.col(c) if c in changes.columns else F.lit(None).cast("string")
+    return rows.select(
+        "url", have("domain").alias("domain"), "fetched_at", F.col("content_previous_fetched_at").alias("previous_fetched_at"), "content_sha256", "content_previous_sha256", "content_diff_ratio",
+        F.coalesce(F.nullif(have("text_path"), F.lit("")), have("file_path")).alias("text_path"), have("blob_path").alias("blob_path"),
+    )

@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import host, match_suffix, normalize_domain, normalize_url, path, part, strip
 from ..policy import DEFAULT, Policy
+from .ordering import numbered
 
+#: Rows of a rule table; it goes into the plan as a literal.
+MOST_RULES = 10_000
 LISTS = tuple("controls titles frameworks worksheets".split())
 
 
 def build_entries(urls: DataFrame, url_col: str = "url", seq_col: str = "seq") -> DataFrame:
     """Entries of bare URLs: domain, empty lists and a number from 0 in input order."""
     none = F.array().cast("array<string>")
-    return urls.select(strip(F.col(url_col)).alias("url"), host(F.col(url_col)).alias("domain"), *(none.alias(c) for c in LISTS), F.col(seq_col).alias("seq")).withColumn(
-        "consumer_id", F.row_number().over(Window.orderBy("seq")) - 1
-    )
+    rows = urls.select(strip(F.col(url_col)).alias("url"), host(F.col(url_col)).alias("domain"), *(none.alias(c) for c in LISTS), F.col(seq_col).alias("seq"))
+    return numbered(rows, "seq", "consumer_id")
 
 
 def dedupe_merge(entries: DataFrame) -> DataFrame:
@@ -52,10 +54,16 @@ def attach_results(entries: DataFrame, results: DataFrame) -> DataFrame:
     return entries.join(keyed, strip(entries["url"]) == keyed["key"], "left").drop("key")
 
 
+def has_payload(results: DataFrame, prefix: str = "") -> Column:
+    """Whether a result has a text, inline or under a pointer."""
+    kept = F.length(F.coalesce(f"{prefix}text", F.lit(""))) > 0
+    return kept | (F.coalesce(f"{prefix}text_path", F.lit("")) != "") if f"{prefix}text_path" in results.columns else kept
+
+
 def outstanding_entries(entries: DataFrame, results: DataFrame) -> DataFrame:
     """Entries without a fetched text; status -1 where there is no result at all."""
     joined = attach_results(entries, results)
-    ok = (F.col("r_status") == 200) & (F.length(F.coalesce("r_text", F.lit(""))) > 0)
+    ok = (F.col("r_status") == 200) & has_payload(joined, "r_")
     return joined.where(~F.coalesce(ok, F.lit(False))).withColumn("status", F.coalesce("r_status", F.lit(-1)))
 
 
@@ -73,39 +81,67 @@ def outstanding_urls(pending: DataFrame) -> DataFrame:
     )
 
 
+def _rules(rules: DataFrame, *cols: Column) -> Column | None:
+    """A rule table as an array of structs in order of priority."""
+    rows = rules.select(F.col("priority").alias("priority"), *cols).orderBy("priority").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"a rule table has at most {MOST_RULES} rows")
+
+    def value(v) -> Column:
+        return F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, list) else F.lit(v)
+
+    return F.array(*(F.struct(*(value(v).alias(k) for k, v in r.asDict().items())) for r in rows)) if rows else None
+
+
 def apply_overrides(entries: DataFrame, rules: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """(entries, rule_priority, target) by the first rule that matches and has a usable target.
+    """``entries`` with rule_priority and target by the first rule that matches and has a usable target.
 
     ``rules``: priority, domain, substring, path_prefix, path_regex,
-    query_contains (map), target_template, target_url.  A rule table is a few
-    dozen rows by nature, so the theta join is a broadcast one.
+    query_contains (map), target_template, target_url.  A rule table is small
+    by nature; it becomes a literal of the plan, so rows stay where they are,
+    whatever their columns hold and however often they occur.
     """
-    usable = rules.where("coalesce(target_template, target_url, '') <> ''").select(*(F.col(c).alias(f"rule_{c}") for c in rules.columns))
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    table = _rules(
+        rules.where("coalesce(target_template, target_url, '') <> ''"),
+        F.when(blank("domain") == "", "").otherwise(normalize_domain(F.col("domain"), policy)).alias("domain"),
+        *(blank(c).alias(c) for c in ("substring", "path_prefix", "path_regex", "target_template", "target_url")),
+        F.coalesce(F.transform(F.map_entries("query_contains"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), F.array().cast("array<string>")).alias("query"),
+    )
+    if table is None:
+        return entries.withColumns({"rule_priority": F.lit(None).cast("int"), "target": F.lit(None).cast("string")})
     url = strip(F.col("url"))
     original = F.coalesce(F.col("original_url"), url) if "original_url" in entries.columns else url
-    blank = lambda c: F.coalesce(c, F.lit("")) == ""
-    domain = normalize_domain(F.coalesce(F.nullif(F.col("domain"), F.lit("")), host(url)), policy)
-    cond = (
-        (blank(F.col("rule_domain")) | (normalize_domain(F.col("rule_domain"), policy) == domain))
-        & (blank(F.col("rule_substring")) | original.contains(F.col("rule_substring")))
-        & (blank(F.col("rule_path_prefix")) | path(url).startswith(F.col("rule_path_prefix")))
-        & (blank(F.col("rule_path_regex")) | F.regexp_like(path(url), F.col("rule_path_regex")))
-        & F.coalesce(F.forall(F.map_entries("rule_query_contains"), lambda e: part(url, 4).contains(F.concat(e["key"], F.lit("="), e["value"]))), F.lit(True))
-    )
-    base = F.when(original.startswith("http"), original).otherwise(url)
-    hit = entries.join(F.broadcast(usable), cond, "left")
-    made = F.when(~blank(F.col("rule_target_template")), F.replace(F.col("rule_target_template"), F.lit("{original}"), base)).otherwise(F.col("rule_target_url"))
-    best = hit.groupBy(*entries.columns).agg(F.min(F.struct(F.col("rule_priority").alias("p"), made.alias("t"))).alias("best"))
-    return best.select(*entries.columns, F.col("best.p").alias("rule_priority"), F.when(F.col("best.p").isNotNull(), F.col("best.t")).alias("target"))
+    own = F.nullif(F.col("domain"), F.lit("")) if "domain" in entries.columns else F.lit(None).cast("string")
+    domain, c = normalize_domain(F.coalesce(own, host(url)), policy), F.col
+    made = entries.withColumn("__u", F.struct(url.alias("url"), original.alias("original"), domain.alias("domain"), path(url).alias("path"), part(url, 4).alias("query")))
+
+    def matches(r: Column) -> Column:
+        return (
+            ((r["domain"] == "") | (r["domain"] == c("__u.domain")))
+            & ((r["substring"] == "") | c("__u.original").contains(r["substring"]))
+            & ((r["path_prefix"] == "") | c("__u.path").startswith(r["path_prefix"]))
+            & F.when(r["path_regex"] == "", True).otherwise(F.regexp_like(c("__u.path"), r["path_regex"]))
+            & F.forall(r["query"], lambda q: c("__u.query").contains(q))
+        )
+
+    hit = made.withColumn("__hit", F.get(F.filter(table, matches), F.lit(0)))
+    base = F.when(c("__u.original").startswith("http"), c("__u.original")).otherwise(c("__u.url"))
+    target = F.when(c("__hit.target_template") != "", F.replace(c("__hit.target_template"), F.lit("{original}"), base)).otherwise(c("__hit.target_url"))
+    return hit.withColumns({"rule_priority": c("__hit.priority"), "target": target}).drop("__u", "__hit")
 
 
 def pick_selectors(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Pages with the selectors of the rule with the longest path prefix (the first of equals)."""
-    r = rules.where("size(fit_markdown_selectors) > 0").select(F.col("priority").alias("rp"), F.col("domain").alias("rd"), F.coalesce("path_prefix", F.lit("")).alias("rx"), F.coalesce("substring", F.lit("")).alias("rs"), F.col("fit_markdown_selectors").alias("selectors"))
-    url = F.col("url")
-    cond = ((F.coalesce("rd", F.lit("")) == "") | (F.lower("rd") == host(url))) & ((F.col("rx") == "") | path(url).startswith(F.col("rx"))) & ((F.col("rs") == "") | url.contains(F.col("rs")))
-    hit = pages.join(F.broadcast(r), cond, "left")
-    return hit.groupBy(*pages.columns).agg(F.max_by("selectors", F.struct(F.length("rx"), -F.col("rp"))).alias("selectors"))
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    table = _rules(rules.where("size(fit_markdown_selectors) > 0"), F.lower(blank("domain")).alias("domain"), blank("path_prefix").alias("path_prefix"), blank("substring").alias("substring"), F.col("fit_markdown_selectors").alias("selectors"))
+    if table is None:
+        return pages.withColumn("selectors", F.lit(None).cast("array<string>"))
+    url, c = F.col("url"), F.col
+    made = pages.withColumn("__u", F.struct(host(url).alias("host"), path(url).alias("path"), url.alias("url")))
+    fit = F.filter(table, lambda r: ((r["domain"] == "") | (r["domain"] == c("__u.host"))) & ((r["path_prefix"] == "") | c("__u.path").startswith(r["path_prefix"])) & ((r["substring"] == "") | c("__u.url").contains(r["substring"])))
+    best = F.reduce(F.slice(fit, 2, MOST_RULES), F.get(fit, F.lit(0)), lambda a, r: F.when(F.length(r["path_prefix"]) > F.length(a["path_prefix"]), r).otherwise(a))
+    return made.withColumn("selectors", F.when(F.size(fit) > 0, best["selectors"])).drop("__u")
 
 
 def fan_out(hubs: DataFrame, known: DataFrame, prefixes: dict[str, tuple[str, ...]], domains: tuple[str, ...]) -> DataFrame:
@@ -152,8 +188,8 @@ def replace_results(results: DataFrame, better: DataFrame) -> DataFrame:
 
 
 def pick_candidates(candidates: DataFrame, excluded: DataFrame, gated: Column) -> DataFrame:
-    """The first candidate (url, candidate, rank) of each URL that is neither of an excluded domain nor gated."""
-    ok = candidates.withColumn("site", host(F.col("candidate"))).join(F.broadcast(excluded), F.col("site") == F.col("domain"), "left_anti").where(~gated)
+    """The first candidate (url, candidate, rank) of each URL that is neither of an excluded domain nor gated; the planner broadcasts ``excluded`` by its size."""
+    ok = candidates.withColumn("site", host(F.col("candidate"))).join(excluded, F.col("site") == F.col("domain"), "left_anti").where(~gated)
     return ok.groupBy("url").agg(F.min_by("candidate", "rank").alias("candidate"), F.min("rank").alias("rank"))
 
 

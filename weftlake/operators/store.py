@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import blob_extension, normalize_url
@@ -27,13 +27,65 @@ def externalize(results: DataFrame, policy: Policy = DEFAULT) -> tuple[DataFrame
     return out, blobs
 
 
+def payload(results: DataFrame) -> Column:
+    """What is stored of a row: its bytes, else its text; null where it has neither."""
+    text = F.when(F.length(F.coalesce("text", F.lit(""))) > 0, F.encode("text", "UTF-8"))
+    return F.coalesce(F.col("raw_bytes"), text) if "raw_bytes" in results.columns else text
+
+
+def with_blob(results: DataFrame) -> DataFrame:
+    """Results with the pointer to their stored bytes: blob_sha256, blob_size, blob_source and blob_path (a name in the store)."""
+    data, kind = payload(results), F.col("content_type") if "content_type" in results.columns else F.lit(None).cast("string")
+    sha = F.sha2(data, 256)
+    raw = F.col("raw_bytes").isNotNull() if "raw_bytes" in results.columns else F.lit(False)
+    return results.withColumns({
+        "blob_sha256": sha, "blob_size": F.octet_length(data).cast("long"), "blob_source": F.when(data.isNotNull(), F.when(raw, "raw").otherwise("text")), "blob_path": F.concat(sha, blob_extension(F.col("url"), kind)),
+    })
+
+
 def blobs(results: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Each distinct body once: (sha256, size, filename, first_seq), without those known."""
-    body = results.where("length(coalesce(text, '')) > 0").select(F.sha2("text", 256).alias("sha256"), F.octet_length("text").alias("size"), blob_extension(F.col("url"), F.col("content_type")).alias("ext"), "seq")
-    first = body.groupBy("sha256").agg(F.min("seq").alias("first_seq"), F.min_by("ext", "seq").alias("ext"), F.max("size").alias("size"))
+    body = with_blob(results).where("blob_size > 0")
+    first = body.groupBy(F.col("blob_sha256").alias("sha256")).agg(F.max("blob_size").alias("size"), F.min_by("blob_path", "seq").alias("filename"), F.min("seq").alias("first_seq"))
     if known is not None:
         first = first.join(known.select("sha256"), "sha256", "left_anti")
-    return first.select("sha256", "size", F.concat("sha256", "ext").alias("filename"), "first_seq")
+    return first.select("sha256", "size", "filename", "first_seq")
+
+
+def blob_bytes(results: DataFrame) -> DataFrame:
+    """(sha256, data) of each distinct body."""
+    return results.select(F.sha2(payload(results), 256).alias("sha256"), payload(results).alias("data")).where("octet_length(data) > 0").dropDuplicates(["sha256"])
+
+
+def verify_blobs(results: DataFrame, stored: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """Results of verdict ok with what the stored bytes (sha256, data) say: postcheck_verdict, score, reasons, length and postcheck_failed; nulls where nothing is stored."""
+    from ..functions.content import with_features
+
+    read = stored.select(F.col("sha256").alias("stored_sha"), F.try_validate_utf8(F.col("data").cast("string")).alias("stored_text"))
+    rows = results.where("verdict = 'ok'").join(read, F.col("blob_sha256") == F.col("stored_sha"), "left")
+    told = with_features(rows.select("seq", "url", "content_type", F.col("stored_text").alias("text")), policy=policy)
+    none = F.col("text").isNull()
+    return told.select(
+        "seq", "url", F.when(~none, F.col("f_verdict")).alias("postcheck_verdict"), F.when(~none, F.round("f_score", 3)).alias("postcheck_score"), F.when(~none, F.col("f_reasons")).alias("postcheck_reasons"),
+        F.when(~none, F.col("f_len")).alias("content_text_len_post"), (F.col("f_verdict") != "ok").alias("postcheck_failed"),
+    )
+
+
+def extracted_texts(results: DataFrame, texts: DataFrame | None = None, min_chars: int = 1, policy: Policy = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(results of verdict ok with a pointer to the text extracted from what they hold, those texts by hash).
+
+    The source is raw_text() of the row, extracted again whatever it was; a
+    text of fewer than ``min_chars`` signs isn't kept.
+    """
+    from ..functions.content import with_features
+    from ..functions.urls import strip
+
+    rows = raw_text(results.where("lower(coalesce(verdict, '')) = 'ok'"), texts)
+    kind = F.coalesce(F.nullif(F.col("content_type"), F.lit("")), F.lit("text/html"))
+    told = with_features(rows.where("trim(raw_text) <> ''").select("seq", "url", kind.alias("content_type"), F.col("raw_text").alias("text")), policy=policy).withColumn("t", strip(F.col("f_text")))
+    told = told.where(F.length("t") >= max(1, min_chars)).withColumn("sha256", F.sha2("t", 256))
+    pointers = told.select("seq", "url", F.col("sha256").alias("extracted_text_sha256"), F.concat("sha256", F.lit(".txt")).alias("extracted_text_path"), F.length("t").alias("extracted_text_len"))
+    return pointers, told.select("sha256", F.col("t").alias("text")).dropDuplicates(["sha256"])
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, bypass=None) -> DataFrame:
@@ -68,21 +120,34 @@ def download(results: DataFrame, mode: str, policy: Policy = DEFAULT) -> DataFra
     out = results.withColumn("download_mode", F.lit(mode))
     if mode == "text":
         return out
-    out = out.withColumn("blob_sha256", F.when(F.length(F.coalesce("text", F.lit(""))) > 0, F.sha2("text", 256)))
+    out = with_blob(out)
     return out.withColumn("windows", rolling_windows(F.col("text"), policy)) if mode == "rolling_extract" else out
 
 
 def persist_downloads(results: DataFrame, allow_junk: bool = False) -> DataFrame:
-    """Blob pointers and the error of each URL without a payload."""
-    rows = results if allow_junk else results.where("coalesce(verdict, 'ok') = 'ok'")
-    has = F.length(F.coalesce("text", F.lit(""))) > 0
-    return rows.select("seq", "url", F.when(has, F.sha2("text", 256)).alias("blob_sha256"), F.when(~has, "download_missing_no_payload").alias("error"))
+    """Blob pointers and the error of each URL without a payload; bytes come before text."""
+    rows = results if allow_junk else results.where("coalesce(nullif(verdict, ''), 'ok') = 'ok'")
+    held = with_blob(rows)
+    return held.select("seq", "url", "blob_sha256", "blob_path", "blob_source", F.when(F.col("blob_sha256").isNull(), "download_missing_no_payload").alias("error"))
+
+
+def window_source(results: DataFrame, texts: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """What windows are cut from: raw_text() of the row."""
+    return raw_text(results, texts, stored)
 
 
-def raw_text(results: DataFrame, texts: DataFrame) -> DataFrame:
-    """Results with raw_text: their own text, else their bytes, else the stored text their pointer names."""
-    stored = texts.select(F.concat("sha256", F.lit(".txt")).alias("stored_path"), F.col("text").alias("stored_text"))
+def raw_text(results: DataFrame, texts: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """Results with raw_text: their own text, else their bytes, else the stored text (sha256, text) their text or file pointer names, else the stored bytes (sha256, data) of their blob pointer."""
+    have = lambda c: F.nullif(F.col(c), F.lit("")) if c in results.columns else F.lit(None).cast("string")
     own = F.nullif(F.coalesce("text", F.lit("")), F.lit(""))
     raw = F.nullif(F.try_validate_utf8(F.col("raw_bytes").cast("string")), F.lit("")) if "raw_bytes" in results.columns else F.lit(None).cast("string")
-    joined = results.join(stored, F.col("text_path") == F.col("stored_path"), "left")
-    return joined.select(*results.columns, F.coalesce(own, raw, F.col("stored_text")).alias("raw_text"))
+    joined, found = results, [own, raw]
+    if texts is not None:
+        kept = texts.select(F.concat("sha256", F.lit(".txt")).alias("__path"), F.col("text").alias("__text"))
+        joined = joined.join(kept, F.coalesce(have("text_path"), have("file_path")) == F.col("__path"), "left")
+        found.append(F.nullif(F.col("__text"), F.lit("")))
+    if stored is not None:
+        kept = stored.select(F.col("sha256").alias("__sha"), F.try_validate_utf8(F.col("data").cast("string")).alias("__data"))
+        joined = joined.join(kept, F.regexp_extract(have("blob_path"), "([0-9a-f]{64})[^/]*$", 1) == F.col("__sha"), "left")
+        found.append(F.nullif(F.col("__data"), F.lit("")))
+    return joined.select(*results.columns, F.coalesce(*found).alias("raw_text"))

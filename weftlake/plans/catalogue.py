@@ -40,7 +40,7 @@ def load(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def results(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "pages").selectExpr(*(f"{e} AS {c}" for c, e in O.RESULT.items()))
+    return spark.sql(O.PAGES.replace("FROM pages", "FROM {pages}"), pages=load(spark, d, "pages")).selectExpr(*(f"{e} AS {c}" for c, e in O.RESULT.items()))
 
 
 def annotated(spark: SparkSession, d: str) -> DataFrame:
@@ -185,8 +185,9 @@ register(
     f"c AS (SELECT *, CASE WHEN n < {DEFAULT.child_chars} THEN 'low_body_text' WHEN p < {DEFAULT.child_paragraphs} THEN 'few_paragraphs' END AS reason FROM b) SELECT seq, reason IS NULL AS keep, reason, CASE WHEN html THEN CASE WHEN h = 0 THEN 'sections_missing' WHEN n < 300 OR p < 2 THEN 'sections_too_small' END WHEN reason = 'low_body_text' THEN 'sections_missing' WHEN reason = 'few_paragraphs' THEN 'sections_too_small' END AS section FROM c",
 )(lambda spark, d: results(spark, d).select("seq", content.body_prefilter(t, ct).alias("b")).select("seq", "b.keep", "b.reason", F.col("b.section_pref_fallback").alias("section")))
 register("title_normalize", "SELECT item_id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS title FROM benchmark")(lambda spark, d: load(spark, d, "benchmark").select("item_id", content.normalize_title(F.col("text")).alias("title")))
-register("redact_values", "SELECT doc_id, CASE WHEN length(v) <= 8 THEN repeat('*', length(v)) ELSE concat(substr(v, 1, 4), '...', right(v, 4)) END AS value FROM (SELECT doc_id, substr(text, 1, 1 + doc_id % 20) AS v FROM documents)")(
-    lambda spark, d: load(spark, d, "documents").select("doc_id", content.redact_value(F.expr("substr(text, 1, CAST(1 + doc_id % 20 AS INT))")).alias("value"))
+_mask = "CASE WHEN length(v) <= 8 THEN repeat('*', length(v)) ELSE concat(substr(v, 1, 4), '...', right(v, 4)) END"
+register("redact_values", f"SELECT doc_id, {_mask} AS value FROM (SELECT doc_id, text AS v FROM documents UNION ALL SELECT doc_id, source FROM documents)")(
+    lambda spark, d: load(spark, d, "documents").select("doc_id", F.explode(F.array(t, F.col("source"))).alias("v")).select("doc_id", content.redact_value(F.col("v")).alias("value"))
 )
 register("content_hash", "SELECT doc_id, CASE WHEN length(text) > 0 THEN sha256(text) ELSE '' END AS sha FROM documents")(lambda spark, d: load(spark, d, "documents").select("doc_id", content.content_hash(F.col("text")).alias("sha")))
 _tok = "list_distinct(regexp_extract_all(lower(coalesce({}, '')), '([a-z0-9]{{3,}})', 1))"
@@ -194,7 +195,7 @@ register(
     "token_jaccard",
     f"WITH p AS (SELECT page_id, {_tok.format(O.visible('html'))} AS a, {_tok.format('url')} AS b FROM pages), "
     f"k AS (SELECT page_id, len(list_intersect(a, b)) AS i, len(a) + len(b) - len(list_intersect(a, b)) AS n FROM p) SELECT page_id, CASE WHEN n = 0 THEN 0.0 ELSE round(i / n, 4) END AS jaccard FROM k",
-)(lambda spark, d: load(spark, d, "pages").select("page_id", content.jaccard(content.tokens(content.visible_text(F.col("html"))), content.tokens(u)).alias("jaccard")))
+)(lambda spark, d: load(spark, d, "pages").select("page_id", content.tokens(content.visible_text(F.col("html"))).alias("a"), content.tokens(u).alias("b")).select("page_id", content.jaccard(F.col("a"), F.col("b")).alias("jaccard")))
 _h1 = rf"list_filter(list_transform(regexp_extract_all(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1), lambda z: trim(regexp_replace(regexp_replace(z, '<[^>]+>', ' ', 'g'), '{content.SPACE}', ' ', 'g'))), lambda z: z <> '')"
 _tt = rf"list_transform(regexp_extract_all(html, '(?is)<title\b[^>]*>(.*?)</title>', 1), lambda z: trim(regexp_replace(regexp_replace(z, '<[^>]+>', ' ', 'g'), '{content.SPACE}', ' ', 'g')))"
 register("heading_overlap", f"SELECT page_id, array_to_string(list_sort(list_intersect({_h1}[1:25], {_tt})), '|') AS shared FROM pages")(
@@ -206,7 +207,9 @@ register("heading_overlap", f"SELECT page_id, array_to_string(list_sort(list_int
 register("prune_markdown", r"SELECT doc_id, sha256(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN concat('# H', CAST(doc_id AS VARCHAR), E'\n', text) ELSE text END, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g')) AS sha FROM documents")(
     lambda spark, d: load(spark, d, "documents").select("doc_id", F.sha2(content.prune_to_first_heading(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Esc\nmenu\n# H"), F.col("doc_id").cast("string"), F.lit("\n"), t)).otherwise(t)), 256).alias("sha"))
 )
-register("minimal_fix", "SELECT doc_id, length(text) AS n FROM documents")(lambda spark, d: load(spark, d, "documents").select("doc_id", F.length(content.minimal_fix(F.concat(t, F.lit("​﻿")))).alias("n")))
+register("minimal_fix", "SELECT doc_id, sha256(concat(text, 'caf', chr(233), ' \"q\" ffi')) AS sha FROM documents")(
+    lambda spark, d: load(spark, d, "documents").select("doc_id", F.sha2(content.minimal_fix(F.concat(t, F.lit("\u200b\ufeffcaf\u00c3\u00a9 \u201cq\u201d \ufb03"))), 256).alias("sha"))
+)
 
 # == paywalls
 
@@ -254,8 +257,8 @@ register("dedupe_merge", f"{E}, k AS (SELECT *, {O.normalize_url('url')} AS url_
 register("build_entries", f"SELECT {O.strip('url')} AS url, {O.host('url')} AS domain, row_number() OVER (ORDER BY page_id) - 1 AS consumer_id FROM pages")(
     lambda spark, d: entries.build_entries(load(spark, d, "pages").select("url", F.col("page_id").alias("seq"))).select("url", "domain", F.col("consumer_id").cast("long"))
 )
-# entries of pages, results of half of them under the URL, some under their original URL
-RES = "SELECT CASE WHEN page_id % 4 = 3 THEN concat(url, '?moved') ELSE url END AS url, CASE WHEN page_id % 4 = 3 THEN url END AS original_url, CASE WHEN page_id % 5 = 0 THEN 404 ELSE 200 END AS status, CASE WHEN page_id % 7 = 0 THEN '' ELSE 'body' END AS text, page_id AS seq FROM pages WHERE page_id % 4 <> 1"
+# entries of pages; results of some are under another URL or under their original one
+RES = "SELECT CASE page_id % 4 WHEN 3 THEN concat(url, '?moved') WHEN 1 THEN concat(url, '?other') ELSE url END AS url, CASE WHEN page_id % 4 = 3 THEN url END AS original_url, CASE WHEN page_id % 5 = 0 THEN 404 ELSE 200 END AS status, CASE WHEN page_id % 7 = 0 THEN '' ELSE html END AS text, page_id AS seq FROM pages"
 INV = "SELECT url, concat('d', CAST(page_id % 6 AS STRING)) AS domain, split(concat('c', CAST(page_id % 9 AS STRING), ',c', CAST(page_id % 4 AS STRING)), ',') AS controls, split(concat('t', CAST(page_id % 3 AS STRING)), ',') AS titles, split(concat('w', CAST(page_id % 2 AS STRING)), ',') AS worksheets, page_id AS seq FROM pages"
 
 
@@ -265,8 +268,7 @@ def _inventory(spark, d):
 
 
 def _fetched(spark, d):
-    p = load(spark, d, "pages").where("page_id % 4 <> 1")  # the fixture's pages without a result, not a sample
-    return p.selectExpr("CASE WHEN page_id % 4 = 3 THEN concat(url, '?moved') ELSE url END AS url", "CASE WHEN page_id % 4 = 3 THEN url END AS original_url", "CASE WHEN page_id % 5 = 0 THEN 404 ELSE 200 END AS status", "CASE WHEN page_id % 7 = 0 THEN '' ELSE 'body' END AS text", "page_id AS seq")
+    return spark.sql(RES.replace("FROM pages", "FROM {pages}"), pages=load(spark, d, "pages"))
 
 
 JOIN = f"""WITH i AS ({INV}), r AS ({RES}), keyed AS (SELECT url AS key, 0 AS pref, status, text, row_number() OVER (PARTITION BY url ORDER BY seq DESC) AS rk FROM r UNION ALL
@@ -369,24 +371,24 @@ register("fanout_drop_reasons", f"{KIDS} SELECT coalesce(reason, 'kept') AS reas
 # on these pages the tree and the profile agree about links outside of chrome
 _anch = rf"regexp_extract_all({_bodyless}, '(?is)<a\b[^>]*href=[^>]*>', 0)"
 register("hub_flag", f"SELECT page_id, len({_anch}) >= {DEFAULT.hub_links} AND length({O.visible('html')}) <= {DEFAULT.hub_body} AS is_hub FROM pages")(
-    lambda spark, d: load(spark, d, "pages").select("page_id", dom.features(F.col("html"), u).alias("x")).select("page_id", F.col("x.hub.is_hub").alias("is_hub"))
+    lambda spark, d: load(spark, d, "pages").select("page_id", dom.features(F.col("html"), u, fields=("hub",)).alias("x")).select("page_id", F.col("x.hub.is_hub").alias("is_hub"))
 )
 
 
-def _dom(spark, d, *cols):
-    return results(spark, d).select("seq", dom.features(F.concat(F.lit("<h2>Definition of terms</h2><p>Some deprecated text for a longer notice here.</p><a href='/doc/a.pdf'>a</a>"), t), u).alias("x")).select("seq", *cols)
+def _dom(spark, d, field, *cols):
+    return results(spark, d).select("seq", dom.features(F.concat(F.lit("<h2>Definition of terms</h2><p>Some deprecated text for a longer notice here.</p><a href='/doc/a.pdf'>a</a>"), t), u, fields=field).alias("x")).select("seq", *cols)
 
 
-register("dom_features")(lambda spark, d: _dom(spark, d, "x.hub.is_hub", "x.hub.n_links", "x.hub.body_chars", "x.hub.link_text_chars", F.size("x.overlays").alias("n_overlays")))
-register("structured_definition")(lambda spark, d: _dom(spark, d, "x.definition"))
-register("deprecation_notice")(lambda spark, d: _dom(spark, d, "x.deprecation"))
-register("pdf_links", f"{R} SELECT seq, concat({f'lower({O.part("url", 1)})'}, '://', {O.host('url')}, '/doc/a.pdf') AS links FROM r")(lambda spark, d: _dom(spark, d, joined("x.pdf_links").alias("links")))
-register("hub_links")(lambda spark, d: load(spark, d, "pages").select("page_id", dom.features(F.col("html"), u).alias("x")).select("page_id", joined("x.hub.links").alias("links"), F.col("x.hub.title").alias("title")))
-register("markdown")(lambda spark, d: load(spark, d, "pages").select("page_id", dom.features(F.col("html"), u).alias("x")).select("page_id", "x.markdown"))
+register("dom_features")(lambda spark, d: _dom(spark, d, ("hub", "overlays"), "x.hub.is_hub", "x.hub.n_links", "x.hub.body_chars", "x.hub.link_text_chars", F.size("x.overlays").alias("n_overlays")))
+register("structured_definition")(lambda spark, d: _dom(spark, d, ("definition",), "x.definition"))
+register("deprecation_notice")(lambda spark, d: _dom(spark, d, ("deprecation",), "x.deprecation"))
+register("pdf_links", f"{R} SELECT seq, concat({f'lower({O.part("url", 1)})'}, '://', {O.host('url')}, '/doc/a.pdf') AS links FROM r")(lambda spark, d: _dom(spark, d, ("pdf_links",), joined("x.pdf_links").alias("links")))
+register("hub_links")(lambda spark, d: load(spark, d, "pages").select("page_id", dom.features(F.col("html"), u, fields=("hub",)).alias("x")).select("page_id", joined("x.hub.links").alias("links"), F.col("x.hub.title").alias("title")))
+register("markdown")(lambda spark, d: load(spark, d, "pages").select("page_id", dom.features(F.col("html"), u, fields=("markdown",)).alias("x")).select("page_id", "x.markdown"))
 register("fit_markdown")(lambda spark, d: load(spark, d, "pages").select("page_id", dom.fit_markdown(F.col("html"), F.array(F.lit("main"), F.lit("article"))).alias("markdown")))
 
 register("markdown_overlap")(
-    lambda spark, d: reports.compare_markdown(load(spark, d, "pages").select("page_id", "html", dom.features(F.col("html"), u).alias("x")).select("page_id", "html", F.col("x.markdown").alias("markdown"))).select("page_id", "token_jaccard", joined("shared_h1").alias("shared"))
+    lambda spark, d: reports.compare_markdown(load(spark, d, "pages").select("page_id", "html", dom.features(F.col("html"), u, fields=("markdown",)).alias("x")).select("page_id", "html", F.col("x.markdown").alias("markdown"))).select("page_id", "token_jaccard", joined("shared_h1").alias("shared"))
 )
 
 # == reports
@@ -419,17 +421,19 @@ register("junk_examples_topk", f"{F_STEPS}, k AS (SELECT *, row_number() OVER (P
 register("junk_table", f"{F_STEPS} SELECT verdict, CAST(status AS VARCHAR) AS status, domain, junk_reason, url, array_to_string(reasons, ', ') AS content_reasons FROM j WHERE verdict <> 'ok' ORDER BY verdict, domain, CAST(status AS VARCHAR), url LIMIT {DEFAULT.junk_rows}")(lambda spark, d: reports.junk_table(annotated(spark, d)))
 register("pdf_paywall_mismatch", f"{ANN} SELECT seq, url, paywall_verdict, verdict FROM ann WHERE pdf_extracted AND (paywall_verdict IN ('likely', 'maybe', 'paywalled') OR verdict = 'paywall')")(lambda spark, d: reports.pdf_mismatches(annotated(spark, d)))
 _got = "(j.status = 200 AND length(j.clean) > 0)"
-ITEMS = f"{ANN}, item AS (SELECT p.page_id AS consumer_id, p.url, CASE WHEN j.seq IS NULL THEN 'missing_result' WHEN NOT {_got} THEN 'failed' WHEN j.verdict <> 'ok' THEN 'junk' ELSE 'ok' END AS verdict, CASE WHEN j.paywall_verdict IN ('unlikely', 'safe') THEN 'ok' WHEN j.paywall_verdict IN ('likely', 'maybe') THEN 'paywalled' END AS paywall, coalesce(j.url, p.url) AS final_url FROM pages p LEFT JOIN (SELECT * FROM ann WHERE from_cache = false) j ON p.page_id = j.seq)"
+_blobbed = "coalesce(length(j.clean) > 0, false)"
+_scripted = "(NOT j.from_cache AND j.method NOT IN ('file', 'github_cli') AND j.seq % 3 = 0 AND j.seq % 9 <> 0)"
+ITEMS = f"{ANN}, item AS (SELECT p.page_id AS consumer_id, p.url, CASE WHEN j.seq IS NULL THEN 'missing_result' WHEN NOT {_got} THEN 'failed' WHEN j.verdict <> 'ok' THEN 'junk' ELSE 'ok' END AS verdict, CASE WHEN j.paywall_verdict IN ('unlikely', 'safe') THEN 'ok' WHEN j.paywall_verdict IN ('likely', 'maybe') THEN 'paywalled' END AS paywall, coalesce(j.url, p.url) AS final_url, coalesce({_scripted}, false) AS used_playwright, {_blobbed} AS downloaded FROM pages p LEFT JOIN (SELECT *, CASE WHEN NOT from_cache THEN seq END AS cid FROM ann) j ON p.page_id = j.cid)"
 
 
 def _items(spark, d):
     e = load(spark, d, "pages").select(F.col("page_id").alias("consumer_id"), "url")
-    return reports.summary_items(e, annotated(spark, d).where(~F.col("from_cache")).withColumn("consumer_id", F.col("seq")))
+    return reports.summary_items(e, store.with_blob(annotated(spark, d)).withColumn("fetch_path", _path()).withColumn("consumer_id", F.when(~F.col("from_cache"), F.col("seq"))))
 
 
 register("summary_items", f"{ITEMS} SELECT * FROM item")(_items)
 register("walkthrough", f"{ITEMS} SELECT consumer_id, concat('## Item ', consumer_id + 1, E'\\nurl: ', url, E'\\nfinal_url: ', final_url, E'\\nverdict: ', verdict, E'\\npaywall: ', coalesce(paywall, 'none')) AS block FROM item")(lambda spark, d: reports.walkthrough(_items(spark, d)))
-register("summary_counts", f"{ITEMS} SELECT count(*) AS total, count_if(verdict = 'ok') AS ok, count_if(verdict IN ('failed', 'missing_result')) AS failed, count_if(verdict = 'junk') AS junk, count_if(url <> final_url) AS used_alternates FROM item")(lambda spark, d: reports.summary_counts(_items(spark, d)))
+register("summary_counts", f"{ITEMS} SELECT count(*) AS total, count_if(verdict = 'ok') AS ok, count_if(verdict IN ('failed', 'missing_result')) AS failed, count_if(verdict = 'junk') AS junk, count_if(url <> final_url) AS used_alternates, count_if(used_playwright) AS used_playwright, count_if(downloaded) AS downloaded FROM item")(lambda spark, d: reports.summary_counts(_items(spark, d)))
 _sv, _bv = f"lower({O.part(O.strip('url'), 1)})", O.strip("url")
 _bad = f"({_bv} = '' OR {_sv} NOT IN ('http', 'https', 'file') OR ({_sv} <> 'file' AND {O.part(_bv, 2)} = '') OR ({_sv} = 'file' AND {O.part(_bv, 3)} = ''))"
 register("dry_run_counts", f"{R}, x AS (SELECT {RAW} AS url FROM r), v AS (SELECT {_bad} AS bad, {O.safe_domain(O.host('url'))} AS safe, {O.host('url')} AS h FROM x) SELECT count(*) AS total, count_if(NOT bad) AS valid, count_if(bad) AS invalid, count_if(NOT bad AND safe) AS safe, count_if(NOT bad AND NOT safe AND h IN {O.values(sorted(DEFAULT.gated))}) AS resolver_candidates FROM v")(
@@ -441,19 +445,25 @@ register("proxy_counters", f"{R} SELECT method AS domain, concat('status_', CAST
 
 # == state and storage
 
-_CH = ["concat('http://Site', CAST(doc_id % 300 AS STRING), '.example.com/') AS url", "CASE WHEN doc_id % 4 = 0 THEN source ELSE text END AS text", "concat('2025-01-', CAST(10 + doc_id % 19 AS STRING)) AS fetched_at", "doc_id AS seq"]
-CH = f"WITH c AS (SELECT {', '.join(_CH)} FROM documents), n AS (SELECT *, {O.normalize_url('url')} AS url_norm, sha256(text) AS sha FROM c WHERE length(text) > 0), w AS (SELECT *, lag(sha) OVER o AS before, lag(length(text)) OVER o AS len_before FROM n WINDOW o AS (PARTITION BY url_norm ORDER BY fetched_at, seq))"
+# each document is fetched twice, half of them with another text the second time; the state knows some texts and has others for the rest
+_CH = "SELECT concat('http://Site', CAST(doc_id AS STRING), '.example.com/') AS url, text, '2025-01-01' AS fetched_at, doc_id AS seq FROM documents UNION ALL SELECT concat('HTTP://site', CAST(doc_id AS STRING), '.example.com/'), CASE WHEN doc_id % 2 = 0 THEN text ELSE concat(text, ' again') END, '2025-01-02', doc_id + 10000000 FROM documents"
+_ST = "SELECT concat('http://site', CAST(doc_id AS STRING), '.example.com/') AS url_norm, CASE WHEN doc_id % 3 = 0 THEN {sha} ELSE 'other' END AS sha, CAST(length(text) AS INT) AS length, '2024-12-31' AS fetched_at, substr(text, 1, 800) AS sample FROM documents"
+CH = f"WITH st AS ({_ST.format(sha='sha256(text)')}), c AS ({_CH}), n AS (SELECT *, {O.normalize_url('url')} AS url_norm, CASE WHEN length(text) > 0 THEN sha256(text) END AS sha FROM c), w AS (SELECT n.*, CASE WHEN n.sha IS NOT NULL THEN coalesce(lag(n.sha) OVER o, st.sha) END AS before, CASE WHEN n.sha IS NOT NULL THEN coalesce(lag(length(n.text)) OVER o, st.length) END AS len_before FROM n LEFT JOIN st ON n.url_norm = st.url_norm WINDOW o AS (PARTITION BY n.url_norm, n.sha IS NULL ORDER BY n.fetched_at, n.seq))"
+
+
+def _state(spark, d):
+    return spark.sql(_ST.format(sha="sha2(text, 256)").replace("FROM documents", "FROM {docs}"), docs=load(spark, d, "documents"))
 
 
 def _changes(spark, d):
-    return changes.detect_changes(load(spark, d, "documents").selectExpr(*_CH))
+    return changes.detect_changes(spark.sql(_CH.replace("FROM documents", "FROM {docs}"), docs=load(spark, d, "documents")), _state(spark, d))
 
 
-register("content_change", f"{CH} SELECT seq, url_norm, sha AS content_sha256, before AS content_previous_sha256, len_before AS content_previous_len, coalesce(sha <> before, true) AS content_changed FROM w")(
+register("content_change", f"{CH} SELECT seq, url_norm, sha AS content_sha256, before AS content_previous_sha256, len_before AS content_previous_len, CASE WHEN sha IS NOT NULL THEN coalesce(sha <> before, true) END AS content_changed FROM w")(
     lambda spark, d: _changes(spark, d).select("seq", "url_norm", "content_sha256", "content_previous_sha256", F.col("content_previous_len").cast("long"), "content_changed")
 )
-register("change_feed", f"{CH} SELECT seq, url_norm FROM w WHERE coalesce(sha <> before, true)")(lambda spark, d: changes.change_feed(_changes(spark, d)).select("seq", "url_norm"))
-register("content_state", f"{CH} SELECT url_norm, arg_max(sha, fetched_at || lpad(CAST(seq AS VARCHAR), 12, '0')) AS sha FROM n GROUP BY url_norm")(lambda spark, d: changes.next_state(_changes(spark, d)).select("url_norm", "sha"))
+register("change_feed", f"{CH} SELECT seq, url_norm FROM w WHERE sha IS NOT NULL AND coalesce(sha <> before, true)")(lambda spark, d: changes.change_feed(_changes(spark, d)).select("seq", "url_norm"))
+register("content_state", f"{CH} SELECT url_norm, arg_max(sha, fetched_at || lpad(CAST(seq AS VARCHAR), 12, '0')) AS sha FROM n WHERE sha IS NOT NULL GROUP BY url_norm UNION ALL SELECT url_norm, sha FROM st WHERE url_norm NOT IN (SELECT url_norm FROM n WHERE sha IS NOT NULL)")(lambda spark, d: changes.next_state(_changes(spark, d), _state(spark, d)).select("url_norm", "sha"))
 register("diff_ratio")(lambda spark, d: changes.with_diff_ratio(_changes(spark, d)).select("seq", "content_diff_ratio"))
 _D = "SELECT doc_id AS seq, concat('http://h/', CAST(doc_id AS STRING), '.txt') AS url, 'text/plain' AS content_type, text FROM documents"
 
@@ -483,7 +493,7 @@ register("cache_prune", "SELECT event_id AS key, concat(strftime(ts, '%Y-%m-%d')
 register("cache_upsert", f"{R} SELECT {O.host('url')} AS key, max(fetched_at) AS fetched_at FROM r GROUP BY 1")(
     lambda spark, d: store.cache_upsert(*(results(spark, d).where(c).groupBy(urls.host(u).alias("key")).agg(F.max("fetched_at").alias("fetched_at")) for c in ("status = 200", "status <> 200"))).select("key", "fetched_at")
 )
-register("persist_downloads", f"{F_STEPS} SELECT seq, url, CASE WHEN length(clean) > 0 THEN sha256(clean) END AS blob_sha256, CASE WHEN length(clean) = 0 THEN 'download_missing_no_payload' END AS error FROM j WHERE verdict = 'ok'")(lambda spark, d: store.persist_downloads(annotated(spark, d)))
+register("persist_downloads", f"{F_STEPS} SELECT seq, url, CASE WHEN length(clean) > 0 THEN sha256(clean) END AS blob_sha256, CASE WHEN length(clean) = 0 THEN 'download_missing_no_payload' END AS error FROM j WHERE verdict = 'ok'")(lambda spark, d: store.persist_downloads(annotated(spark, d)).select("seq", "url", "blob_sha256", "error"))
 
 _X = "CASE seq % 3 WHEN 0 THEN '' WHEN 1 THEN text END"
 register("raw_text", f"{R}, x AS (SELECT seq, text AS kept, sha256(text) AS sha, {_X} AS text FROM r) SELECT seq, sha256(CASE WHEN coalesce(text, '') <> '' THEN text WHEN length(kept) > 0 THEN kept END) AS raw_sha FROM x")(
@@ -509,3 +519,5 @@ register(
     "event_sessions",
     "WITH e AS (SELECT user_id AS key, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM e) SELECT key, min(ts) AS session_start, count(*) AS n FROM s GROUP BY key, sid",
 )(lambda spark, d: live.sessions(load(spark, d, "events")).withColumn("session_start", F.col("session_start").cast("timestamp_ntz")))
+
+from . import catalogue_more  # noqa: E402, F401

@@ -106,16 +106,21 @@ def verdict(n: str, d: str, k: str, p: Policy = DEFAULT) -> str:
  WHEN {n} < {p.article_chars} AND {d} > {p.link_density} THEN 'link_hub' WHEN {n} < {p.weak_chars} THEN 'thin' ELSE 'weak' END"""
 
 
-#: Result rows derived from pages, the same expressions in both dialects.
+#: The pages, whole, and as many more rows with an empty or a short body.
+PAGES = (
+    "SELECT page_id, url, html, false AS stub FROM pages UNION ALL "
+    "SELECT page_id + 10000000, concat(url, '/stub'), CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN '<p>Members only. Please log in to continue.</p>' ELSE concat('<p>A short page with the number ', CAST(page_id AS STRING), '.</p>') END, true FROM pages"
+)
+#: Result rows derived from those, the same expressions in both dialects.
 RESULT = {
     "seq": "page_id",
     "url": "CASE page_id % 10 WHEN 0 THEN concat('https://github.com/org/repo/blob/v1/docs/f', CAST(page_id AS STRING), '.txt') WHEN 1 THEN concat('https://www.attack.mitre.org/t/', CAST(page_id AS STRING)) WHEN 2 THEN concat('https://www.nytimes.com/a/', CAST(page_id AS STRING), '.html') "
     "WHEN 3 THEN concat('https://docs.example.gov/x', CAST(page_id AS STRING), '.pdf') WHEN 4 THEN concat('https://capec.mitre.org/community/registration', CAST(page_id AS STRING), '.html') ELSE url END",
     "status": "CASE page_id % 9 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN 429 WHEN 3 THEN 503 WHEN 4 THEN 401 WHEN 5 THEN -1 ELSE 200 END",
     "content_type": "CASE page_id % 4 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'text/html' WHEN 2 THEN 'text/plain' ELSE 'application/pdf' END",
-    "text": "concat(CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN substr(html, 1, 900) ELSE html END, CASE page_id % 11 WHEN 0 THEN ' Please subscribe or log in to continue reading. Members only.' WHEN 1 THEN ' Cloudflare error 1020 Access denied. You are unable to access' "
+    "text": "concat(html, CASE WHEN stub THEN '' ELSE CASE page_id % 11 WHEN 0 THEN ' Please subscribe or log in to continue reading. Members only.' WHEN 1 THEN ' Cloudflare error 1020 Access denied. You are unable to access' "
     "WHEN 2 THEN ' The site configured at this address' WHEN 3 THEN '<noscript>Subscription required</noscript>' WHEN 4 THEN ' Too many requests, temporarily blocked' WHEN 5 THEN ' Page not found. The requested URL is gone' "
-    "WHEN 6 THEN ' Copyright. All rights reserved. Subscribe for unlimited access' WHEN 7 THEN '<div class=\"paywall\"></div> piano out of credits' ELSE '' END)",
+    "WHEN 6 THEN ' Copyright. All rights reserved. Subscribe for unlimited access' WHEN 7 THEN '<div class=\"paywall\"></div> piano out of credits' ELSE '' END END)",
     "method": "CASE page_id % 6 WHEN 0 THEN 'file' WHEN 1 THEN 'wayback' WHEN 2 THEN 'youtube-skill' ELSE 'aiohttp' END",
     "fetched_at": "concat('2025-01-', CAST(10 + page_id % 19 AS STRING))",
     "from_cache": "page_id % 12 = 0",
@@ -125,7 +130,7 @@ RESULT = {
     "pdf_extracted": "page_id % 8 = 3",
     "pdf_locked": "page_id % 16 = 7",
 }
-R = "WITH r AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in RESULT.items()) + " FROM pages)"
+R = "WITH r AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in RESULT.items()) + f" FROM ({PAGES}))"
 
 
 def feature_steps(policy: Policy = DEFAULT) -> str:

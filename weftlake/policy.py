@@ -98,6 +98,11 @@ class Policy:
     hub_body: int = 1200
     hub_density: float = 0.4
     hub_cap: int = 100
+    pdf_link_cap: int = 32
+    # pages that need a browser
+    least_page: int = 120
+    least_rendered: int = 1024
+    script_hints: tuple[str, ...] = _phrases('please enable javascript|javascript is required|</noscript>|id="root"')
     # proxies
     proxy_domains: tuple[str, ...] = ("d3fend.mitre.org",)
     proxy_statuses: tuple[int, ...] = (429,)
