@@ -441,7 +441,7 @@ def test_mixing_ways_agree(spark):
         assert a.drop(columns="p").reset_index(drop=True).equals(b.drop(columns="p").reset_index(drop=True)) and np.allclose(a.p, b.p, atol=2e-6)
         assert len(a)
     a = mixing.weights(docs).toPandas()
-    assert 0.5 < a.n_tokens.sum() / docs.agg(F.sum(F.regexp_count("text", F.lit(r"\w+")))).first()[0] < 0.7
+    assert 0.5 < a.n_tokens.sum() / docs.agg(F.sum(F.regexp_count("text", F.lit(" ")))).first()[0] < 0.75
 
 
 def test_chances_against_bisection():
@@ -828,6 +828,25 @@ def test_licence_variants(spark):
     assert len(out[out.doc_id == 103]) == 2 and len(out[out.doc_id == 104]) == 1
 
 
+def test_licence_places():
+    docs = [("one two " * 5 + "Licensed under the Apache License, Version 2.0.", 10, 17, 1.0), ("Released under the very MIT License.", 0, 5, None), ("x " * 3 + "SPDX-License-Identifier: BSD-3-Clause y", 3, 9, 1.0)]
+    vocab = licenses.vocabulary(licenses.TEMPLATES)
+    index = licenses.Index.build(licenses.TEMPLATES, vocab, np.zeros(len(vocab)))
+    for text, a, b, alike in docs:
+        got = [(at, at + len(index.body[k]), s) for _, k, at, _, s in index.scan([text.lower().encode()], licenses.SLACK, licenses.MIN_SHARE)]
+        assert any(abs(x - a) <= 1 and abs(y - b) <= 1 and (alike is None or s == alike) for x, y, s in got), (text, got)
+
+
+def test_altered_headers_are_found(spark):
+    header = next(t.text for t in licenses.TEMPLATES if t.license == "LGPL-2.1" and len(t.text) > 100)
+    w, texts = header.split(), []
+    for gone in range(0, 9):  # a word left out, another put in
+        text = " ".join(w[:gone] + w[gone + 1 : 12] + ["really"] + w[12:])
+        texts.append((gone, f"intro {text} outro"))
+    got = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).select("doc_id", "license")
+    assert rows(got) == [(k, "LGPL-2.1") for k in range(9)]
+
+
 def test_licences_odd(messy, empty):
     out = licenses.scan(messy).collect()
     assert [(r["doc_id"], r["license"]) for r in out] == [(9, "MIT")]
