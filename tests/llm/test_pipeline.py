@@ -2,7 +2,6 @@
 
 import hashlib
 import os
-import re
 
 import corpus_pipeline
 from pyspark.sql import functions as F
@@ -10,11 +9,9 @@ from test_llm import DOCS, brute_pairs, check_packing
 
 from weftlake.llm import language_id, ngram_join, packing
 
-WORDS = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
-
 
 def raked(mass):
-    """Chances of cells {(source, lang, topic): words}, by loops over dictionaries and bisection."""
+    """Chances of cells {(source, lang, topic): tokens}, by loops over dictionaries and bisection."""
     total, w = sum(mass.values()), {c: float(m) for c, m in mass.items()}
     goal = []
     for k in range(3):
@@ -78,7 +75,7 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
 
     mass: dict = {}
     for i, r in left.items():
-        mass[cell(i)] = mass.get(cell(i), 0) + max(1, len(WORDS.findall(r["text"])))
+        mass[cell(i)] = mass.get(cell(i), 0) + max(1, r["text"].count(" "), len(r["text"].encode()) // 8)
     p = raked(mass)
     encoding, _ = packing.vocabulary_of(packing.VOCABULARY)
     want = {i: len(encoding.encode_ordinary(r["text"])) for i, r in left.items() if draw(i) < p[cell(i)]}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import tempfile
 
 import numpy as np
@@ -35,6 +38,36 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp()
 
 
+def _release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks, beside the heap of their executor."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidy(run):
+    """A function for workers, of batches or of groups, that releases memory when it is done."""
+    if inspect.isgeneratorfunction(run):
+
+        @functools.wraps(run)
+        def batches(rows):
+            yield from run(rows)
+            _release()
+
+        return batches
+
+    def done(out):
+        _release()
+        return out
+
+    # the number of arguments tells what a grouped function gets
+    return {1: lambda a: done(run(a)), 2: lambda a, b: done(run(a, b)), 3: lambda a, b, c: done(run(a, b, c))}[len(inspect.signature(run).parameters)]
+
+
 def place(df: DataFrame, name: str) -> int:
     """The position of a column; an exact name wins over one that differs by case, the first over later ones."""
     if name in df.columns:

@@ -37,7 +37,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import isolate, place, restore, table
+from .common import _release as release
+from .common import isolate, place, restore, table, tidy
 
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is", "af"),
@@ -55,7 +56,7 @@ FLOOR_QUANTILE = 0.005
 LEAST_HELD_OUT = 50
 MIN_LETTERS = 1
 MIN_LETTER_SHARE = 0.3
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 SCHEMA = "family string, lang string, margin double, accepted boolean"
 
 _BLANK = np.full(256, 0x20, "u1")
@@ -241,7 +242,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 x = features([t.encode("utf-8", "replace") for t in part["t"]])
                 yield part.assign(x=[v.astype("f2").tobytes() for v in x])
 
-    got = rows.mapInPandas(sparse, "id string, lang string, t string, x binary").collect()
+    got = rows.mapInPandas(tidy(sparse), "id string, lang string, t string, x binary").collect()
     got = sorted(set((r["id"], r["lang"], bytes(r["x"]), r["t"]) for r in got))
     return calibrated([r[:3] for r in got], [r[3].encode("utf-8", "replace") for r in got], family_of)
 
@@ -253,9 +254,10 @@ def _predictor(model: Model, min_letters: int, min_letter_share: float, min_marg
     def predict(text: pd.Series) -> pd.DataFrame:
         p = model.predict([t.encode("utf-8", "replace") if t else b"" for t in text])
         ok = (p["letters"] >= min_letters) & (p["letters"] >= min_letter_share * p["solid"]) & (p["margin"] >= min_margin) & p["lang"].notna()
+        release()
         return pd.DataFrame({"family": p["family"], "lang": p["lang"], "margin": p["margin"], "accepted": ok})
 
-    return predict
+    return predict.asNondeterministic()  # so that a filter on what it tells isn't written out as a second prediction
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", min_letters: int = MIN_LETTERS, min_letter_share: float = MIN_LETTER_SHARE, min_margin: float | None = None) -> DataFrame:

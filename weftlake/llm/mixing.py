@@ -1,7 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Tokens (words, common.WORD) are summed by cell (source, language, topic).  The
-cell weights are raked to the target marginals of the three dimensions in turn
+Tokens are summed by cell (source, language, topic): a token for each blank,
+and one for every eight bytes at least, where texts have few blanks.  The cell
+weights are raked to the target marginals of the three dimensions in turn
 until all marginals are met within ``tolerance``; documents are then drawn
 independently with the chances that the raked weights imply, scaled so that the
 tokens expected are a given share of the input, and never above 1 (cells that
@@ -20,8 +21,8 @@ last dimension met exactly, and marginals() tells how far the others are.
 The topic is a column of one's own (``topic_col``), or by default a coarse kind
 of text by marks in it (topic()).
 
-Defined cases: nulls in a dimension are a value of their own; a null text or one
-without words weighs one token; repeated rows share one draw, as the draw
+Defined cases: nulls in a dimension are a value of their own; a null or empty text
+weighs one token; repeated rows share one draw, as the draw
 depends on the id alone, and so do all rows with a null id; a draw that equals
 the chance isn't taken; an empty table stays empty.  All columns pass through.
 """
@@ -32,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SQL, cut, isolate, restore, table, uniform, uniform_sql
+from .common import cut, isolate, restore, table, uniform, uniform_sql
 
 ALPHA = 0.7
 KEEP = 0.6
@@ -186,7 +187,8 @@ def _marked(docs: DataFrame, source_col, lang_col, text_col, topic_of, topic_col
     t = t.cast("string")
     kind = F.coalesce(own[0].cast("string"), F.lit(NULL)) if own else topic_of(F.coalesce(t, F.lit("")))
     dims = (F.coalesce(s.cast("string"), F.lit(NULL)), F.coalesce(lang.cast("string"), F.lit(NULL)), kind)
-    mass = F.greatest(F.coalesce(F.regexp_count(t, F.lit(WORD_SQL)), F.lit(0)), F.lit(1)).cast("long")
+    size = F.octet_length(t)
+    mass = F.greatest(F.coalesce(F.greatest(size - F.octet_length(F.replace(t, F.lit(" "), F.lit(""))), (size / 8).cast("int")), F.lit(0)), F.lit(1)).cast("long")
     return inner.select("*", *(c.alias(d) for c, d in zip(dims, DIMS)), mass.alias("mass"))
 
 
@@ -235,7 +237,7 @@ def sql(rounds: int = 40) -> str:
     nl = ",\n"
     return f"""
 WITH marked AS (
-  SELECT doc_id, coalesce(source, '{NULL}') AS source, coalesce(lang, '{NULL}') AS lang, greatest(len(regexp_extract_all(text, '{WORD_SQL}')), 1) AS mass, {TOPIC_SQL} AS topic
+  SELECT doc_id, coalesce(source, '{NULL}') AS source, coalesce(lang, '{NULL}') AS lang, greatest(strlen(text) - strlen(replace(text, ' ', '')), strlen(text) // 8, 1) AS mass, {TOPIC_SQL} AS topic
   FROM (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents)),
 cells AS (SELECT source, lang, topic, sum(mass)::DOUBLE AS mass FROM marked GROUP BY ALL),
 {goals},

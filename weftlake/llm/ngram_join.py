@@ -53,9 +53,9 @@ N = 5
 #: As a fraction, so that every bound is exact.
 THRESHOLD = (2, 5)
 #: N-grams in a range of hashes or a group of documents: what one task holds at a time.
-GROUP = 600_000
-FLUSH = 1_000_000
-SLICE_BYTES = 2 << 20
+GROUP = 400_000
+FLUSH = 600_000
+SLICE_BYTES = 1 << 20
 TASK_BYTES = 12 << 20
 TASK_PAIRS = 1_000_000
 #: N-grams in more documents than this don't meet in one task.
@@ -129,7 +129,7 @@ def _signatures(n: int):
                 rows = []
         yield pd.DataFrame(rows, columns=["id", "k", "n", "s1", "s2"])
 
-    return run
+    return common.tidy(run)
 
 
 def _hash_range(h: np.ndarray, parts: int) -> np.ndarray:
@@ -185,7 +185,7 @@ def _to_ranges(n: int, parts: int, by_set: bool, hot: np.ndarray, often: np.ndar
         if held:
             yield flush(sets, ids)
 
-    return run
+    return common.tidy(run)
 
 
 def _shared(groups: int):
@@ -213,7 +213,7 @@ def _shared(groups: int):
         some = df > 1
         return pd.DataFrame(_by_group(d[some], g[some], np.minimum(df[some], 2**32 - 1), groups), columns=["q", "block"]).astype({"q": "int64"})
 
-    return run
+    return common.tidy(run)
 
 
 def _prefixes(num: int, den: int):
@@ -242,7 +242,7 @@ def _prefixes(num: int, den: int):
                     out.append((int(d[a]), n, many, prefix, g[a:b].astype("<u8").tobytes(), df[a : a + prefix].astype("<u4").tobytes()))
         return pd.DataFrame(out, columns=["k", "n", "many", "prefix", "grams", "often"])
 
-    return run
+    return common.tidy(run)
 
 
 def _long_lists(least: int):
@@ -254,7 +254,7 @@ def _long_lists(least: int):
             if out:
                 yield pd.DataFrame({"h": np.concatenate(out).view("i8")})
 
-    return run
+    return common.tidy(run)
 
 
 def _postings(parts: int, least: int, lists: tuple[np.ndarray, np.ndarray] | None):
@@ -302,7 +302,7 @@ def _postings(parts: int, least: int, lists: tuple[np.ndarray, np.ndarray] | Non
                     h = np.where(m[row] == 1, h, common.mix(h ^ common.mix(cell + np.uint64(1))))
                 yield pd.DataFrame({"r": _hash_range(h, parts).astype("i8"), "h": h.view("i8"), "k": i, "n": n, "rank": rank, "after": after, "side": side})
 
-    return run
+    return common.tidy(run)
 
 
 def _candidates(num: int, den: int):
@@ -350,7 +350,7 @@ def _candidates(num: int, den: int):
         got = np.unique(np.concatenate(found))
         return pd.DataFrame({"a": ids[got // len(ids)], "b": ids[got % len(ids)]})
 
-    return run
+    return common.tidy(run)
 
 
 def _verified(num: int, den: int, pairs: pd.DataFrame, docs: pd.DataFrame) -> tuple[list, dict]:
@@ -373,7 +373,7 @@ def _verify(num: int, den: int):
     def run(key: tuple, pairs: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_verified(num, den, pairs, docs)[0], columns=["a", "b", "overlap", "jaccard"])
 
-    return run
+    return common.tidy(run)
 
 
 def _summary(num: int, den: int):
@@ -399,7 +399,7 @@ def _summary(num: int, den: int):
                 top[u] = max(top.get(u, 0.0), j)
         return pd.DataFrame([(k, find(k), n, top[k]) for k, n in links.items()], columns=["k", "root", "links", "top"])
 
-    return run
+    return common.tidy(run)
 
 
 def _hot(texts: DataFrame, n: int, docs: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -413,7 +413,7 @@ def _hot(texts: DataFrame, n: int, docs: int, most: int) -> tuple[np.ndarray, np
             yield pd.DataFrame({"g": s.view("i8")})
 
     sampled = texts.where(common.uniform(F.col("id"), "hot") < rate)
-    seen = sampled.mapInPandas(grams, "g long").groupBy("g").count().where(F.col("count") >= 32 * min(1.0, most / 64))
+    seen = sampled.mapInPandas(common.tidy(grams), "g long").groupBy("g").count().where(F.col("count") >= 32 * min(1.0, most / 64))
     got = sorted((int(np.int64(r["g"]).view("u8")), round(r["count"] / rate)) for r in seen.orderBy(F.desc("count"), "g").limit(SMALL).collect())
     return np.array([g for g, _ in got], "u8"), np.array([c for _, c in got], "i8")
 
@@ -449,7 +449,7 @@ def _held(texts: DataFrame, heads: DataFrame, by_set: bool, n: int, threshold: t
         more = sum(c * (-(-c // longest) - 1) for _, c in long)
     else:  # too many to send them to all tasks, so lists are split by the frequencies of their n-grams
         lists, more = None, 0
-    ranges = max(1, -(-((held[0] or 0) + more) // (GROUP // 3)))
+    ranges = max(1, -(-((held[0] or 0) + more) // (GROUP // 2)))
     postings = sets.select("k", "n", "prefix", "grams", "often").mapInPandas(_postings(ranges, longest, lists), "r long, h long, k long, n long, rank long, after long, side byte")
     found = cut(postings.groupBy("r").applyInPandas(_candidates(num, den), "a long, b long").distinct())
     # pairs in blocks: a document travels once to each task it has pairs in

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, isolate, table
+from .common import cut, isolate, table, tidy
 
 TIERS = (512, 2048, 8192)
 GROUP_TOKENS = 4_000_000
@@ -73,7 +73,7 @@ def _counted(path: str, top: int):
                 cuts.append(np.concatenate([[0], at[top - 1 : len(at) - 1 : top], at[-1:]]))
             yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "n": counts, "cuts": cuts})
 
-    return run
+    return tidy(run)
 
 
 def pieces_of(n: int, tiers: tuple[int, ...]) -> list[tuple[int, int, int]]:
@@ -173,7 +173,7 @@ def _packer(tiers: tuple[int, ...], windows_per_step: int):
             }
         )
 
-    return run
+    return tidy(run)
 
 
 def pack(
