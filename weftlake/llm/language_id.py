@@ -11,7 +11,7 @@ its n-grams looks up its weight in every machine.
 Training uses a bounded sample of labelled rows: at most ``per_language`` of
 each of the ``max_languages`` labels with the most rows, chosen by a hash of the
 id.  Three quarters of it train; on the others, the margins of rows told right
-give the model's ``floor``, half of their FLOOR_QUANTILE: what is told with
+give the model's ``floor``, a third of their FLOOR_QUANTILE: what is told with
 less is probably in none of the languages known.  Prediction covers every row.
 
 A row is accepted if it has at least ``min_letters`` bytes of letters, letters
@@ -218,7 +218,7 @@ def calibrated(rows: list[tuple[str, str, bytes]], texts: list[bytes], family_of
     model = fit(x[~out], [v for v, o in zip(labels, out) if not o], family_of)
     said = model.predict([t for t, o in zip(texts, out) if o])
     right = said["margin"][said["lang"].to_numpy(object) == np.array(labels, object)[out]].dropna()
-    return replace(model, floor=max(0.0, float(right.quantile(FLOOR_QUANTILE)) / 2)) if len(right) >= LEAST_HELD_OUT else model
+    return replace(model, floor=max(0.0, float(right.quantile(FLOOR_QUANTILE)) / 3)) if len(right) >= LEAST_HELD_OUT else model
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, family_of: dict[str, str] = FAMILY_OF, seed: int = 3, max_languages: int = MAX_LANGUAGES) -> Model:
