@@ -138,6 +138,14 @@ def test_alternates(spark):
     assert set(now) == {*good[:4], "http://s4.org/p", "http://s5.org/p"} and now[good[2]] == 200
     moved = {r["seq"]: (r["url"], r["original_url"]) for r in out.inventory.collect()}
     assert moved[0] == (good[0], "http://s0.org/p") and moved[4] == ("http://s4.org/p", None)
+    asked = []
+
+    def fetch(candidates):
+        asked.append(candidates)
+        return fetched.join(candidates, "url", "left_semi")
+
+    called = resolve.resolve(inventory, results, fetch, rules, search, archive, said)
+    assert rows(called.applied) == rows(out.applied) and len(asked) >= 4 and rows(called.results.select("url", "status")) == rows(out.results.select("url", "status"))
     few = resolve.resolve(inventory, results, fetched, rules, search, archive, said, limit=1)
     assert rows(few.applied.select("provider")) == [("override",), ("search",)]
     assert resolve.resolve(inventory, results, fetched).applied.count() == 0
@@ -180,6 +188,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert told["total"] == 2 and told["success"] == 1 and told["outstanding"] == 1
     assert spark.read.json(f"{tmp_path}/out/outstanding/domains").first()["category"] == "broken_or_moved"
     assert spark.read.parquet(f"{tmp_path}/out/downloads").count() == 1 and spark.read.json(f"{tmp_path}/out/extracted").count() == 1 and spark.read.json(f"{tmp_path}/out/markdown_index").count() == 1
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "out" / "summary" / "summary").glob("*.txt")))["total"] == 2 and "## Item 1" in "".join(p.read_text() for p in (tmp_path / "out" / "summary" / "walkthrough").glob("*.txt"))
     assert cli.main(["get", "http://a.org/1", *common]) == 0 and cli.main(["get", "http://a.org/9", *common]) == 3
     assert cli.main(["find", "SENTENCE", *common]) == 0 and cli.main(["find", "nothing", *common]) == 3
     assert cli.main(["--manifest", f"{tmp_path}/m.txt", "--dry-run"]) == 0
@@ -190,6 +199,22 @@ def test_command_line(spark, tmp_path, capsys):
         assert stop.value.code == 2
 
 
+def test_batches_tell_their_progress(spark, tmp_path):
+    from weftlake.streaming import live
+
+    spark.createDataFrame([page("http://a.org/1", seq=1)], PAGES).write.parquet(f"{tmp_path}/in")
+    told = []
+
+    def hook(number, n):
+        told.append((number, n))
+        raise ValueError("mine")
+
+    stream = spark.readStream.schema(PAGES).parquet(f"{tmp_path}/in")
+    q = live.each_batch(stream, run.annotate, lambda df: df.write.mode("append").parquet(f"{tmp_path}/out"), f"{tmp_path}/cp", hook).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert told == [(0, 1)] and spark.read.parquet(f"{tmp_path}/out").first()["verdict"] == "ok"
+
+
 def test_doctor():
     assert doctor.report([doctor.check("a", True, ""), doctor.check("b", False, "", level="info")])["ok"]
     told = doctor.report([doctor.check("a", False, "", "do it", value="0123456789")])

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import settings
+from .functions import urls
 from .operators import reports
 from .operators.entries import build_entries
 from .plans import doctor
@@ -92,6 +93,10 @@ def _run(spark: SparkSession, a, p: argparse.ArgumentParser) -> int:
         from .operators.changes import next_state
 
         writers.write_state(next_state(run.changes, state).persist(), f"{out}/state")
+    if a.command == "manifest":
+        numbered = inventory.select(urls.normalize_url(F.col("url")).alias("__norm"), "consumer_id", "url")
+        mine = results.withColumn("__norm", urls.normalize_url(F.col("url"))).join(numbered.drop("url"), "__norm").withColumn("final_url", F.col("url"))
+        writers.write_summary(reports.summary_items(numbered.drop("__norm"), mine), f"{out}/summary")
     left = run.outstanding.count()
     if a.metrics_json:
         metrics = run.metrics.first().asDict() | {"verdict_counts": {r["verdict"]: r["n"] for r in reports.verdict_counts(results).collect()}, "outstanding": left}

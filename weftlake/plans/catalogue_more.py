@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import content, provenance, urls
+from ..lineage import shared_folder
 from ..operators import dom, entries, reports, store
 from ..policy import DEFAULT
 from ..sources import readers
+from ..streaming import live
 from . import oracle as O
 from .catalogue import (
     ANN,
@@ -137,3 +142,22 @@ o AS (SELECT u.*, nullif(v.pv, '') AS paywall_verdict, CASE WHEN v.url IS NOT NU
 c AS (SELECT *, CASE WHEN status IN (404, 410, 0, -1) THEN 'broken_or_moved' WHEN paywall_verdict = 'likely' THEN 'paywall' ELSE 'retry' END AS category FROM o)"""
 register("outstanding_items", f"{ITEMS} SELECT url, domain, status, paywall_verdict, category, fetch_method FROM c")(lambda spark, d: _outstanding(spark, d).select("url", "domain", "status", "paywall_verdict", "category", "fetch_method"))
 register("outstanding_counts", f"{ITEMS} SELECT category, count(*) AS n FROM c GROUP BY 1")(lambda spark, d: reports.outstanding_counts(_outstanding(spark, d)))
+
+# == streams
+
+
+def _folder(spark) -> str:
+    return os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
+
+
+def _stream(spark, d, name):
+    """A table as a stream of its files."""
+    return spark.readStream.schema(load(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
+register("stream_event_rates", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS key, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(
+    lambda spark, d: live.run_once(live.rates(_stream(spark, d, "events")), _folder(spark)).withColumn("total", F.round("total", 4)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+)
+register("stream_changes", f"SELECT {O.normalize_url('url')} AS url_norm, page_id AS seq, sha256(html) AS content_sha256, true AS content_changed FROM pages WHERE length(html) > 0")(
+    lambda spark, d: live.run_once(live.stream_changes(_stream(spark, d, "pages").select("url", F.col("html").alias("text"), F.lit("2025-01-01").alias("fetched_at"), F.col("page_id").alias("seq"))), _folder(spark), "append").select("url_norm", "seq", "content_sha256", "content_changed")
+)

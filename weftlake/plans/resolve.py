@@ -1,12 +1,14 @@
 """Alternates for entries that were not fetched: overrides, search, archive, suggestions, in this order.
 
 Fetching is not part of it: ``fetched`` has the annotated results of all
-candidates that were tried, and a candidate counts only if its result is there
-with status 200, a text and no verdict but ok.
+candidates that were tried, or is a function that takes candidates (url) and
+returns theirs.  A candidate counts only if its result is there with status
+200, a text and no verdict but ok.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paywall import resolver_eligible
 from ..functions.urls import host, looks_gated_url, strip
+from ..lineage import cut
 from ..operators import entries as ops
 from ..operators.suggestions import filter_suggestions
 from ..policy import DEFAULT, Policy
@@ -35,9 +38,9 @@ def usable(fetched: DataFrame) -> DataFrame:
     return fetched.where(ok)
 
 
-def _holding(found: DataFrame, fetched: DataFrame) -> DataFrame:
-    """The first candidate of each URL, if its result can be used."""
-    good = usable(fetched).select(F.col("url").alias("good")).distinct()
+def _holding(found: DataFrame, good: DataFrame) -> DataFrame:
+    """The candidates whose results can be used."""
+    good = good.select(F.col("url").alias("good")).distinct()
     return found.join(good, F.col("candidate") == F.col("good"), "left_semi")
 
 
@@ -52,7 +55,7 @@ def pending_entries(entries: DataFrame, results: DataFrame, policy: Policy = DEF
     return first.select("e.*")
 
 
-def resolve(inventory: DataFrame, results: DataFrame, fetched: DataFrame, rules: DataFrame | None = None, search: DataFrame | None = None, archive: DataFrame | None = None, suggestions: DataFrame | None = None, limit: int = 24, policy: Policy = DEFAULT) -> Resolved:
+def resolve(inventory: DataFrame, results: DataFrame, fetched: DataFrame | Callable[[DataFrame], DataFrame], rules: DataFrame | None = None, search: DataFrame | None = None, archive: DataFrame | None = None, suggestions: DataFrame | None = None, limit: int = 24, policy: Policy = DEFAULT) -> Resolved:
     """Alternates for ``inventory``.
 
     ``search``: (url, candidate, rank); ``archive``: (url, candidate);
@@ -63,9 +66,20 @@ def resolve(inventory: DataFrame, results: DataFrame, fetched: DataFrame, rules:
     """
     spark = inventory.sparkSession
     entries = ops.dedupe_merge(inventory) if "url_normalized" not in inventory.columns else inventory
-    entries = entries.withColumn("url", strip(F.col("url")))
+    entries = cut(entries.withColumn("url", strip(F.col("url"))))
+    # what is decided upon again and again is a few columns of rows that come from long chains
+    seen = [c for c in ("url", "original_url", "status", "text", "text_path", "fallback_reason", "verdict", "paywall_verdict", "seq") if c in results.columns]
+    light = cut(results.select(*((F.substring(F.trim("text"), 1, 1).alias(c) if c == "text" else F.col(c)) for c in seen)))
+    good = None if callable(fetched) else cut(usable(fetched).select("url").distinct())
     record = "seq long, control_id string, old_url string, new_url string, provider string, summary string, rule_priority int"
     stages: list[DataFrame] = [spark.createDataFrame([], record)]
+    tried: list[DataFrame] = [] if callable(fetched) else [fetched]
+
+    def holding(found: DataFrame) -> DataFrame:
+        if good is not None:
+            return _holding(found, good)
+        tried.append(cut(fetched(found.select(F.col("candidate").alias("url")).distinct())))
+        return _holding(found, usable(tried[-1]))
 
     def applied() -> DataFrame:
         return reduce(DataFrame.unionByName, stages)
@@ -74,14 +88,14 @@ def resolve(inventory: DataFrame, results: DataFrame, fetched: DataFrame, rules:
         return rows.join(applied().select(F.col("old_url").alias("__done")), F.col("url") == F.col("__done"), "left_anti")
 
     def add(found: DataFrame, provider, summary, rule=F.lit(None)) -> None:
-        one = _holding(found, fetched)
+        one = holding(found)
         control = F.coalesce(F.get("controls", F.lit(0)), F.col("url")) if "controls" in found.columns else F.col("url")
-        stages.append(one.select(F.col("seq").cast("long").alias("seq"), control.alias("control_id"), F.col("url").alias("old_url"), F.col("candidate").alias("new_url"), provider.alias("provider"), summary.alias("summary"), rule.cast("int").alias("rule_priority")).persist())
+        stages.append(cut(one.select(F.col("seq").cast("long").alias("seq"), control.alias("control_id"), F.col("url").alias("old_url"), F.col("candidate").alias("new_url"), provider.alias("provider"), summary.alias("summary"), rule.cast("int").alias("rule_priority"))))
 
     if rules is not None:
         hit = ops.apply_overrides(entries, rules, policy).where("target is not null and target <> ''")
         add(hit.withColumnRenamed("target", "candidate"), F.lit("override"), F.lit("domain-specific override"), F.col("rule_priority"))
-    pending = left(pending_entries(entries, results, policy)).persist()
+    pending = cut(left(pending_entries(entries, light, policy)))
     room = lambda: None if limit <= 0 else max(0, limit - applied().count())
 
     def first(rows: DataFrame, many: int | None) -> DataFrame:
@@ -94,15 +108,18 @@ def resolve(inventory: DataFrame, results: DataFrame, fetched: DataFrame, rules:
     if archive is not None:
         best = archive.select(F.col("url").alias("__u"), "candidate")
         open_ = left(pending).join(best, F.col("url") == F.col("__u"))
-        add(first(_holding(open_, fetched), room()), F.lit("wayback"), F.lit(None).cast("string"))
+        add(first(holding(open_), room()), F.lit("wayback"), F.lit(None).cast("string"))
     if suggestions is not None:
-        good = filter_suggestions(suggestions, policy).groupBy("old_url").agg(F.min_by(F.struct("url", "summary"), "rank").alias("s"))
-        best = good.select(F.col("old_url").alias("__u"), F.col("s.url").alias("candidate"), F.col("s.summary").alias("__summary"))
+        named = filter_suggestions(suggestions, policy).groupBy("old_url").agg(F.min_by(F.struct("url", "summary"), "rank").alias("s"))
+        best = named.select(F.col("old_url").alias("__u"), F.col("s.url").alias("candidate"), F.col("s.summary").alias("__summary"))
         open_ = first(left(pending), room()).join(best, F.col("url") == F.col("__u"))
         add(open_, F.lit("suggestion"), F.col("__summary"))
-    done = applied()
-    better = usable(fetched).join(done.select(F.col("old_url").alias("replaces"), "new_url"), F.col("url") == F.col("new_url")).drop("new_url")
-    one = better.groupBy("replaces").agg(F.max_by(F.struct(*fetched.columns), "seq").alias("r")).select("replaces", "r.*")
+    done = cut(applied())
+    if not tried:
+        return Resolved(done, results, inventory)
+    known = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tried)
+    better = usable(known).join(done.select(F.col("old_url").alias("replaces"), "new_url"), F.col("url") == F.col("new_url")).drop("new_url")
+    one = better.groupBy("replaces").agg(F.max_by(F.struct(*known.columns), "seq").alias("r")).select("replaces", "r.*")
     original = inventory if "original_url" in inventory.columns else inventory.withColumn("original_url", F.lit(None).cast("string"))
     moved = ops.inventory_update(original, done.select(F.col("old_url").alias("url"), "new_url"))
     return Resolved(done, ops.replace_results(results, one), moved)

@@ -96,3 +96,10 @@ def write_state(state: DataFrame, path: str) -> None:
 def write_bodies(bodies: DataFrame, path: str) -> None:
     """Stored bytes by hash, in folders by the first sign of it."""
     bodies.withColumn("prefix", F.substring("sha256", 1, 1)).write.mode("append").partitionBy("prefix").parquet(path)
+
+
+def write_summary(items: DataFrame, path: str) -> None:
+    """The items of a run (reports.summary_items()), their counts as one JSON document, and the walkthrough in order of the run."""
+    items.write.mode("overwrite").json(f"{path}/items")
+    write_report(reports.summary_counts(items), f"{path}/summary")
+    reports.walkthrough(items).orderBy("consumer_id").select("block").write.mode("overwrite").text(f"{path}/walkthrough")
