@@ -569,6 +569,28 @@ def test_links_are_exact(spark, n, threshold, hot, longest):
     assert all((r["top_jaccard"] is None) == (r["n_links"] == 0) for r in out)
 
 
+def near_copies(many):
+    """What _prefixes gives of ``many`` near copies, each without a few of 40 n-grams that all of them share."""
+    r = random.Random(3)
+    grams = np.sort(np.array([r.getrandbits(64) for _ in range(40)], "u8"))
+    held = [np.delete(grams, r.sample(range(40), r.randrange(3))) for _ in range(many)]
+    often = [np.full(len(g), many, "<u4").tobytes() for g in held]
+    return pd.DataFrame({"k": range(many), "n": 40, "prefix": [len(g) for g in held], "grams": [g.tobytes() for g in held], "often": often})
+
+
+@pytest.mark.parametrize("longest", [4096, 500])
+def test_candidates_of_many_near_copies_come_in_pieces(longest):
+    sets = near_copies(1500)
+    lists = (np.unique(np.concatenate([np.frombuffer(g, "<u8") for g in sets["grams"]])), np.full(40, 1500))
+    postings = list(ngram_join._postings(1, longest, lists)(iter([sets])))
+    assert max(map(len, postings)) <= ngram_join.PIECE
+    found = list(ngram_join._candidates(2, 5)((0,), iter(postings)))
+    assert len(found) > 1 and max(map(len, found)) <= 3 * ngram_join.PIECE
+    pairs = pd.concat(found)
+    assert len(pairs.drop_duplicates()) == 1500 * 1499 // 2 and (pairs["a"] < pairs["b"]).all()
+    assert len(pairs) < 4 * 1500 * 1499 // 2  # of 40 lists
+
+
 def test_ids_with_several_texts(spark):
     w = [f"w{k}" for k in range(400)]
     data = [(7, w[:50]), (7, w[100:150]), (3, w[2:50]), (4, w[100:148]), (5, w[200:220]), (5, w[200:221]), (6, w[300:330]), (7, w[:50])]

@@ -6,6 +6,8 @@ import ctypes
 import functools
 import inspect
 import tempfile
+from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -50,7 +52,15 @@ def _release() -> None:
 
 
 def tidy(run):
-    """A function for workers, of batches or of groups, that releases memory when it is done."""
+    """A function for workers, of batches, of groups or of the batches of a group, that releases memory when it is done."""
+    if inspect.isgeneratorfunction(run) and len(inspect.signature(run).parameters) == 2:
+
+        def pieces(key: tuple[Any, ...], rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield from run(key, rows)
+            _release()
+
+        return pieces
+
     if inspect.isgeneratorfunction(run):
 
         @functools.wraps(run)

@@ -13,6 +13,9 @@ documents whose sets have a Jaccard similarity of at least THRESHOLD, exactly.
 3. Prefix n-grams are joined: in each posting list the length, positional and
    suffix filters must let a pair pass.  The suffix filter compares histograms
    of n-grams over eight parts of the hash space, which bound the overlap.
+   Near copies share hundreds of prefix n-grams: a posting holds the BEFORE
+   n-grams that precede it, and two that have one of these in common are passed
+   over, as they have met in its list.  At the first n-gram of both they have none.
 4. Every pair that is left is verified once, against all shared n-grams of the
    two.  Documents travel once to each block of pairs they are in, however many
    pairs they have there.
@@ -21,7 +24,8 @@ Nothing hot meets in one task.  N-grams of more than HOT documents are found in
 a sample of documents first; they go straight to their documents, with the
 frequency estimated there (any order does for the filters, if all use the same
 one).  A posting list of more than LIST postings is split into sub-lists, and
-each pair of these is a list of its own.
+each pair of these is a list of its own.  Postings and candidates leave a task in
+pieces of bounded size, however many a list has.
 
 links() gives a row for each document, with the number of its links, so that
 its result grows with the documents, not with their pairs; what leaves a task
@@ -62,6 +66,10 @@ TASK_PAIRS = 1_000_000
 HOT = 1_000_000
 #: Postings in a list before it is split.
 LIST = 4096
+#: N-grams before it that a posting holds.
+BEFORE = 3
+#: Postings or pairs in one piece that a task gives out.
+PIECE = 200_000
 #: Rows of helper tables (hot n-grams, long lists) that are sent to all tasks; there are other ways beyond.
 SMALL = 500_000
 
@@ -258,7 +266,7 @@ def _long_lists(least: int):
 
 
 def _postings(parts: int, least: int, lists: tuple[np.ndarray, np.ndarray] | None):
-    """A row for each prefix n-gram: (range, list, document, n, position from the end, histogram of what follows, side).
+    """A row for each prefix n-gram: (range, list, document, n and position from the start and side, histogram of what follows, n-grams before it, 0 if none).
 
     A long list is split into m sub-lists by document; each pair of sub-lists
     is a list, in which the one is side 1 and the other 2, and so is each with
@@ -272,106 +280,151 @@ def _postings(parts: int, least: int, lists: tuple[np.ndarray, np.ndarray] | Non
         at[at == len(lists[0])] = 0
         return np.where(lists[0][at] == g, -(-lists[1][at] // least), 1) if len(lists[0]) else np.ones(len(g), "i8")
 
+    def flush(docs: list[tuple]):
+        cols: list[list] = [[] for _ in range(6)]
+        for i, n, prefix, grams, often in docs:
+            g = np.frombuffer(grams, "<u8")
+            part = (g & np.uint64(7)).astype("i8")
+            # counts after each prefix position; lone n-grams all come before the shared ones
+            after = np.bincount(part, minlength=8) - np.cumsum(part[:prefix, None] == np.arange(8), axis=0)
+            cols[0].append(g[:prefix])
+            cols[1].append(np.full(prefix, i, "i8"))
+            cols[2].append(np.full(prefix, n, "i8"))
+            cols[3].append(np.arange(prefix) + 1)
+            cols[4].append(np.minimum(after, 255).astype("u1").view("<i8").ravel())
+            cols[5].append(np.frombuffer(often, "<u4"))
+        g, i, n, rank, after, often = (np.concatenate(c) for c in cols)
+        m = splits(g, often)
+        ends = np.cumsum(m)
+        a = 0
+        while a < len(g):  # so many rows at a time
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PIECE, "right")))
+            times = m[a:b]
+            row = np.repeat(np.arange(a, b), times)
+            h, side = g[row], np.zeros(len(row), "i8")
+            if (times > 1).any():
+                own = common.mix(i[a:b].view("u8") ^ g[a:b]) % times.astype("u8")
+                own = np.repeat(own, times)
+                other = (np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)).astype("u8")
+                split = m[row] > 1
+                side = np.where(~split | (own == other), 0, np.where(own < other, 1, 2))
+                cell = np.minimum(own, other) * np.uint64(1 << 32) + np.maximum(own, other)
+                h = np.where(split, common.mix(h ^ common.mix(cell + np.uint64(1))), h)
+            before = {f"p{j}": np.where(rank[row] > j, g[np.maximum(row - j, 0)], np.uint64(0)).view("i8") for j in range(1, BEFORE + 1)}
+            yield pd.DataFrame({"r": _hash_range(h, parts).astype("i8"), "h": h.view("i8"), "k": i[row], "at": n[row] << 32 | rank[row] << 2 | side, "after": after[row], **before})
+            a = b
+
     def run(batches):
+        docs, held = [], 0
         for pdf in batches:
-            for k in range(0, len(pdf), 1000):
-                cols: list[list] = [[] for _ in range(6)]
-                for i, n, prefix, grams, often in pdf.iloc[k : k + 1000].itertuples(index=False):
-                    g = np.frombuffer(grams, "<u8")
-                    part = (g & np.uint64(7)).astype("i8")
-                    # counts after each prefix position; lone n-grams all come before the shared ones
-                    after = np.bincount(part, minlength=8) - np.cumsum(part[:prefix, None] == np.arange(8), axis=0)
-                    cols[0].append(g[:prefix])
-                    cols[1].append(np.full(prefix, i, "i8"))
-                    cols[2].append(np.full(prefix, n, "i8"))
-                    cols[3].append(np.arange(prefix) + 1)
-                    cols[4].append(np.minimum(after, 255).astype("u1").view("<i8").ravel())
-                    cols[5].append(np.frombuffer(often, "<u4"))
-                if not cols[0]:
-                    continue
-                h, i, n, rank, after, often = (np.concatenate(c) for c in cols)
-                m = splits(h, often)
-                side = np.zeros(len(h), "i1")
-                if (m > 1).any():
-                    own = common.mix(i.view("u8") ^ h) % m.astype("u8")
-                    row = np.repeat(np.arange(len(h)), m)
-                    other = (np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)).astype("u8")
-                    own, h, i, n, rank, after = own[row], h[row], i[row], n[row], rank[row], after[row]
-                    side = np.where(m[row] == 1, 0, np.where(own == other, 0, np.where(own < other, 1, 2))).astype("i1")
-                    cell = np.minimum(own, other) * np.uint64(1 << 32) + np.maximum(own, other)
-                    h = np.where(m[row] == 1, h, common.mix(h ^ common.mix(cell + np.uint64(1))))
-                yield pd.DataFrame({"r": _hash_range(h, parts).astype("i8"), "h": h.view("i8"), "k": i, "n": n, "rank": rank, "after": after, "side": side})
+            for doc in pdf.itertuples(index=False, name=None):
+                docs.append(doc)
+                held += doc[2]
+                if held >= PIECE:
+                    yield from flush(docs)
+                    docs, held = [], 0
+        if docs:
+            yield from flush(docs)
 
     return common.tidy(run)
 
 
 def _candidates(num: int, den: int):
-    """Pairs of a range's posting lists that the length, positional and suffix filters let pass."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((pdf["n"].to_numpy(), pdf["h"].to_numpy()))
-        h, i, n, rank, side = (pdf[c].to_numpy()[order] for c in ("h", "k", "n", "rank", "side"))
-        after = np.ascontiguousarray(pdf["after"].to_numpy()[order]).view("u1").reshape(-1, 8)
+    """Pairs of a range's posting lists that the length, positional and suffix filters let pass; some of them more than once."""
+
+    def run(key: tuple, batches):
+        pdf = pd.concat(list(batches), ignore_index=True)
+        n = pdf["at"].to_numpy() >> 32
+        order = np.lexsort((n, pdf["h"].to_numpy()))
+        n, h, i, at, after = n[order], *(pdf[c].to_numpy()[order] for c in ("h", "k", "at", "after"))
+        before = [pdf[f"p{j}"].to_numpy()[order] for j in range(1, BEFORE + 1)]
         del pdf
+        x = np.arange(len(h))
+        most = den * n // num
+        first = np.append(True, h[1:] != h[:-1])
+        which = np.cumsum(first) - 1
+        size = np.bincount(which)
+        ends = np.cumsum(size)[which]
+        # either: sizes ascend in a list, so the partners of a posting that may be long enough are a run behind it
+        many = np.maximum(np.searchsorted(which << 40 | n, (which << 40) + most, "right") - x - 1, 0)
+        # or: those with the same n-gram before them, which have met in its list, are a block, and their partners are what is behind the block
+        by = np.lexsort((before[0], which))
+        p = before[0][by]
+        new = np.append(True, (p[1:] != p[:-1]) | (which[by][1:] != which[by][:-1])) | (p == 0)
+        block = np.empty(len(h), "i8")
+        block[by] = np.cumsum(new) - 1
+        same = np.bincount(block)[block]
+        # whichever has fewer pairs
+        blocks = ((size**2 - np.bincount(which, same)) / 2 < np.bincount(which, many))[which]
+        order = np.lexsort((np.where(blocks, block, 0), which))
+        n, i, at, after, most, block, many = (c[order] for c in (n, i, at, after, most, block, many))
+        before = [c[order] for c in before]
+        edge = np.flatnonzero(np.append(block[1:] != block[:-1], True)) + 1
+        start = np.where(blocks, edge[np.searchsorted(edge, x, "right")], x + 1)
+        many = np.where(blocks, ends - start, many)
+        rank, side = at >> 2 & (1 << 30) - 1, at & 3
+        after = after.view("u1").reshape(-1, 8)
         full = (after == 255).any(1)  # a histogram that is full bounds nothing
         most_common = rank + np.where(full, 1 << 40, after.sum(1, dtype="i8"))
         ids, own = np.unique(i, return_inverse=True)
-        ends = np.flatnonzero(np.concatenate([h[1:] != h[:-1], [True]])) + 1
-        # sizes ascend in a list, so the partners of a posting that may be long enough are a run behind it
-        most = den * n // num
-        found, x, budget = [], np.arange(len(h)), 400_000
-        reach = np.empty(len(h), "i8")
-        lo = 0
-        for hi in ends.tolist():
-            reach[lo:hi] = lo + np.searchsorted(n[lo:hi], most[lo:hi], "right")
-            lo = hi
-        many = np.maximum(reach - x - 1, 0)
         total = np.cumsum(many)
-        a = 0
-        while a < len(h):  # so many pairs at a time
-            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + budget, "right")))
+        found, held, a = [], 0, 0
+        while a < len(n):  # so many pairs at a time
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PIECE, "right")))
             m = many[a:b]
             left = np.repeat(x[a:b], m)
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)
+            right = start[left] + np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)
             # what is common can't be more than what is up to here and behind it, for either of the two
-            both = num * (n[left] + n[right])
+            ok = (np.minimum(most_common[left], most_common[right]) * (num + den) >= num * (n[left] + n[right])) & (own[left] != own[right])
+            ok &= (n[right] <= most[left]) & (n[left] <= most[right]) & ((side[left] == 0) | (side[left] != side[right]))
+            left, right = left[ok], right[ok]
+            met = np.zeros(len(left), bool)
+            there = [c[right] for c in before]
+            for c in before:
+                mine = c[left]
+                for other in there:
+                    met |= (mine == other) & (mine != 0)
+            left, right = left[~met], right[~met]
             u, v = own[left], own[right]
-            ok = (np.minimum(most_common[left], most_common[right]) * (num + den) >= both) & (u != v) & ((side[left] == 0) | (side[left] != side[right]))
-            key = np.minimum(u[ok], v[ok]) * len(ids) + np.maximum(u[ok], v[ok])
             # the bounds hold at every common n-gram, so one of each pair is enough to look at
-            key, first = np.unique(key, return_index=True)
-            left, right, both = left[ok][first], right[ok][first], both[ok][first]
+            pair, one = np.unique(np.minimum(u, v) * len(ids) + np.maximum(u, v), return_index=True)
+            left, right = left[one], right[one]
             room = np.minimum(after[left], after[right]).sum(1, dtype="i8")
-            passed = ((np.minimum(rank[left], rank[right]) + room) * (num + den) >= both) | full[left] | full[right]
-            found.append(key[passed])
-            if len(found) == 64:
-                found = [np.unique(np.concatenate(found))]
+            passed = ((np.minimum(rank[left], rank[right]) + room) * (num + den) >= num * (n[left] + n[right])) | full[left] | full[right]
+            found.append(pair[passed])
+            held += len(found[-1])
             a = b
-        got = np.unique(np.concatenate(found))
-        return pd.DataFrame({"a": ids[got // len(ids)], "b": ids[got % len(ids)]})
+            if held >= 2 * PIECE or a == len(n):
+                found = [np.unique(np.concatenate(found))]
+                held = len(found[0])
+                if held >= PIECE or a == len(n):
+                    yield pd.DataFrame({"a": ids[found[0] // len(ids)], "b": ids[found[0] % len(ids)]})
+                    found, held = [], 0
 
     return common.tidy(run)
 
 
-def _verified(num: int, den: int, pairs: pd.DataFrame, docs: pd.DataFrame) -> tuple[list, dict]:
+def _verified(num: int, den: int, pairs: pd.DataFrame, docs: pd.DataFrame) -> tuple[pd.DataFrame, dict]:
     """((a, b, overlap, jaccard) of the pairs that hold, the class size of each document)."""
     sets = {k: (n, np.sort(np.frombuffer(g, "<u8"))) for k, n, g in zip(docs["k"].tolist(), docs["n"].tolist(), docs["grams"])}
-    out = []
-    for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist()):
-        (na, ga), (nb, gb) = sets[a], sets[b]
+    a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+    overlap, sizes = np.zeros(len(a), "i8"), np.zeros(len(a), "i8")
+    for x in range(len(a)):
+        (na, ga), (nb, gb) = sets[int(a[x])], sets[int(b[x])]
         if len(ga) > len(gb):
             ga, gb = gb, ga
         at = np.searchsorted(gb, ga)
         at[at == len(gb)] = 0
-        both = int((gb[at] == ga).sum()) if len(gb) else 0
-        if both * (num + den) >= num * (na + nb):
-            out.append((a, b, both, both / (na + nb - both)))
-    return out, dict(zip(docs["k"].tolist(), docs["many"].tolist()))
+        overlap[x] = (gb[at] == ga).sum() if len(gb) else 0
+        sizes[x] = na + nb
+    held = overlap * (num + den) >= num * sizes
+    overlap = overlap[held]
+    return pd.DataFrame({"a": a[held], "b": b[held], "overlap": overlap, "jaccard": overlap / (sizes[held] - overlap)}), dict(zip(docs["k"].tolist(), docs["many"].tolist()))
 
 
 def _verify(num: int, den: int):
     def run(key: tuple, pairs: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_verified(num, den, pairs, docs)[0], columns=["a", "b", "overlap", "jaccard"])
+        return _verified(num, den, pairs, docs)[0]
 
     return common.tidy(run)
 
@@ -391,7 +444,7 @@ def _summary(num: int, den: int):
                 x = p
             return x
 
-        for a, b, _, j in held:
+        for a, b, _, j in held.itertuples(index=False, name=None):
             x, y = find(a), find(b)
             root[max(x, y)] = root[min(x, y)] = min(x, y)
             for u, v in ((a, b), (b, a)):
@@ -450,7 +503,7 @@ def _held(texts: DataFrame, heads: DataFrame, by_set: bool, n: int, threshold: t
     else:  # too many to send them to all tasks, so lists are split by the frequencies of their n-grams
         lists, more = None, 0
     ranges = max(1, -(-((held[0] or 0) + more) // (GROUP // 2)))
-    postings = sets.select("k", "n", "prefix", "grams", "often").mapInPandas(_postings(ranges, longest, lists), "r long, h long, k long, n long, rank long, after long, side byte")
+    postings = sets.select("k", "n", "prefix", "grams", "often").mapInPandas(_postings(ranges, longest, lists), "r long, h long, k long, at long, after long" + "".join(f", p{j} long" for j in range(1, BEFORE + 1)))
     found = cut(postings.groupBy("r").applyInPandas(_candidates(num, den), "a long, b long").distinct())
     # pairs in blocks: a document travels once to each task it has pairs in
     tasks = max(1, -(-(held[1] or 0) * 2 // TASK_BYTES), -(-found.count() // TASK_PAIRS))
