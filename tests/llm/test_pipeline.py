@@ -2,8 +2,11 @@
 
 import hashlib
 import os
+import tracemalloc
 
 import corpus_pipeline
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 from test_llm import DOCS, brute_pairs, check_packing
 
@@ -104,3 +107,18 @@ def test_pipeline_on_odd_rows(spark, tmp_path, monkeypatch):
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
     shared = spark.conf.get("spark.checkpoint.dir")
     assert all(len(os.listdir(os.path.join(shared, f))) == 1 for f in os.listdir(shared) if f.startswith("pipeline-"))  # the last stage's folder
+
+
+def test_verifying_many_pairs_of_near_copies_takes_little_memory():
+    """The near_dedup stage: what a task holds besides its pairs doesn't grow by objects for each of them."""
+    many, grams = 400, np.arange(1, 21, dtype="<u8")
+    docs = pd.DataFrame({"k": range(many), "n": 20, "many": 1, "grams": [np.delete(grams, k % 3).tobytes() for k in range(many)]})
+    a, b = np.triu_indices(many, 1)
+    pairs = pd.DataFrame({"a": a.astype("i8"), "b": b.astype("i8")})
+    run = ngram_join._summary(2, 5)
+    tracemalloc.start()
+    out = run((0,), pairs, docs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (out["root"] == 0).all() and (out["links"] == many - 1).all() and len(out) == many
+    assert most < 110 * len(pairs)
