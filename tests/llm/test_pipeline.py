@@ -122,3 +122,61 @@ def test_verifying_many_pairs_of_near_copies_takes_little_memory():
     tracemalloc.stop()
     assert (out["root"] == 0).all() and (out["links"] == many - 1).all() and len(out) == many
     assert most < 110 * len(pairs)
+
+
+def some_near_copies(many, grams=60, seed=5):
+    """Texts of groups that are linked in chains, some by a few shared words more than others."""
+    r, out = np.random.default_rng(seed), {}
+    for i in range(many):
+        at = int(r.integers(0, 4)) * 1000 + int(r.integers(0, 40)) * 9
+        out[i] = " ".join(f"w{at + k}" if r.random() > 0.01 else f"x{r.integers(10**9)}" for k in range(grams))
+    return out
+
+
+def test_classes_without_counts_are_those_of_links(spark):
+    texts = some_near_copies(160)
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in [*texts.items(), (3, "another text of the id three"), (None, "a b c"), (900, None), (901, "...")]], DOCS)
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b, _ in brute_pairs(texts, ngram_join.N, *ngram_join.THRESHOLD):
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = [(r["doc_id"], r["class_id"]) for r in ngram_join.class_ids(df).collect()]
+    assert sorted(got) == sorted([(i, find(i)) for i in texts] + [(3, 3)])
+    assert 4 < len({find(i) for i in texts}) < 160
+    linked = {(r["doc_id"], r["class_id"]) for r in ngram_join.links(df).collect()}
+    assert linked == set(got) | {(900, 900), (901, 901)}
+
+
+def test_connected_pairs_are_not_verified_again():
+    """The near_dedup stage: a group of near copies costs a forest, in memory and in time."""
+    many, grams = 400, np.arange(1, 21, dtype="<u8")
+    docs = pd.DataFrame({"k": range(many), "n": 20, "many": 1, "grams": [np.delete(grams, k % 3).tobytes() for k in range(many)]})
+    a, b = np.triu_indices(many, 1)
+    pairs = pd.DataFrame({"a": a.astype("i8"), "b": b.astype("i8")})
+    run = ngram_join._forest(2, 5)
+    tracemalloc.start()
+    out = run((0,), pairs, docs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (out["root"] == 0).all() and set(out["k"]) == set(range(1, many))
+    assert most < 30 * len(pairs)  # of two lists of SOME numbers, the sets and the forest
+
+
+def test_blocks_of_pairs_are_bounded(spark, monkeypatch):
+    """The near_dedup stage: no task of verification gets several times the pairs meant for it."""
+    monkeypatch.setattr(ngram_join, "TASK_PAIRS", 400)
+    texts = {i: " ".join(f"w{k}" if k != i % 60 else f"x{i}" for k in range(60)) for i in range(240)}
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], DOCS)
+
+    def sizes(num, den):
+        return lambda key, pairs, docs: pd.DataFrame({"pairs": [len(pairs)]})
+
+    texts_of, heads, by_set = ngram_join.classes(ngram_join._texts(df, "doc_id", "text"), 5)
+    got = [r["pairs"] for r in ngram_join._held(texts_of, heads, by_set, 5, (2, 5), 10**6, 4096, sizes, "pairs long").collect()]
+    assert sum(got) > 10 * 400 and max(got) <= 2 * 400

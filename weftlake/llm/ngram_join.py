@@ -29,7 +29,8 @@ pieces of bounded size, however many a list has.
 
 links() gives a row for each document, with the number of its links, so that
 its result grows with the documents, not with their pairs; what leaves a task
-of verification is a forest and counts.  join() gives the pairs.
+of verification is a forest and counts.  join() gives the pairs.  class_ids()
+gives the classes alone and passes over pairs that are connected already.
 
 Any two words count as equal if their 64-bit hashes are.  Words are runs of
 letters and digits (common.WORD) of the lower-cased text.
@@ -61,7 +62,7 @@ GROUP = 400_000
 FLUSH = 600_000
 SLICE_BYTES = 1 << 20
 TASK_BYTES = 12 << 20
-TASK_PAIRS = 1_000_000
+TASK_PAIRS = 250_000
 #: N-grams in more documents than this don't meet in one task.
 HOT = 1_000_000
 #: Postings in a list before it is split.
@@ -70,6 +71,8 @@ LIST = 4096
 BEFORE = 3
 #: Postings or pairs in one piece that a task gives out.
 PIECE = 200_000
+#: Pairs that are Python's numbers at a time.
+SOME = 10_000
 #: Rows of helper tables (hot n-grams, long lists) that are sent to all tasks; there are other ways beyond.
 SMALL = 500_000
 
@@ -103,14 +106,15 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
 def _sets(batches, n: int):
     """(id, sorted distinct n-grams) of each document that has any."""
     for pdf in batches:
-        ids, texts = pdf["id"].to_numpy(), [t.encode("utf-8", "replace") for t in pdf["t"]]
+        ids, texts = pdf["id"].to_numpy(), pdf["t"].to_numpy()
         a = 0
         while a < len(texts):
-            b, held = a, 0
-            while b < len(texts) and (b == a or held + len(texts[b]) <= SLICE_BYTES):
-                held += len(texts[b])
-                b += 1
-            doc, g = common.ngrams(texts[a:b], n)
+            some, held = [], 0  # texts as bytes: a slice at a time, the last may go beyond
+            while a + len(some) < len(texts) and held < SLICE_BYTES:
+                some.append(texts[a + len(some)].encode("utf-8", "replace"))
+                held += len(some[-1])
+            b = a + len(some)
+            doc, g = common.ngrams(some, n)
             order = np.argsort(doc, kind="stable") if len(doc) and (np.diff(doc) < 0).any() else slice(None)
             doc, g = doc[order], g[order]
             ends = np.flatnonzero(np.diff(doc, append=-1)) + 1
@@ -455,6 +459,32 @@ def _summary(num: int, den: int):
     return common.tidy(run)
 
 
+def _forest(num: int, den: int):
+    """(k, the least document it is connected with in a task) of each document that has such a one; pairs that are connected by earlier ones aren't verified."""
+
+    def run(key: tuple, pairs: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+        sets = {k: (n, np.sort(np.frombuffer(g, "<u8"))) for k, n, g in zip(docs["k"].tolist(), docs["n"].tolist(), docs["grams"])}
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (p := root.get(x, x)) != x:
+                root[x] = root.get(p, p)
+                x = p
+            return x
+
+        for at in range(0, len(pairs), SOME):
+            for a, b in zip(pairs["a"].iloc[at : at + SOME].tolist(), pairs["b"].iloc[at : at + SOME].tolist()):
+                x, y = find(a), find(b)
+                if x == y:
+                    continue
+                (na, ga), (nb, gb) = sets[a], sets[b]
+                if len(np.intersect1d(ga, gb, assume_unique=True)) * (num + den) >= num * (na + nb):
+                    root[max(x, y)] = min(x, y)
+        return pd.DataFrame([(k, find(k)) for k in root], columns=["k", "root"], dtype="int64")
+
+    return common.tidy(run)
+
+
 def _hot(texts: DataFrame, n: int, docs: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(n-grams, frequencies), sorted, of those that seem to be in more than ``most`` documents, by a sample that sees each of them 64 times."""
     if docs <= most:
@@ -505,11 +535,12 @@ def _held(texts: DataFrame, heads: DataFrame, by_set: bool, n: int, threshold: t
     ranges = max(1, -(-((held[0] or 0) + more) // (GROUP // 2)))
     postings = sets.select("k", "n", "prefix", "grams", "often").mapInPandas(_postings(ranges, longest, lists), "r long, h long, k long, at long, after long" + "".join(f", p{j} long" for j in range(1, BEFORE + 1)))
     found = cut(postings.groupBy("r").applyInPandas(_candidates(num, den), "a long, b long").distinct())
-    # pairs in blocks: a document travels once to each task it has pairs in
+    # pairs in blocks, about two for each of so many tasks: a document travels once to each block it has pairs in.
+    # Blocks aren't put together by a hash, as those that meet by chance would be several times as large as the mean.
     tasks = max(1, -(-(held[1] or 0) * 2 // TASK_BYTES), -(-found.count() // TASK_PAIRS))
     blocks = max(8, int(np.ceil((4 * tasks) ** 0.5)))
     side = lambda c: F.pmod(F.xxhash64(F.lit(3), c), F.lit(blocks))
-    placed = found.withColumn("task", F.pmod(F.xxhash64(F.least(side("a"), side("b")), F.greatest(side("a"), side("b"))), F.lit(tasks)))
+    placed = found.withColumn("task", F.least(side("a"), side("b")) * blocks + F.greatest(side("a"), side("b")))
     wanted = placed.select(F.col("a").alias("k"), F.col("task").alias("at")).unionByName(placed.select(F.col("b").alias("k"), F.col("task").alias("at"))).distinct()
     sent = wanted.join(sets.select("k", "n", "many", "grams"), "k")
     return placed.groupBy("task").cogroup(sent.groupBy("at")).applyInPandas(last(num, den), schema)
@@ -540,6 +571,28 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     return pairs.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "overlap", "jaccard")
 
 
+def _named(each: DataFrame, by_set: bool) -> DataFrame:
+    """Classes named by their smallest id, where they are named by a document's number."""
+    if not by_set:
+        return each
+    named = each.groupBy("class_id").agg(F.min("doc_id").alias("name"))
+    return each.join(named, "class_id").select("doc_id", F.col("name").alias("class_id"), *[c for c in each.columns if c not in ("doc_id", "class_id")])
+
+
+def class_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: tuple[int, int] = THRESHOLD, hot: int = HOT, longest: int = LIST) -> DataFrame:
+    """(doc_id, class_id) of each document with n-grams, as links() gives them.
+
+    What is connected is known before all pairs are verified, so that a group
+    of near copies costs about as many verifications as it has documents in
+    each block of pairs, not as many as it has links.
+    """
+    texts, heads, by_set = classes(_texts(docs, id_col, text_col), n)
+    forest = _held(texts, heads, by_set, n, threshold, hot, longest, _forest, "k long, root long")
+    groups = components(forest.where("root <> k").select(F.col("root").alias("a"), F.col("k").alias("b")))
+    each = heads.join(groups.withColumnRenamed("id", "head"), "head", "left")
+    return _named(each.select(F.col("id").alias("doc_id"), F.coalesce("component", "head").alias("class_id")), by_set)
+
+
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: tuple[int, int] = THRESHOLD, hot: int = HOT, longest: int = LIST) -> DataFrame:
     """(doc_id, class_id, n_links, top_jaccard) of each document.
 
@@ -560,9 +613,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
         (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"),
         F.when(F.col("many") > 1, 1.0).otherwise(F.col("top")).alias("top_jaccard"),
     )
-    if by_set:  # groups are named by documents' numbers here
-        named = each.groupBy("class_id").agg(F.min("doc_id").alias("name"))
-        each = each.join(named, "class_id").select("doc_id", F.col("name").alias("class_id"), "n_links", "top_jaccard")
+    each = _named(each, by_set)
     wordless = given.where("id is not null").select("id").distinct().join(heads.select("id"), "id", "left_anti")
     return each.unionByName(wordless.select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("double").alias("top_jaccard")))
 
@@ -591,7 +642,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows with a null id stay, and so do rows without words; an id that stays keeps all its rows.
     """
-    gone = cut(links(docs, id_col, text_col, n, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct())
+    gone = cut(class_ids(docs, id_col, text_col, n, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct())
     inner, (i,) = isolate(docs, id_col)
     kept = inner.join(gone, i.cast("long") == F.col("__gone"), "left_anti")  # the planner broadcasts it by its measured size, or shuffles
     return restore(kept, docs)
