@@ -591,6 +591,40 @@ def test_candidates_of_many_near_copies_come_in_pieces(longest):
     assert len(pairs) < 4 * 1500 * 1499 // 2  # of 40 lists
 
 
+@pytest.mark.parametrize(("dense", "side", "longest"), [(8, 10, 4096), (3, 4096, 4096), (20, 7, 5)])
+def test_dense_groups_are_exact(spark, monkeypatch, dense, side, longest):
+    monkeypatch.setattr(ngram_join, "SIDE", side)
+    monkeypatch.setattr(ngram_join, "AT_ONCE", 6)
+    blocks, groups = [], ngram_join._dense_groups
+    monkeypatch.setattr(ngram_join, "_dense_groups", lambda *a: (got := groups(*a), blocks.extend(got[1].values()))[0])
+    r = random.Random(21)
+    base = [[r.choice("abcdefghijkl") + str(r.randrange(40)) for _ in range(60)] for _ in range(8)]
+    texts = {}
+    for k in range(240):
+        w = list(base[0 if k % 3 else r.randrange(8)])
+        for _ in range(r.choice([0, 1, 2, 6, 20])):
+            w[r.randrange(len(w))] = "z" + str(r.randrange(300))
+        texts[k] = " ".join(w) + (" all of them end with these very words" if k % 5 else "")
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(5)
+    plain, args = {"dense": 1 << 30}, {"dense": dense, "longest": longest}
+    out = ngram_join.links(df, n=3, **args).collect()
+    assert blocks and (side > 10 or max(blocks) > 2)
+    assert {x["doc_id"]: (x["class_id"], x["n_links"]) for x in out} == brute_links(texts, 3, 2, 5)
+    assert rows(ngram_join.links(df, n=3, **plain)) == rows(spark.createDataFrame(out))
+    assert rows(ngram_join.join(df, n=3, **plain)) == rows(ngram_join.join(df, n=3, **args))
+    assert rows(ngram_join.class_ids(df, n=3, **args)) == rows(spark.createDataFrame(out).select("doc_id", "class_id"))
+
+
+def test_near_copies_of_a_dense_group_are_no_candidates():
+    sets = near_copies(600)
+    grams = np.unique(np.concatenate([np.frombuffer(g, "<u8") for g in sets["grams"]]))
+    none = np.zeros(0, "u8"), np.zeros(0, "i8")
+    assert not sum(map(len, ngram_join._postings(1, 4096, none, grams, np.ones(40, "i8"))(iter([sets]))))
+    # of one list alone, the others are still there, for documents that aren't in the group
+    postings = list(ngram_join._postings(1, 4096, none, grams[:30], np.ones(30, "i8"))(iter([sets])))
+    assert sum(map(len, postings)) > 0 and not sum(map(len, ngram_join._candidates(2, 5)((0,), iter(postings))))
+
+
 def test_ids_with_several_texts(spark):
     w = [f"w{k}" for k in range(400)]
     data = [(7, w[:50]), (7, w[100:150]), (3, w[2:50]), (4, w[100:148]), (5, w[200:220]), (5, w[200:221]), (6, w[300:330]), (7, w[:50])]

@@ -27,6 +27,13 @@ one).  A posting list of more than LIST postings is split into sub-lists, and
 each pair of these is a list of its own.  Postings and candidates leave a task in
 pieces of bounded size, however many a list has.
 
+Near copies that grow with the corpus have quadratically many pairs, which aren't
+written out.  Prefix n-grams of more than DENSE documents that occur together
+make these documents a dense group, if all its pairs are about as few as those of
+its lists.  All pairs in such a group are counted at once, in blocks of SIDE by
+SIDE documents, as products of matrices of documents and n-grams; its lists have
+no postings, and two documents of one group are no candidates.
+
 links() gives a row for each document, with the number of its links, so that
 its result grows with the documents, not with their pairs; what leaves a task
 of verification is a forest and counts.  join() gives the pairs.  class_ids()
@@ -67,6 +74,15 @@ TASK_PAIRS = 250_000
 HOT = 1_000_000
 #: Postings in a list before it is split.
 LIST = 4096
+#: Postings in a list from which its documents may be a dense group.
+DENSE = 256
+#: Documents, and bytes of their n-grams, on one side of a block of a dense group.
+SIDE = 4096
+SIDE_BYTES = 32 << 20
+#: Pairs that a dense group may have for one of its lists.
+WIDE = 16
+#: N-grams or rows of a block that are multiplied at a time.
+AT_ONCE = 512
 #: N-grams before it that a posting holds.
 BEFORE = 3
 #: Postings or pairs in one piece that a task gives out.
@@ -269,23 +285,206 @@ def _long_lists(least: int):
     return common.tidy(run)
 
 
-def _postings(parts: int, least: int, lists: tuple[np.ndarray, np.ndarray] | None):
+# == dense groups
+
+
+def _places(all_: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Where those of ``some`` that are in ``all_``, which is sorted, are."""
+    if not len(all_):
+        return np.zeros(0, "i8")
+    at = np.searchsorted(all_, some)
+    at[at == len(all_)] = 0
+    return at[all_[at] == some]
+
+
+def _together(grams: np.ndarray):
+    """(a, b): places in ``grams`` that follow one another in a prefix."""
+
+    def run(batches):
+        for pdf in batches:
+            ends = [np.zeros(0, "i8")]
+            for p, g in zip(pdf["prefix"], pdf["grams"]):
+                at = _places(grams, np.frombuffer(g, "<u8")[:p])
+                ends.append(np.minimum(at[:-1], at[1:]) * len(grams) + np.maximum(at[:-1], at[1:]))
+            pair = np.unique(np.concatenate(ends))
+            yield pd.DataFrame({"a": pair // len(grams), "b": pair % len(grams)})
+
+    return common.tidy(run)
+
+
+def _members(grams: np.ndarray, label: np.ndarray):
+    """(label, documents, bytes of their n-grams) of the groups in a batch."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for p, g in zip(pdf["prefix"], pdf["grams"]):
+                if len(at := _places(grams, np.frombuffer(g, "<u8")[:p])):
+                    rows.append((int(label[at[0]]), 1, len(g)))
+            yield pd.DataFrame(rows, columns=["label", "docs", "bytes"], dtype="int64").groupby("label", as_index=False).sum()
+
+    return common.tidy(run)
+
+
+def _dense_groups(sets: DataFrame, grams: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
+    """(the label of each of ``grams``, n-grams of long lists of ``many`` postings, 0 if it is in no dense group; blocks of each label)."""
+    label = np.arange(len(grams)) + 1
+    if not len(grams):
+        return label, {}
+    docs = sets.select("prefix", "grams")
+    for i, c in components(docs.mapInPandas(_together(grams), "a long, b long").distinct()).toLocalIterator(prefetchPartitions=True):
+        label[i] = c + 1
+    met = np.bincount(label, many.astype("f8") ** 2, len(grams) + 1)
+    blocks = {}
+    for r in docs.mapInPandas(_members(grams, label), "label long, docs long, bytes long").groupBy("label").agg(F.sum("docs").alias("docs"), F.sum("bytes").alias("bytes")).toLocalIterator():
+        if r["docs"] ** 2 <= WIDE * met[r["label"]]:
+            blocks[r["label"]] = max(-(-r["docs"] // SIDE), -(-r["bytes"] // SIDE_BYTES))
+    return np.where(np.isin(label, list(blocks)), label, 0), blocks
+
+
+def _cells(grams: np.ndarray, label: np.ndarray, blocks: dict[int, int]):
+    """A row for each block of pairs that a document of a dense group is in; ``own`` is its part of the group."""
+
+    def run(batches):
+        names = ["label", "lo", "hi", "own", "k", "n", "many", "grams"]
+        for pdf in batches:
+            rows, held = [], 0
+            for k, n, many, p, g in zip(pdf["k"].tolist(), pdf["n"].tolist(), pdf["many"].tolist(), pdf["prefix"], pdf["grams"]):
+                at = _places(grams, np.frombuffer(g, "<u8")[:p])
+                if len(at) and (of := int(label[at[0]])):
+                    own = int(common.mix(np.array([k], "i8").view("u8"))[0] % np.uint64(blocks[of]))
+                    for other in range(blocks[of]):
+                        rows.append((of, min(own, other), max(own, other), own, k, n, many, g))
+                        held += len(g)
+                        if held >= SIDE_BYTES:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
+
+    return common.tidy(run)
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The number of n-grams that each of ``a`` has in common with each of ``b``."""
+    out = np.zeros((len(a), len(b)), "f4")
+    sides = []
+    both = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    for s in (a, b):
+        row, g = np.repeat(np.arange(len(s)), [len(x) for x in s]), np.concatenate(s)
+        at = np.searchsorted(both, g)
+        at[at == len(both)] = 0
+        ok = both[at] == g if len(both) else np.zeros(len(g), bool)
+        row, at = row[ok], at[ok]
+        order = np.argsort(at, kind="stable")
+        size = np.bincount(at, minlength=len(both))
+        sides.append((row[order], at[order], size, np.cumsum(size) - size))
+    (ra, ca, na, _), (rb, cb, nb, sb) = sides
+    # n-grams of many pairs are columns of matrices, the others' pairs are counted one by one
+    thick = na * nb > len(a) * len(b) // 100
+    place = np.where(thick, np.cumsum(thick) - 1, -1)
+    xa, xb = place[ca], place[cb]
+    for c in range(0, int(thick.sum()), AT_ONCE):
+        x, y = np.zeros((len(a), AT_ONCE), "f4"), np.zeros((len(b), AT_ONCE), "f4")
+        for m, r, p in ((x, ra, xa), (y, rb, xb)):
+            mine = (p >= c) & (p < c + AT_ONCE)
+            m[r[mine], p[mine] - c] = 1
+        for r in range(0, len(a), AT_ONCE):
+            out[r : r + AT_ONCE] += x[r : r + AT_ONCE] @ y.T
+    ra, ca = ra[xa < 0], ca[xa < 0]
+    times, flat = nb[ca], out.reshape(-1)
+    ends, at = np.cumsum(times), 0
+    while at < len(ra):  # so many pairs at a time
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 10 * PIECE, "right")))
+        t = times[at:to]
+        right = rb[np.repeat(sb[ca[at:to]] - np.cumsum(t) + t, t) + np.arange(t.sum())]
+        np.add.at(flat, np.repeat(ra[at:to], t) * len(b) + right, np.float32(1))
+        at = to
+    return out
+
+
+def _roots(a: np.ndarray, b: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least of the ids ``a`` of rows and ``b`` of columns that each is connected with."""
+    of_a, of_b, least = np.full(len(a), -1), np.full(len(b), -1), []
+    for s in np.flatnonzero(held.any(1)).tolist():
+        if of_a[s] >= 0:
+            continue
+        rows, low = np.array([s]), int(a[s])
+        while len(rows):
+            of_a[rows] = len(least)
+            cols = np.flatnonzero(held[rows].any(0) & (of_b < 0))
+            of_b[cols] = len(least)
+            low = min([low, int(a[rows].min()), *b[cols].tolist()])
+            rows = np.flatnonzero(held[:, cols].any(1) & (of_a < 0))
+        least.append(low)
+    to = np.array([*least, 0], "i8")
+    return np.where(of_a < 0, a, to[of_a]), np.where(of_b < 0, b, to[of_b])
+
+
+def _all_in_block(num: int, den: int, kind: str):
+    """What is known of all pairs of a block of a dense group: ``pairs`` as _verify(), ``links`` as _summary(), ``forest`` as _forest()."""
+
+    def run(key: tuple, batches):
+        docs = pd.concat(list(batches), ignore_index=True).sort_values("k", ignore_index=True)
+        alone = key[1] == key[2]
+        a, b = docs[docs["own"] == key[1]], docs[docs["own"] == key[2]]
+        if not len(a) or not len(b):
+            return
+        overlap = _common(*([np.frombuffer(g, "<u8") for g in d["grams"]] for d in (a, b)))
+        (ka, na, ma), (kb, nb, mb) = ([d[c].to_numpy("i8") for c in ("k", "n", "many")] for d in (a, b))
+        del docs, a, b
+        held = np.zeros(overlap.shape, bool)
+        links_a, links_b, top_a, top_b = (np.zeros(len(k)) for k in (ka, kb, ka, kb))
+        for r in range(0, len(ka), AT_ONCE):
+            o = overlap[r : r + AT_ONCE].astype("f8")
+            size = na[r : r + AT_ONCE, None] + nb[None]
+            ok = o * (num + den) >= num * size
+            if alone:
+                ok[np.arange(len(o)), r + np.arange(len(o))] = False
+            held[r : r + AT_ONCE] = ok
+            if kind == "pairs":
+                i, j = np.nonzero(np.triu(ok, r + 1) if alone else ok)
+                yield pd.DataFrame({"a": np.minimum(ka[r + i], kb[j]), "b": np.maximum(ka[r + i], kb[j]), "overlap": o[i, j].astype("i8"), "jaccard": o[i, j] / (size[i, j] - o[i, j])})
+            elif kind == "links":
+                jaccard = np.where(ok, o / (size - o), 0.0)
+                links_a[r : r + AT_ONCE], top_a[r : r + AT_ONCE] = ok @ mb.astype("f8"), jaccard.max(1)
+                links_b += ma[r : r + AT_ONCE].astype("f8") @ ok
+                np.maximum(top_b, jaccard.max(0), out=top_b)
+        del overlap
+        if kind == "pairs":
+            return
+        if alone:  # a document is both a row and a column
+            held[np.arange(len(ka)), np.arange(len(ka))] = True
+        roots = _roots(ka, kb, held)
+        for k, root, links, top in zip((ka, kb)[: 1 if alone else 2], roots, (links_a, links_b), (top_a, top_b)):
+            if kind == "links":
+                some = links > 0
+                yield pd.DataFrame({"k": k[some], "root": root[some], "links": links[some].astype("i8"), "top": top[some]})
+            else:
+                yield pd.DataFrame({"k": k, "root": root})
+
+    return common.tidy(run)
+
+
+def _postings(parts: int, least: int, lists: tuple[np.ndarray, np.ndarray] | None, grams_of: np.ndarray = np.zeros(0, "u8"), label: np.ndarray = np.zeros(0, "i8")):
     """A row for each prefix n-gram: (range, list, document, n and position from the start and side, histogram of what follows, n-grams before it, 0 if none).
 
     A long list is split into m sub-lists by document; each pair of sub-lists
     is a list, in which the one is side 1 and the other 2, and so is each with
-    itself, side 0.
+    itself, side 0.  ``grams_of`` are n-grams of long lists with their ``label``:
+    those of dense groups have no postings.
     """
 
     def splits(g: np.ndarray, often: np.ndarray) -> np.ndarray:
         if lists is None:
             return -(-often.astype("i8") // least)
+        if not len(lists[0]):
+            return np.ones(len(g), "i8")
         at = np.searchsorted(lists[0], g)
         at[at == len(lists[0])] = 0
-        return np.where(lists[0][at] == g, -(-lists[1][at] // least), 1) if len(lists[0]) else np.ones(len(g), "i8")
+        return np.where(lists[0][at] == g, -(-lists[1][at] // least), 1)
 
     def flush(docs: list[tuple]):
-        cols: list[list] = [[] for _ in range(6)]
+        cols: list[list] = [[] for _ in range(7)]
         for i, n, prefix, grams, often in docs:
             g = np.frombuffer(grams, "<u8")
             part = (g & np.uint64(7)).astype("i8")
@@ -297,8 +496,14 @@ def _postings(parts: int, least: int, lists: tuple[np.ndarray, np.ndarray] | Non
             cols[3].append(np.arange(prefix) + 1)
             cols[4].append(np.minimum(after, 255).astype("u1").view("<i8").ravel())
             cols[5].append(np.frombuffer(often, "<u4"))
-        g, i, n, rank, after, often = (np.concatenate(c) for c in cols)
+            at = _places(grams_of, g[:prefix])
+            cols[6].append(np.full(prefix, label[at[0]] if len(at) else 0, "i8"))
+        g, i, n, rank, after, often, of = (np.concatenate(c) for c in cols)
         m = splits(g, often)
+        if len(grams_of):
+            at = np.searchsorted(grams_of, g)
+            at[at == len(grams_of)] = 0
+            m[(grams_of[at] == g) & (label[at] > 0)] = 0
         ends = np.cumsum(m)
         a = 0
         while a < len(g):  # so many rows at a time
@@ -307,7 +512,7 @@ def _postings(parts: int, least: int, lists: tuple[np.ndarray, np.ndarray] | Non
             row = np.repeat(np.arange(a, b), times)
             h, side = g[row], np.zeros(len(row), "i8")
             if (times > 1).any():
-                own = common.mix(i[a:b].view("u8") ^ g[a:b]) % times.astype("u8")
+                own = common.mix(i[a:b].view("u8") ^ g[a:b]) % np.maximum(times, 1).astype("u8")
                 own = np.repeat(own, times)
                 other = (np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)).astype("u8")
                 split = m[row] > 1
@@ -315,7 +520,7 @@ def _postings(parts: int, least: int, lists: tuple[np.ndarray, np.ndarray] | Non
                 cell = np.minimum(own, other) * np.uint64(1 << 32) + np.maximum(own, other)
                 h = np.where(split, common.mix(h ^ common.mix(cell + np.uint64(1))), h)
             before = {f"p{j}": np.where(rank[row] > j, g[np.maximum(row - j, 0)], np.uint64(0)).view("i8") for j in range(1, BEFORE + 1)}
-            yield pd.DataFrame({"r": _hash_range(h, parts).astype("i8"), "h": h.view("i8"), "k": i[row], "at": n[row] << 32 | rank[row] << 2 | side, "after": after[row], **before})
+            yield pd.DataFrame({"r": _hash_range(h, parts).astype("i8"), "h": h.view("i8"), "k": i[row], "at": n[row] << 32 | rank[row] << 2 | side, "after": after[row], "of": of[row], **before})
             a = b
 
     def run(batches):
@@ -340,7 +545,7 @@ def _candidates(num: int, den: int):
         pdf = pd.concat(list(batches), ignore_index=True)
         n = pdf["at"].to_numpy() >> 32
         order = np.lexsort((n, pdf["h"].to_numpy()))
-        n, h, i, at, after = n[order], *(pdf[c].to_numpy()[order] for c in ("h", "k", "at", "after"))
+        n, h, i, at, after, of = n[order], *(pdf[c].to_numpy()[order] for c in ("h", "k", "at", "after", "of"))
         before = [pdf[f"p{j}"].to_numpy()[order] for j in range(1, BEFORE + 1)]
         del pdf
         x = np.arange(len(h))
@@ -361,7 +566,7 @@ def _candidates(num: int, den: int):
         # whichever has fewer pairs
         blocks = ((size**2 - np.bincount(which, same)) / 2 < np.bincount(which, many))[which]
         order = np.lexsort((np.where(blocks, block, 0), which))
-        n, i, at, after, most, block, many = (c[order] for c in (n, i, at, after, most, block, many))
+        n, i, at, after, of, most, block, many = (c[order] for c in (n, i, at, after, of, most, block, many))
         before = [c[order] for c in before]
         edge = np.flatnonzero(np.append(block[1:] != block[:-1], True)) + 1
         start = np.where(blocks, edge[np.searchsorted(edge, x, "right")], x + 1)
@@ -380,7 +585,7 @@ def _candidates(num: int, den: int):
             right = start[left] + np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)
             # what is common can't be more than what is up to here and behind it, for either of the two
             ok = (np.minimum(most_common[left], most_common[right]) * (num + den) >= num * (n[left] + n[right])) & (own[left] != own[right])
-            ok &= (n[right] <= most[left]) & (n[left] <= most[right]) & ((side[left] == 0) | (side[left] != side[right]))
+            ok &= (n[right] <= most[left]) & (n[left] <= most[right]) & ((side[left] == 0) | (side[left] != side[right])) & ((of[left] == 0) | (of[left] != of[right]))
             left, right = left[ok], right[ok]
             met = np.zeros(len(left), bool)
             there = [c[right] for c in before]
@@ -513,8 +718,8 @@ def classes(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame, bool]:
     return texts, cut(heads.join(first, ["n", "s1", "s2"]).select("id", F.col("id_k").alias("k"), "n", "head", "many")), by_set
 
 
-def _held(texts: DataFrame, heads: DataFrame, by_set: bool, n: int, threshold: tuple[int, int], hot: int, longest: int, last, schema: str) -> DataFrame:
-    """What ``last`` makes of the candidates, in blocks of pairs."""
+def _held(texts: DataFrame, heads: DataFrame, by_set: bool, n: int, threshold: tuple[int, int], hot: int, longest: int, dense: int, last, kind: str, schema: str) -> DataFrame:
+    """What ``last`` makes of the candidates, in blocks of pairs, and _all_in_block() of those in dense groups."""
     num, den = threshold
     total, docs = heads.agg(F.sum("n"), F.count("*")).first()
     parts = max(1, -(-(total or 0) // GROUP))
@@ -525,15 +730,29 @@ def _held(texts: DataFrame, heads: DataFrame, by_set: bool, n: int, threshold: t
     keyed = heads.where("k = head").select(q("k").alias("of"), "k", "n", "many")
     sets = cut(shared.groupBy("q").cogroup(keyed.groupBy("of")).applyInPandas(_prefixes(num, den), "k long, n long, many long, prefix int, grams binary, often binary"))
     held = sets.agg(F.sum("prefix"), F.sum(F.length("grams"))).first()
-    long = sets.select("prefix", "grams", "often").mapInPandas(_long_lists(longest), "h long").groupBy("h").count().where(F.col("count") > longest).limit(SMALL + 1).collect()
-    if len(long) <= SMALL:
-        long = sorted((int(np.int64(r["h"]).view("u8")), r["count"]) for r in long)
-        lists = np.array([h for h, _ in long], "u8"), np.array([c for _, c in long], "i8")
-        more = sum(c * (-(-c // longest) - 1) for _, c in long)
-    else:  # too many to send them to all tasks, so lists are split by the frequencies of their n-grams
-        lists, more = None, 0
+    counted = cut(sets.select("prefix", "grams", "often").mapInPandas(_long_lists(min(longest, dense)), "h long").groupBy("h").count().where(F.col("count") > min(longest, dense)))
+
+    def longer(than: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """(n-grams, postings) of lists; none if they are too many to send them to all tasks."""
+        rows = counted.where(F.col("count") > than).limit(SMALL + 1).collect()
+        if len(rows) > SMALL:
+            return None
+        rows = sorted((int(np.int64(r["h"]).view("u8")), r["count"]) for r in rows)
+        return np.array([h for h, _ in rows], "u8"), np.array([c for _, c in rows], "i8")
+
+    for than in (dense, 4 * dense, 16 * dense):
+        if thick := longer(than):
+            break
+    thick = thick or (np.zeros(0, "u8"), np.zeros(0, "i8"))
+    label, parts_of = _dense_groups(sets, *thick)
+    more = -int(thick[1][label > 0].sum())
+    lists = longer(longest)  # if too many, lists are split by the frequencies of their n-grams
+    if lists is not None:
+        gone = np.isin(lists[0], thick[0][label > 0])
+        lists = lists[0][~gone], lists[1][~gone]
+        more += sum(c * (-(-c // longest) - 1) for c in lists[1].tolist())
     ranges = max(1, -(-((held[0] or 0) + more) // (GROUP // 2)))
-    postings = sets.select("k", "n", "prefix", "grams", "often").mapInPandas(_postings(ranges, longest, lists), "r long, h long, k long, at long, after long" + "".join(f", p{j} long" for j in range(1, BEFORE + 1)))
+    postings = sets.select("k", "n", "prefix", "grams", "often").mapInPandas(_postings(ranges, longest, lists, thick[0], label), "r long, h long, k long, at long, after long, of long" + "".join(f", p{j} long" for j in range(1, BEFORE + 1)))
     found = cut(postings.groupBy("r").applyInPandas(_candidates(num, den), "a long, b long").distinct())
     # pairs in blocks, about two for each of so many tasks: a document travels once to each block it has pairs in.
     # Blocks aren't put together by a hash, as those that meet by chance would be several times as large as the mean.
@@ -543,7 +762,13 @@ def _held(texts: DataFrame, heads: DataFrame, by_set: bool, n: int, threshold: t
     placed = found.withColumn("task", F.least(side("a"), side("b")) * blocks + F.greatest(side("a"), side("b")))
     wanted = placed.select(F.col("a").alias("k"), F.col("task").alias("at")).unionByName(placed.select(F.col("b").alias("k"), F.col("task").alias("at"))).distinct()
     sent = wanted.join(sets.select("k", "n", "many", "grams"), "k")
-    return placed.groupBy("task").cogroup(sent.groupBy("at")).applyInPandas(last(num, den), schema)
+    near = placed.groupBy("task").cogroup(sent.groupBy("at")).applyInPandas(last(num, den), schema)
+    if not parts_of:
+        return near
+    # a task for each block, whatever its size in bytes
+    cells = sets.select("k", "n", "many", "prefix", "grams").mapInPandas(_cells(thick[0], label, parts_of), "label long, lo int, hi int, own int, k long, n long, many long, grams binary")
+    cells = cells.repartition(min(100_000, sum(p * (p + 1) // 2 for p in parts_of.values())), "label", "lo", "hi")
+    return near.unionByName(cells.groupBy("label", "lo", "hi").applyInPandas(_all_in_block(num, den, kind), schema))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -551,7 +776,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return inner.select(i.cast("long").alias("id"), t.cast("string").alias("t"))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: tuple[int, int] = THRESHOLD, hot: int = HOT, longest: int = LIST) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: tuple[int, int] = THRESHOLD, hot: int = HOT, longest: int = LIST, dense: int = DENSE) -> DataFrame:
     """(doc_a, doc_b, overlap, jaccard), doc_a < doc_b, of all pairs at the threshold or above.
 
     Documents with equal sets are given as pairs of the smallest id of their
@@ -561,7 +786,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     """
     texts, heads, by_set = classes(_texts(docs, id_col, text_col), n)
     name = heads.select(F.col("k").alias("of"), F.col("id").alias("name"))
-    near = _held(texts, heads, by_set, n, threshold, hot, longest, _verify, "a long, b long, overlap long, jaccard double")
+    near = _held(texts, heads, by_set, n, threshold, hot, longest, dense, _verify, "pairs", "a long, b long, overlap long, jaccard double")
     same = heads.where("k <> head").select(F.col("head").alias("a"), F.col("k").alias("b"), F.col("n").alias("overlap"), F.lit(1.0).alias("jaccard"))
     pairs = near.unionByName(same)
     if by_set:
@@ -579,7 +804,7 @@ def _named(each: DataFrame, by_set: bool) -> DataFrame:
     return each.join(named, "class_id").select("doc_id", F.col("name").alias("class_id"), *[c for c in each.columns if c not in ("doc_id", "class_id")])
 
 
-def class_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: tuple[int, int] = THRESHOLD, hot: int = HOT, longest: int = LIST) -> DataFrame:
+def class_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: tuple[int, int] = THRESHOLD, hot: int = HOT, longest: int = LIST, dense: int = DENSE) -> DataFrame:
     """(doc_id, class_id) of each document with n-grams, as links() gives them.
 
     What is connected is known before all pairs are verified, so that a group
@@ -587,13 +812,13 @@ def class_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     each block of pairs, not as many as it has links.
     """
     texts, heads, by_set = classes(_texts(docs, id_col, text_col), n)
-    forest = _held(texts, heads, by_set, n, threshold, hot, longest, _forest, "k long, root long")
+    forest = _held(texts, heads, by_set, n, threshold, hot, longest, dense, _forest, "forest", "k long, root long")
     groups = components(forest.where("root <> k").select(F.col("root").alias("a"), F.col("k").alias("b")))
     each = heads.join(groups.withColumnRenamed("id", "head"), "head", "left")
     return _named(each.select(F.col("id").alias("doc_id"), F.coalesce("component", "head").alias("class_id")), by_set)
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: tuple[int, int] = THRESHOLD, hot: int = HOT, longest: int = LIST) -> DataFrame:
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: tuple[int, int] = THRESHOLD, hot: int = HOT, longest: int = LIST, dense: int = DENSE) -> DataFrame:
     """(doc_id, class_id, n_links, top_jaccard) of each document.
 
     ``n_links`` is the number of documents that are similar to it, copies
@@ -603,7 +828,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     """
     given = _texts(docs, id_col, text_col)
     texts, heads, by_set = classes(given, n)
-    found = cut(_held(texts, heads, by_set, n, threshold, hot, longest, _summary, "k long, root long, links long, top double"))
+    found = cut(_held(texts, heads, by_set, n, threshold, hot, longest, dense, _summary, "links", "k long, root long, links long, top double"))
     groups = components(found.where("root <> k").select(F.col("root").alias("a"), F.col("k").alias("b")))  # a root isn't alone in its task
     of_head = found.groupBy("k").agg(F.sum("links").alias("links"), F.max("top").alias("top")).join(groups.withColumnRenamed("id", "k"), "k")
     each = heads.join(of_head.withColumnRenamed("k", "head"), "head", "left")
