@@ -807,6 +807,32 @@ def test_graph_recall():
     assert len(got & truth) >= 0.98 * len(truth)
 
 
+def test_full_beams_are_searched_exhaustively_at_once(monkeypatch):
+    r = np.random.default_rng(5)
+    centre = r.normal(size=16)
+    x = np.concatenate([r.normal(size=(1200, 16)), centre + 0.02 * r.normal(size=(500, 16))]).astype("f4")
+    graph, beams, layer = hnsw.Graph(np.arange(len(x)), x), [], hnsw.Graph._layer
+    monkeypatch.setattr(hnsw.Graph, "_layer", lambda self, q, entry, ef, k: (beams.append(ef), layer(self, q, entry, ef, k))[1])
+    monkeypatch.setattr(hnsw, "WIDE", 5000)  # a few queries at a time
+    found, sims = hnsw._wide(graph, graph.x, 32, np.float32(0.95))
+    assert max(beams) == 32
+    want = graph.x @ graph.x.T >= 0.95
+    inside = want.sum(1) > 32
+    assert inside.sum() >= 500
+    for k in np.flatnonzero(inside):
+        assert set(found[k][sims[k] >= 0.95].tolist()) == set(np.flatnonzero(want[k]).tolist())
+
+
+def test_a_meeting_gives_a_forest_of_its_pairs():
+    r = np.random.default_rng(6)
+    x = (r.normal(size=8) + 0.01 * r.normal(size=(60, 8))).astype("f4")
+    rows_ = pd.DataFrame({"v": range(60), "head": np.arange(60) + 100, "x": list(x)})
+    shard = hnsw._build((8, 0), rows_)
+    pairs, forest = (hnsw._search(0.95, 32, 0.99, 64, kind)((8, 0, 0), shard, rows_) for kind in (False, True))
+    assert len(pairs) == 60 * 59 // 2
+    assert sorted(zip(forest["a"], forest["b"])) == [(k, 100) for k in range(101, 160)]
+
+
 def test_audit_widens_until_neighbours_are_found():
     rng = np.random.default_rng(19)
     x = hnsw._unit(rng.normal(size=(600, 24)).astype("f4"))

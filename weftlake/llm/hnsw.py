@@ -8,10 +8,11 @@ audit passes.  The audit searches exhaustively for some of the queries and for
 as many vectors of the shard that were moved off a little, so that each audit
 has true neighbours to find (a query's own vector counts as none), and the beam
 must find at least ``recall`` of them.  Any query whose beam holds nothing but
-neighbours at the threshold is searched again with a wider beam until it holds
-another, so that no number of partners is cut off.  A beam as wide as the shard
-is an exhaustive search.  What is found is verified by the cosine of the
-vectors as given, in double precision, and connected vectors are united.
+neighbours at the threshold is searched again with a beam as wide as the shard,
+which is an exhaustive search, so that no number of partners is cut off; beams
+in between cost more, as each step sorts the beam again.  What is found is
+verified by the cosine of the vectors as given, in double precision, and
+connected vectors are united, first those of a meeting.
 
 There are at least MIN_SHARDS shards, so that graphs are built side by side,
 and more as soon as one would hold over SHARD vectors; from there on queries
@@ -33,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, isolate, table
+from .common import _contract, components, cut, isolate, table
 
 COSINE = 0.95
 SHARD = 65_536
@@ -46,6 +47,8 @@ AUDIT = 64
 BATCH = 256
 #: Queries that are searched together.
 QUERIES = 1024
+#: Similarities of an exhaustive search that are held at a time.
+WIDE = 1 << 23
 
 
 def _level(ids: np.ndarray, m: int) -> np.ndarray:
@@ -252,16 +255,16 @@ def query_block(graph: Graph, ids: np.ndarray, x: np.ndarray, cosine: float = CO
 
 
 def _wide(graph: Graph, q: np.ndarray, ef: int, least: np.float32) -> tuple[list, list]:
-    """As search(), but wider for queries whose beam is full of neighbours."""
+    """As search(), but all neighbours at the threshold, by an exhaustive search, for queries whose beam is full of these."""
     ids, sims = graph.search(q, ef)
     out_ids, out_sims = list(ids), list(sims)
-    full = np.flatnonzero(sims[:, -1] >= least) if ef < len(graph.x) else []
-    while len(full):
-        ef *= 4
-        more_ids, more_sims = graph.search(q[full], ef)
-        for r, g, s in zip(full.tolist(), more_ids, more_sims):
-            out_ids[r], out_sims[r] = g, s
-        full = full[more_sims[:, -1] >= least] if ef < len(graph.x) else []
+    full = np.flatnonzero(sims[:, -1] >= least) if ef < len(graph.x) else np.zeros(0, "i8")
+    some = max(1, WIDE // len(graph.x))
+    for k in range(0, len(full), some):  # so many similarities at a time
+        at = full[k : k + some]
+        for r, s in zip(at.tolist(), q[at] @ graph.x.T):
+            out_ids[r] = np.flatnonzero(s >= least).astype("i4")
+            out_sims[r] = s[out_ids[r]]
     return out_ids, out_sims
 
 
@@ -280,8 +283,8 @@ def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"dim": [key[0]], "s": [key[1]], "graph": [graph.dump()]})
 
 
-def _search(cosine: float, ef: int, recall: float, audit: int):
-    """A meeting of a shard and a tile: (a, b) of vertices with vectors at the threshold."""
+def _search(cosine: float, ef: int, recall: float, audit: int, forest: bool):
+    """A meeting of a shard and a tile: (a, b) of vertices with vectors at the threshold; ``forest``: of each vertex and the least one it is connected with there."""
 
     def run(key: tuple, shard: pd.DataFrame, tile: pd.DataFrame) -> pd.DataFrame:
         found = [(np.zeros(0, "i8"), np.zeros(0, "i8"))]
@@ -299,7 +302,10 @@ def _search(cosine: float, ef: int, recall: float, audit: int):
                 ok = (u * v).sum(1) / np.sqrt((u * u).sum(1) * (v * v).sum(1)) >= cosine
                 found.append((heads[i[k : k + 100_000]][ok], graph.heads[j[k : k + 100_000]][ok]))
         a, b = (np.concatenate(c) for c in zip(*found))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        if forest:
+            pairs = next(_contract(iter([pairs]))).query("a != b")
+        return pairs
 
     return run
 
@@ -322,10 +328,10 @@ def _prepared(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFra
 def near_pairs(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, shard: int = SHARD, min_shards: int = MIN_SHARDS, ef: int = EF, recall: float = RECALL, audit: int = AUDIT) -> DataFrame:
     """(a, b), a < b, of vectors with a cosine at the threshold or above; equal vectors as pairs with the smallest id of theirs."""
     _, same, distinct = _prepared(vectors, id_col, vector_col)
-    return _pairs(same, distinct, cosine, shard, min_shards, ef, recall, audit)
+    return _pairs(same, distinct, cosine, shard, min_shards, ef, recall, audit, False)
 
 
-def _pairs(same: DataFrame, distinct: DataFrame, cosine, shard, min_shards, ef, recall, audit) -> DataFrame:
+def _pairs(same: DataFrame, distinct: DataFrame, cosine, shard, min_shards, ef, recall, audit, forest: bool) -> DataFrame:
     shards = max(min_shards, -(-distinct.count() // shard))
     part = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "v"), F.lit(shards)).cast("int")
     graphs = cut(distinct.withColumn("s", part(1)).groupBy("dim", "s").applyInPandas(_build, "dim int, s int, graph binary"))
@@ -334,14 +340,14 @@ def _pairs(same: DataFrame, distinct: DataFrame, cosine, shard, min_shards, ef,
     right = distinct.select("dim", every.alias("s"), part(2).alias("t"), "v", "head", "x")
     meetings = shards * shards
     left, right = (d.repartition(min(meetings, 100_000), "dim", "s", "t") for d in (left, right))
-    found = left.groupBy("dim", "s", "t").cogroup(right.groupBy("dim", "s", "t")).applyInPandas(_search(cosine, ef, recall, audit), "a long, b long").distinct()
+    found = left.groupBy("dim", "s", "t").cogroup(right.groupBy("dim", "s", "t")).applyInPandas(_search(cosine, ef, recall, audit, forest), "a long, b long").distinct()
     return found.unionByName(same.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
 
 
 def near_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, shard: int = SHARD, min_shards: int = MIN_SHARDS, ef: int = EF, recall: float = RECALL, audit: int = AUDIT) -> DataFrame:
     """(vec_id, component) of every vector: the smallest id it is connected with."""
     ids, same, distinct = _prepared(vectors, id_col, vector_col)
-    groups = components(cut(_pairs(same, distinct, cosine, shard, min_shards, ef, recall, audit)))
+    groups = components(cut(_pairs(same, distinct, cosine, shard, min_shards, ef, recall, audit, True)))
     return ids.join(groups, "id", "left").select(F.col("id").alias("vec_id"), F.coalesce("component", "id").alias("component"))
 
 
