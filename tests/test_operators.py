@@ -1,5 +1,8 @@
 """Joins, state, sinks, sources, streaming and whole runs."""
 
+import difflib
+import random
+import re
 import json
 
 import pytest
@@ -121,6 +124,22 @@ def test_dry_run(spark):
     assert run.check_download_mode("x", 1, 1) == "text"
 
 
+def test_ratios_of_equal_samples_need_neither_python_nor_texts(spark):
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("ab cdXé\n") for _ in range(n))
+    old = [word(n) for n in (1, 5, 199, 200, 201, 799, 800, 800)] + ["", "kept", "kept", "x" * 300]
+    new = [s + word(r.choice([0, 3, 2000])) for s in old[:-4]] + ["", "", "kapt", "x" * 299 + "y" * 900]
+    assert all(difflib.SequenceMatcher(None, s, s).ratio() == 1 for s in old)
+    df = spark.createDataFrame([(f"http://h/{k}", t, f"t{j}", 2 * k + j) for k, pair in enumerate(zip(old, new)) for j, t in enumerate(pair)], "url string, text string, fetched_at string, seq long")
+    out = changes.with_diff_ratio(changes.detect_changes(df)).select("seq", "content_diff_ratio")
+    want = [(2 * k + 1, round(difflib.SequenceMatcher(None, a, b[: len(a)]).ratio(), 4) if a and b else None) for k, (a, b) in enumerate(zip(old, new))]
+    assert rows(out) == sorted([*want, *((2 * k, None) for k in range(len(old)))], key=repr)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window [") :]
+    shuffled = next(x for x in below.splitlines() if "- Project [" in x)
+    assert below.count("RepartitionByExpression") == 1 and not re.search(r"[\[ ]text#\d+[,\]]", shuffled)
+
+
 def test_filters_after_the_chain_stay_small(spark):
     plan = run.annotate(pages(spark)).where("verdict = 'ok' and paywall_verdict = 'unlikely'")._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 100_000
