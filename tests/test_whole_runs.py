@@ -13,6 +13,7 @@ from weftlake.operators import changes, dom, entries, ordering, reports, store
 from weftlake.plans import doctor, resolve, run
 from weftlake.policy import Policy
 from weftlake.sources import readers, writers
+from weftlake.streaming import live
 from weftlake.streaming.monitor import Monitor
 
 LONG = "<html><body><p>" + "This is a sentence. " * 200 + "</p></body></html>"
@@ -245,3 +246,30 @@ def test_monitor(spark, tmp_path):
         spark.streams.removeListener(m)
     state = next(iter(m.state.values()))
     assert "started" in seen and "terminated" in seen and state["rows"] == 2 and "mine" in state["hook_error"] and json.loads(told[-1])
+
+
+class Kept:
+    """As much of a group's state as is used."""
+
+    def __init__(self, value=None):
+        self.value = value
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+
+def test_a_url_of_one_row_costs_no_frame_but_its_result(monkeypatch):
+    def never(*args, **kwargs):
+        raise AssertionError("a frame is put together or sorted")
+
+    monkeypatch.setattr(live.pd, "concat", never)
+    monkeypatch.setattr(live.pd.DataFrame, "sort_values", never)
+    state, frame = Kept(), lambda *rows_: live.pd.DataFrame(rows_, columns=["sha", "fetched_at", "seq"])
+    (one,) = live._chain(("u",), iter([frame(("a", "t1", 1))]), state)
+    assert one.values.tolist() == [["u", "t1", 1, "a", None, True]] and state.get == ("a",)
+    (more,) = live._chain(("u",), iter([frame(("b", "t3", 3), ("a", "t2", 9)), frame(("b", None, 1), ("c", "t3", 2))]), state)
+    assert more[["fetched_at", "seq", "content_sha256", "content_previous_sha256", "content_changed"]].values.tolist() == [["t2", 9, "a", "a", False], ["t3", 2, "c", "a", True], ["t3", 3, "b", "c", True], [None, 1, "b", "b", False]]
+    assert state.get == ("b",)
