@@ -194,3 +194,16 @@ def test_policy_sizes():
 def test_unicode(spark):
     assert values(spark, urls.idna_host, ["Bücher.Example.", "a.ORG", "", None]) == ["xn--bcher-kva.example", "a.org", "", ""]
     assert values(spark, content.nfc, ["e\u0301", None]) == ["é", None]
+
+
+def test_what_is_not_read_is_pruned_from_the_chain(spark):
+    from weftlake.plans import run
+
+    df = spark.createDataFrame([("http://h/a", 200, "text/html", "<p>x</p>", 1)], "url string, status int, content_type string, text string, seq long")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 10_000)
+    try:
+        plan = lambda *names: run.annotate(df).select("seq", *names)._jdf.queryExecution().optimizedPlan().toString()
+        assert "metered" in plan("paywall_score") and "page not found" in plan("fallback_reason")
+        assert "metered" not in plan("usable", "junk_reason") and "page not found" not in plan("usable", "junk_reason")
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
